@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, pii, quality, secret_scan, sharding
+from folioforge.llm import bpe, decontaminate, ngram_join, packing, pii, quality, secret_scan, sharding
 from folioforge.llm.common import load
 
 
@@ -19,6 +19,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.class_ids(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,6 +39,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secret_spans")).alias("spans"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed.select("row_id", "n_segments", "n_tokens", "doc_ids", "seg_starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, least_score double"
@@ -61,6 +73,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(docs, stats=True).drop("text")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(load(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
@@ -69,9 +85,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
     "op4_secret_scan": op4_secret_scan,
+    "op5_packing": op5_packing,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
 }
