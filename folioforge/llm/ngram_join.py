@@ -38,10 +38,11 @@ from folioforge.llm.common import free_name, materialise, small, texts
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-#: Sets in a leaf; splits of a node; sets in a block of an exhaustive comparison.
+#: Sets in a leaf; splits of a node; sets in a block of an exact comparison, and of one of sketches.
 BUCKET = 64
 MAX_DEPTH = 4
 BLOCK = 256
+SKETCH_BLOCK = 2_048
 #: Bins of a sketch of one byte each, and the least estimate that is compared exactly (five standard errors below).
 BINS = 128
 SLACK = 0.18
@@ -195,26 +196,25 @@ def leaves(docs: DataFrame, reps: DataFrame, threshold: float, bucket: int, dept
 # Step 3
 
 
-class Forest:
-    """Disjoint sets of small integers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-    def links(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Those of the pairs that join two trees."""
-        return [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if self.join(x, y)]
+def spanning(hit: np.ndarray, one: bool) -> tuple[list[int], list[int]]:
+    """Edges (row, column) of a spanning forest of the matches; with `one` rows and columns are the same things."""
+    fresh = [np.ones(hit.shape[0], bool), np.ones(hit.shape[1], bool)]
+    if one:
+        fresh[1] = fresh[0]
+    sides_, out = (hit, hit.T), ([], [])
+    for start in np.flatnonzero(hit.any(1)).tolist():
+        if not fresh[0][start]:
+            continue
+        fresh[0][start] = False
+        stack = [(0, start)]
+        while stack:
+            side, v = stack.pop()
+            new = np.flatnonzero(sides_[side][v] & fresh[1 - side])
+            fresh[1 - side][new] = False
+            out[side].extend([v] * len(new))
+            out[1 - side].extend(new.tolist())
+            stack.extend((0 if one else 1 - side, x) for x in new.tolist())
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -266,9 +266,8 @@ def _edges(least: float):
         a, b = ab
         sk = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, BINS)
         uid = group["_uid"].to_numpy()
-        x, y = np.nonzero(similar(sk[a], sk[b], least))
-        got = Forest(len(uid)).links(a[x], b[y])
-        return pd.DataFrame({"a": uid[[p[0] for p in got]], "b": uid[[p[1] for p in got]]}) if got else None
+        x, y = spanning(similar(sk[a], sk[b], least), not group["two"].iloc[0])
+        return pd.DataFrame({"a": uid[a[x]], "b": uid[b[y]]}) if x else None
 
     return run
 
@@ -363,13 +362,12 @@ def _exact(threshold: Fraction):
         n_texts[a], n_rows[a] = hit.sum(1), hit @ mult[b]
         if two:
             n_texts[b], n_rows[b] = hit.sum(0), mult[a] @ hit
-        x, y = np.nonzero(hit)
-        got = Forest(len(uid)).links(a[x], b[y])
+        x, y = spanning(hit, not two)
         some = np.flatnonzero(n_texts)
         if not len(some):
             return None
-        none = np.zeros(len(got), np.int64)
-        return pd.DataFrame({"a": np.concatenate([uid[some], uid[[g[0] for g in got]]]), "b": np.concatenate([np.full(len(some), -1), uid[[g[1] for g in got]]]), "is_link": np.concatenate([none[:0], np.zeros(len(some), np.int64), none + 1]), "texts": np.concatenate([n_texts[some], none]), "rows": np.concatenate([n_rows[some], none])})
+        none = np.zeros(len(x), np.int64)
+        return pd.DataFrame({"a": np.concatenate([uid[some], uid[a[x]]]), "b": np.concatenate([np.full(len(some), -1), uid[b[y]]]), "is_link": np.concatenate([none[:0], np.zeros(len(some), np.int64), none + 1]), "texts": np.concatenate([n_texts[some], none]), "rows": np.concatenate([n_rows[some], none])})
 
     return run
 
@@ -399,7 +397,7 @@ def join_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS
     full = rows.where("rep is not null")
     reps = materialise(full.groupBy("rep").agg(F.count("*").alias("mult"), F.min(F.struct("_uid", "sketch", "nodes")).alias("x")).select("rep", "mult", "x._uid", "x.sketch", "x.nodes"), "reps")
     members, large = leaves(docs, reps, threshold, bucket, depth)
-    edges = candidates(members, large, reps.select("_uid", "sketch"), threshold - SLACK, block)
+    edges = candidates(members, large, reps.select("_uid", "sketch"), threshold - SLACK, block if block < BLOCK else SKETCH_BLOCK)
     found = materialise(links(docs, reps, components(edges), threshold, block), "links")
     counts = found.where("is_link = 0").groupBy("a").agg(F.sum("texts").alias("n_texts"), F.sum("rows").alias("n_rows"))
     classes = components(found.where("is_link = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
