@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, decontaminate, ngram_join, packing, pii, quality, secret_scan, sharding
+from folioforge.llm import bpe, decontaminate, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, tool_calls
 from folioforge.llm.common import load
 
 
@@ -31,6 +31,10 @@ def _of_rank(k: int):
     return lambda s: s["rank"] == k
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan_secrets(docs, secret_scan.train_on(docs)).select("doc_id", "secret_spans")
@@ -47,6 +51,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("row_id", "n_segments", "n_tokens", "doc_ids", "seg_starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.turns_as_calls(load(spark, sf_dir, "conversations"))
+    return tool_calls.link_calls(calls, results, tool_calls.ANSWER)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, least_score double"
@@ -87,8 +96,10 @@ ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
+    "op6_tool_calls": op6_tool_calls,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
