@@ -96,7 +96,7 @@ RULES = (
     Rule("few_words", lambda f: len(f.words) < 10),
     Rule("repetition", lambda f: 100 * f.n_repeat_words > 20 * len(f.words)),
     Rule("symbols", lambda f: 100 * f.n_symbols > 10 * len(f.words)),
-    Rule("duplicate_lines", lambda f: 100 * f.n_dup_lines > 30 * len(f.lines)),
+    Rule("duplicate_lines", lambda f: 100 * f.n_dup_lines > 50 * len(f.lines)),
     Rule("short_words", lambda f: f.word_chars < 2 * len(f.words)),
     Rule("long_words", lambda f: f.word_chars > 40 * len(f.words)),
 )
