@@ -122,10 +122,54 @@ def number_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NUMBER), F.lit(0))
 
 
+# Numerals, and the counters that may follow them.
+HAN_DIGITS, HAN_UNITS, HAN_BIG = "零一二三四五六七八九", "十百千", "万亿"
+HAN_NUMERAL = "[〇零一二两三四五六七八九十百千万亿]"
+HAN_COUNTERS = "条类款项级种章节次组号个只头尾匹株枚份名位岁龄年月日周天期届米厘尺丈升毫升克斤吨度倍层批台套件张片块根支颗粒本册篇段页"
+
+
+def _han_value(run: Column) -> Column:
+    """The number that a run of numerals writes, as text without leading zeros."""
+    s = F.translate(run, "〇两", "零二")
+    placed = F.regexp_replace(F.translate(s, HAN_DIGITS, "0123456789"), "^0+(?=[0-9])", "")
+
+    def digit(c: Column) -> Column:
+        return F.instr(F.lit(HAN_DIGITS), c) - 1
+
+    def power(c: Column) -> Column:
+        return F.pow(F.lit(10), F.instr(F.lit(HAN_UNITS), c)).cast("long")
+
+    def section(part: Column) -> Column:
+        low = F.translate(part, HAN_BIG, "")
+        terms = F.regexp_extract_all(low, F.lit(f"[{HAN_DIGITS}]?[{HAN_UNITS}]"), F.lit(0))
+        tens = F.aggregate(terms, F.lit(0).cast("long"), lambda acc, t: acc + F.greatest(F.lit(1), digit(F.substring(t, 1, 1))) * power(F.right(t, F.lit(1))))
+        ones = F.when(low.rlike(f"[{HAN_DIGITS}]$"), digit(F.right(low, F.lit(1)))).otherwise(0)
+        return (tens + ones) * F.when(part.endswith("万"), 10_000).when(part.endswith("亿"), 100_000_000).otherwise(1)
+
+    parts = F.filter(F.regexp_extract_all(s, F.lit(f"[^{HAN_BIG}]*[{HAN_BIG}]?"), F.lit(0)), lambda p: p != "")
+    summed = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc + section(p))
+    return F.when(s.rlike(f"^[{HAN_DIGITS}]+$"), placed).otherwise(summed.cast("string"))
+
+
+def han_numerals(c: Column) -> Column:
+    """Values of the numerals that stand by themselves: no other Han before them but the ordinal prefix, none after them
+    but a counter."""
+    alone = rf"(?<!{HAN_NUMERAL})(?:(?<=第)|(?<![一-鿿])){HAN_NUMERAL}+(?!{HAN_NUMERAL})(?=[{HAN_COUNTERS}]|[^一-鿿]|$)"
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(alone), F.lit(0)), _han_value)
+
+
+def _missing(source: Column, target: Column) -> Column:
+    known = F.concat(F.flatten(F.transform(number_tokens(target), number_candidates)), han_numerals(target), F.array(F.lit("")))
+    digits = F.filter(number_tokens(source), lambda t: ~F.arrays_overlap(number_candidates(t), known))
+    return F.array_distinct(F.concat(digits, F.filter(han_numerals(source), lambda v: ~F.array_contains(known, v))))
+
+
 def missing_numbers(source: Column, target: Column) -> Column:
-    """Numbers of the source, in order and once each, none of whose readings is a reading in the target."""
-    known = F.flatten(F.transform(number_tokens(target), number_candidates))
-    return F.array_distinct(F.filter(number_tokens(source), lambda t: ~F.arrays_overlap(number_candidates(t), F.concat(known, F.array(F.lit(""))))))
+    """Numbers of the source, in order and once each, none of whose readings is a reading in the target. None are missing
+    if all are found once decimals that a space has split are joined again."""
+    joined = F.regexp_replace(source, r"([0-9][.,])\s+(?=[0-9])", "$1")
+    strict = _missing(source, target)
+    return F.when((F.size(strict) > 0) & (joined != source) & (F.size(_missing(joined, target)) == 0), F.array().cast("array<string>")).otherwise(strict)
 
 
 # Page ranges and glossaries
@@ -147,6 +191,14 @@ def page_range(spec: Column, total: Column) -> Column:
     return F.when((F.size(parts) == 0) | F.array_contains(parts, "all"), everything).otherwise(some)
 
 
+def format_pages(pages: Column) -> Column:
+    """Sorted, distinct 0-based pages as "1-5,8", no pages as "-"."""
+    first = F.filter(pages, lambda p: ~F.array_contains(pages, p - 1))
+    last = F.filter(pages, lambda p: ~F.array_contains(pages, p + 1))
+    runs = F.zip_with(first, last, lambda a, b: F.when(a == b, (a + 1).cast("string")).otherwise(F.concat_ws("-", a + 1, b + 1)))
+    return F.when(F.size(pages) == 0, "-").otherwise(F.array_join(runs, ","))
+
+
 def glossary_entry(line: Column) -> Column:
     """(src, dst) of a glossary line, null for blanks, comments and lines without both sides."""
     s = clean_text(line)

@@ -91,7 +91,7 @@ def contained(rows: DataFrame, regions: DataFrame, prefer: Column) -> DataFrame:
 
 def room_below(rows: DataFrame, page_height: float) -> DataFrame:
     """rows with `room`: from a box's lower edge to the nearest upper edge of a box of its column whose centre is lower."""
-    a, b = rows.alias("a"), rows.alias("b")
-    under = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.x0") == F.col("b.x0")) & (F.col("b.y0") + F.col("b.y1") > F.col("a.y0") + F.col("a.y1"))
-    near = a.join(b, under, "left").groupBy(*(F.col(f"a.{c}").alias(c) for c in rows.columns)).agg(F.min("b.y0").alias("_n"))
-    return near.withColumn("room", F.greatest(F.lit(0.0), F.coalesce("_n", F.lit(page_height)) - F.col("y1"))).drop("_n")
+    column = Window.partitionBy("doc_id", "x0").orderBy("_c")
+    placed = rows.withColumn("_c", F.col("y0") + F.col("y1")).withColumn("_r", F.dense_rank().over(column))
+    lower = Window.partitionBy("doc_id", "x0").orderBy("_r").rangeBetween(1, Window.unboundedFollowing)
+    return placed.withColumn("room", F.greatest(F.lit(0.0), F.coalesce(F.min("y0").over(lower), F.lit(page_height)) - F.col("y1"))).drop("_c", "_r")

@@ -74,10 +74,10 @@ def dedup_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.leaders(doc_lines(spark, sf_dir))
 
 
-@query(f"with {LINES}, s as (select *, {CLEAN} as s from lines), cache as (select distinct s from s where doc_id % 2 = 0 and s != '') select lang, count(*) as misses, count(distinct s.s) as distinct_misses from s where s.s != '' and s.s not in (select s from cache) group by lang")
+@query(f"with {LINES}, s as (select *, {CLEAN} as s from lines), cache as (select distinct s from s where lang = 'en' and s != '') select lang, count(*) as misses, count(distinct s.s) as distinct_misses from s where s.s != '' and s.s not in (select s from cache) group by lang")
 def cache_miss_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = doc_lines(spark, sf_dir).where(T.clean_text(F.col("line")) != "").withColumn("cache_key", C.cache_key(F.col("line")))
-    cache = keyed.where("doc_id % 2 = 0").select("cache_key").distinct()
+    cache = keyed.where("lang = 'en'").select("cache_key").distinct()
     missed = keyed.join(cache, "cache_key", "left_anti")
     return missed.groupBy("lang").agg(F.count("*").alias("misses"), F.countDistinct("cache_key").alias("distinct_misses"))
 
