@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 ITEM_CHARS = 1600
 NUMBER_NAMES, TEXT_NAMES = ("i", "index", "id"), ("t", "text", "translation")
 NESTED_NAMES = ("translations", "result", "results", "data", "items")
-SENTENCE_END = re.compile(r"(?<=[.!?;:。！？；：\n])\s*")
+SENTENCE_END = re.compile(r"[.!?;:。！？；：\n]\s*")
 
 
 def long_pieces(text: str | None, most: int = ITEM_CHARS) -> list[str]:
-    """A text in pieces of at most `most` characters, cut at ends of sentences, inside a sentence only if it is longer."""
+    """A text in pieces of at most `most` characters, cut at ends of sentences, inside a sentence only if it is longer.
+
+    White space after a sentence stays with it; pieces of nothing else are left out."""
     text = (text or "").strip()
     if len(text) <= most:
         return [text]
-    sentences = [s[i : i + most] for s in SENTENCE_END.split(text) if s for i in range(0, len(s), most)]
+    ends = [0, *(m.end() for m in SENTENCE_END.finditer(text)), len(text)]
+    sentences = [text[i : min(i + most, b)] for a, b in zip(ends[:-1], ends[1:], strict=True) for i in range(a, b, most)]
     groups: list[list[str]] = []
     room = -1
     for s in sentences:

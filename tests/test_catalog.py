@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from folioforge.plans import catalog, pages  # noqa: F401
+from folioforge.plans import catalog, pages, translate  # noqa: F401
 
 
 @pytest.fixture(scope="module")

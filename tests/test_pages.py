@@ -48,6 +48,7 @@ def test_pieces_hold_the_text():
         got = replies.long_pieces(text, 20)
         assert all(len(p) <= 20 for p in got)
         assert "".join("".join(got).split()) == "".join(text.split())
+        assert "  " in text or "\n" in text or "".join(got) == text.strip()
     assert replies.long_pieces("x" * 1600) == ["x" * 1600]
     assert [len(p) for p in replies.long_pieces("x" * 1601)] == [1600, 1]
     assert replies.long_pieces(None) == [""]
