@@ -66,10 +66,10 @@ def batches(sizes: Column, most_items: int = 12, most_chars: int = 6000) -> Colu
 # Boxes on pages: (doc_id, ord, x0, y0, x1, y1)
 
 
-def boxes(paragraphs: DataFrame) -> DataFrame:
-    """A box for each line of the corpus, in two columns of a page; stands in for parsed geometry."""
+def boxes(paragraphs: DataFrame, *keep: str | Column) -> DataFrame:
+    """A box for each line of the corpus, in two columns of a page, with columns to keep; stands in for parsed geometry."""
     x0 = (F.col("ord") % 2) * 260 + 40
-    return paragraphs.select("doc_id", "ord", x0.cast("double").alias("x0"), ((F.floor(F.col("ord") / 2) % 50) * 14 + 20).cast("double").alias("y0"), (x0 + 20 + F.length("line") % 200).cast("double").alias("x1"), ((F.floor(F.col("ord") / 2) % 50) * 14 + 30 + F.length("line") % 7).cast("double").alias("y1"))
+    return paragraphs.select("doc_id", "ord", x0.cast("double").alias("x0"), ((F.floor(F.col("ord") / 2) % 50) * 14 + 20).cast("double").alias("y0"), (x0 + 20 + F.length("line") % 200).cast("double").alias("x1"), ((F.floor(F.col("ord") / 2) % 50) * 14 + 30 + F.length("line") % 7).cast("double").alias("y1"), *keep)
 
 
 def clusters(rows: DataFrame, gap: float = 15.0) -> DataFrame:

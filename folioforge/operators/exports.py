@@ -50,3 +50,9 @@ def plain_text(rows: DataFrame) -> DataFrame:
     shown = F.filter("items", lambda x: ~F.coalesce(x["kind"].isin(*SKIPPED, "code"), F.lit(False)) & (x["target"] != ""))
     kept = paragraphs_of(rows).select("doc_id", shown.alias("items"))
     return kept.select("doc_id", _paged(F.col("items"), F.lit("===== 第 {} 页 ====="), lambda x: x["target"]).alias("text"))
+
+
+def segments(rows: DataFrame) -> DataFrame:
+    """One row a paragraph, for DataFrameWriter.json: doc_id, id, page (from 1), kind, source, target ('' for none), reason, and where rows have them bbox (two decimals) and error."""
+    flat = rows.select("doc_id", F.col("ord").alias("id"), (F.col("page") + 1).alias("page"), "kind", _flat(F.col("text")).alias("source"), _flat(F.col("target")).alias("target"), F.coalesce("reason", F.lit("")).alias("skip_reason"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("error",) if c in rows.columns), *(F.transform(c, lambda v: F.round(v, 2)).alias(c) for c in ("bbox",) if c in rows.columns))
+    return flat.withColumn("translatable", F.col("skip_reason").isin("", "translatable"))

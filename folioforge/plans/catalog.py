@@ -126,14 +126,14 @@ def median_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.expr("percentile(size, 0.5, times)").alias("body_size"))
 
 
-BOXES = f"{LINES}, boxes as (select doc_id, ord::int as ord, ((ord % 2) * 260 + 40)::double as x0, ((ord // 2 % 50) * 14 + 20)::double as y0, ((ord % 2) * 260 + 60 + length(line) % 200)::double as x1, ((ord // 2 % 50) * 14 + 30 + length(line) % 7)::double as y1 from lines)"
+BOXES = f"{LINES}, boxes as (select doc_id, line, source, ord::int as ord, ((ord % 2) * 260 + 40)::double as x0, ((ord // 2 % 50) * 14 + 20)::double as y0, ((ord % 2) * 260 + 60 + length(line) % 200)::double as x1, ((ord // 2 % 50) * 14 + 30 + length(line) % 7)::double as y1 from lines)"
 CELLS = [("a", 0.0, 0.0, 300.0, 200.0), ("b", 300.0, 0.0, 600.0, 200.0), ("c", 0.0, 150.0, 600.0, 420.0), ("d", 100.0, 400.0, 380.0, 800.0)]
 GRID = "cells(region, rx0, ry0, rx1, ry1) as (values " + ", ".join(f"('{r}', {a}, {b}, {c}, {d})" for r, a, b, c, d in CELLS) + ")"
 INSIDE = "(x0 + x1) / 2 between rx0 and rx1 and (y0 + y1) / 2 between ry0 and ry1"
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.boxes(doc_lines(spark, sf_dir))
+def _boxes(spark: SparkSession, sf_dir: str, *keep) -> DataFrame:
+    return C.boxes(doc_lines(spark, sf_dir), *keep)
 
 
 @query(f"""with {BOXES}, r as (select *, max(x1) over (partition by doc_id order by x0, y0, ord rows between unbounded preceding and 1 preceding) as reach from boxes),

@@ -12,6 +12,13 @@ from folioforge.sources import store
 
 PAGE_WIDTH, LINES_A_PAGE = 600.0, 50
 FENCE = "```"
+BOXES_A_PAGE = 2 * LINES_A_PAGE
+
+
+def paged(rows: DataFrame, by_column: bool = False) -> DataFrame:
+    """Boxes with a number of their page (or column of a page) as doc_id."""
+    page = F.col("doc_id") * 100000 + F.floor(F.col("ord") / BOXES_A_PAGE) * 2
+    return rows.withColumn("doc_id", (page + F.col("ord") % 2 if by_column else page).cast("long"))
 
 
 @query(f"with {BOXES}, g as (select doc_id, y0 - lag(y0) over (partition by doc_id order by y0) as gap from boxes) select doc_id, coalesce(median(gap) filter (gap > 0.5), 0)::double as spacing from g group by doc_id")
@@ -34,18 +41,23 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.reading_order(_boxes(spark, sf_dir), PAGE_WIDTH)
+    return layout.reading_order(paged(_boxes(spark, sf_dir)), PAGE_WIDTH)
+
+
+@query(None)
+def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.columns(paged(_boxes(spark, sf_dir)), PAGE_WIDTH)
 
 
 @query(None)
 def merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _boxes(spark, sf_dir).withColumns({"column": (F.col("x0") > 100).cast("int"), "kind": F.lit("text"), "size": F.lit(10.0), "color": F.lit(0), "bold": F.lit(False), "first_x0": F.col("x0"), "last_x1": F.col("x1")})
+    rows = paged(_boxes(spark, sf_dir)).withColumns({"column": (F.col("x0") > 100).cast("int"), "kind": F.lit("text"), "size": F.lit(10.0), "color": F.lit(0), "bold": F.lit(False), "first_x0": F.col("x0"), "last_x1": F.col("x1")})
     return layout.merged_paragraphs(rows)
 
 
 @query(None)
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.table_rows(_boxes(spark, sf_dir).withColumnRenamed("y1", "y"))
+    return layout.table_rows(paged(_boxes(spark, sf_dir)).withColumnRenamed("y1", "y"))
 
 
 @query(f"""{JUDGED}, r as (select doc_id, ord, ord - row_number() over (partition by doc_id order by ord) as island from judged where reason = 'translatable'),
@@ -75,6 +87,13 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.markdown(_paragraphs(spark, sf_dir)).select("doc_id", F.sha2("markdown", 256).alias("body_sha256"))
 
 
+@query(f"{JUDGED} select doc_id, sha256(string_agg(concat_ws(chr(31), ord, ord // {LINES_A_PAGE} + 1, case when reason in ('page_num', 'code') then reason else 'text' end, s, case when reason = 'translatable' then s else '' end), chr(10) order by ord)) as segments_sha256 from judged group by doc_id")
+def export_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = exports.segments(_paragraphs(spark, sf_dir)).withColumn("row", F.concat_ws("\x1f", "id", "page", "kind", "source", "target"))
+    ordered = F.array_sort(F.collect_list(F.struct("id", "row")))
+    return segments.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["row"]), "\n"), 256).alias("segments_sha256"))
+
+
 @query(_exported("reason = 'translatable'", "===== 第 {} 页 =====", "target"))
 def export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.plain_text(_paragraphs(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("body_sha256"))
