@@ -22,7 +22,7 @@ def column(x0, x1, n, y0=100.0, step=20.0):
 def test_columns_are_read_between_spanning_boxes():
     head, middle = [[40.0, 10.0, 560.0, 50.0]], [[40.0, 190.0, 560.0, 250.0]]
     left, right = column(40.0, 280.0, 4) + column(40.0, 280.0, 3, 260.0), column(320.0, 560.0, 4) + column(320.0, 560.0, 3, 260.0)
-    box = np.array(head + right + middle + left + [[280.0, 780.0, 320.0, 790.0]])
+    box = np.array(head + right + middle + left + [[100.0, 780.0, 140.0, 790.0]])
     order, n = layout.page_order(box, 600)
     rights, lefts = list(range(1, 8)), list(range(9, 16))
     assert n == 2 and order == [0, *lefts[:4], *rights[:4], 8, *lefts[4:], *rights[4:], 16]
