@@ -61,7 +61,7 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - live))
 
 
-RUNS = runs_for(RECALL, 3)
+RUNS = runs_for(RECALL, MAX_DEPTH)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

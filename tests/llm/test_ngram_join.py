@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from cases import EDGE, edge_docs
 
@@ -112,3 +113,22 @@ def test_components(spark, n):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, n)] + [(1000, 2000), (1500, 2000)], "a long, b long")
     got = {r["_uid"]: r["comp"] for r in ngram_join.components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1500: 1000, 2000: 1000}
+
+
+@pytest.mark.parametrize("depth", range(1, ngram_join.MAX_DEPTH + 1))
+def test_runs_keep_the_recall_at_every_depth(depth):
+    """A pair at the threshold, a set and its 80 % part, that must live to this depth."""
+    assert ngram_join.RUNS >= ngram_join.runs_for(ngram_join.RECALL, depth)
+    rnd = random.Random(depth)
+    found = total = 0
+    for _ in range(600):
+        x = np.array([rnd.getrandbits(64) for _ in range(60)], np.uint64)
+        y = x[:48]
+        nodes = ngram_join.mix(np.arange(1, ngram_join.RUNS + 1, dtype=np.uint64) * ngram_join._STEP)
+        for _ in range(depth):
+            common = [np.intersect1d(ngram_join.children(x, nodes, 0.8), ngram_join.children(y, nodes, 0.8))]
+            nodes = np.concatenate(common)
+            if not len(nodes):
+                break
+        found, total = found + bool(len(nodes)), total + 1
+    assert found >= 0.99 * total
