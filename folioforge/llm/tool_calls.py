@@ -11,7 +11,8 @@ raised beyond the count of calls can only stand on a cycle; such calls get the s
 calls: conv_id, call_id, number, name, arguments (JSON text), depends_on (array of call ids). results: conv_id, call_id,
 output. Defined cases: a call without an id or with arguments that are no JSON object is invalid; a call without a
 result is `pending`, a result without a call `orphan`; calls (or results) with one id count once, the least row stands
-and `copies` tells how many there were; dependencies that do not exist are listed as errors; empty tables give no rows;
+and `copies` tells how many there were; where such calls or results differ the others are kept in `other_calls` (JSON
+texts) and `other_outputs` (without nulls), and `n_results` counts the results; dependencies that do not exist are listed as errors; empty tables give no rows;
 other columns are not read.
 """
 
@@ -103,11 +104,15 @@ def ranks(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """conv_id, call_id, name, rank, status, errors, copies, message (canonical JSON) of every call, and of orphan results."""
+    """conv_id, call_id, name, rank, status, errors, copies, message (canonical JSON), n_results, other_calls and other_outputs of every call, and
+    of orphan results."""
     one = F.struct("number", "name", "arguments", "depends_on")
-    calls = calls.groupBy("conv_id", "call_id").agg(F.min(one).alias("x"), F.count("*").alias("copies")).select("conv_id", "call_id", "x.*", "copies")
+    calls = calls.groupBy("conv_id", "call_id").agg(F.min(one).alias("x"), F.count("*").alias("copies"), F.sort_array(F.collect_set(one)).alias("all"))
+    others = F.transform(F.slice("all", 2, F.size("all")), lambda c: F.to_json(c))
+    calls = calls.select("conv_id", "call_id", "x.*", "copies", others.alias("other_calls"))
     calls = materialise(validate(calls, schemas), "calls")
-    outputs = results.groupBy("conv_id", "call_id").agg(F.min("output").alias("output"), F.count("*").alias("n_results"))
+    outputs = results.groupBy("conv_id", "call_id").agg(F.min("output").alias("output"), F.count("*").alias("n_results"), F.sort_array(F.collect_set("output")).alias("all"))
+    outputs = outputs.select("conv_id", "call_id", "output", "n_results", F.slice("all", 2, F.size("all")).alias("other_outputs"))
     rank, missing = ranks(calls)
     lost = missing.groupBy("conv_id", "call_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("depends_on: no "), "dep"))).alias("lost"))
 
@@ -116,10 +121,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 
     both = calls.alias("c").join(rank.alias("k"), on("c", "k"), "left").join(lost.alias("l"), on("c", "l"), "left").join(outputs.alias("o"), on("c", "o"), "full")
     errors = F.concat(F.coalesce("c.errors", F.array().cast("array<string>")), F.coalesce("l.lost", F.array().cast("array<string>")), F.when(F.col("c.copies").isNotNull() & F.col("c.call_id").isNull(), F.array(F.lit("call_id: missing"))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    more_calls, more_outputs = F.coalesce("other_calls", none), F.coalesce("other_outputs", none)
     status = F.when(F.col("c.copies").isNull(), "orphan").when(F.col("is_cycle"), "cycle").when(F.col("n_results").isNull(), "pending").otherwise("linked")
     conv, call = F.coalesce("c.conv_id", "o.conv_id"), F.coalesce("c.call_id", "o.call_id")
     message = F.to_json(F.struct(F.col("parsed").alias("arguments"), F.array_sort("depends_on").alias("depends_on"), call.alias("id"), F.col("name"), F.col("output"), F.col("rank")))
-    return both.select(conv.alias("conv_id"), call.alias("call_id"), "name", "rank", status.alias("status"), errors.alias("errors"), F.coalesce("copies", "n_results").alias("copies"), message.alias("message"))
+    return both.select(conv.alias("conv_id"), call.alias("call_id"), "name", "rank", status.alias("status"), errors.alias("errors"), F.coalesce("copies", "n_results").alias("copies"), message.alias("message"), F.coalesce("n_results", F.lit(0)).alias("n_results"), more_calls.alias("other_calls"), more_outputs.alias("other_outputs"))
 
 
 # Conversations as calls

@@ -83,3 +83,12 @@ def test_conversations(spark, sf):
 
 def test_empty(spark):
     assert run(spark, [], []) == []
+
+
+def test_different_results_and_calls_of_one_id_are_kept(spark):
+    calls = [(1, "a", 0, "f", '{"x":1}', [], 1), (1, "a", 0, "f", '{"x":2}', [], 1), (1, "b", 1, "f", '{"x":1}', [], 1), (1, "b", 1, "f", '{"x":1}', [], 1)]
+    results = [(1, "a", "one"), (1, "b", "two"), (1, "b", "three"), (1, "b", "two")]
+    got = {r["call_id"]: r for r in run(spark, calls, results)}
+    assert [json.loads(c)["arguments"] for c in got["a"]["other_calls"]] == ['{"x":2}']
+    assert got["b"]["other_outputs"] == ["two"] and got["b"]["n_results"] == 3
+    assert got["a"]["other_outputs"] == [] and got["b"]["other_calls"] == [] and got["b"]["copies"] == 2
