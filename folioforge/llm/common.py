@@ -20,9 +20,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one of our own only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="folioforge-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -33,7 +35,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/folioforge/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote; nothing that is still to be computed may read them."""
+    for t in tables:
+        if at := getattr(t, "written_at", None):
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -60,6 +73,6 @@ def hash_fraction(*cols: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
-    """About `rows` rows, chosen by a hash of the columns: the same rows on every run, never many more than asked."""
+    """About `rows` rows, chosen by a hash of the columns, each value of them once: the same on every run, twice `rows` at most."""
     total = df.count()
-    return df if total <= rows else df.where(hash_fraction(*cols) < F.lit(rows / total))
+    return df if total <= rows else df.where(hash_fraction(*cols) < F.lit(rows / total)).dropDuplicates(list(cols)).limit(2 * rows)
