@@ -4,9 +4,10 @@ Calls and results are hash-joined by their identifier; calls are put in topologi
 arguments are validated against the schema of their tool; and every linked call is serialised as canonical JSON (keys
 sorted, no spaces). Nothing is collected by conversation: a conversation may hold any share of the rows.
 
-Order: a call's rank starts as its own number in the conversation; while some call does not rank above one that it
-depends on, it is raised above it. Where calls only depend on earlier ones this takes one look and no round. A rank
-raised beyond the count of calls can only stand on a cycle; such calls get the status `cycle`.
+Order: a call's rank is its own number in the conversation, or one more than the greatest rank of the calls it depends on if
+that is more. Where numbers already are such an order this takes one look and no round. Else chains of dependencies are
+halved in every round. All calls on a cycle get the status `cycle` and keep their number; for calls that depend on them,
+such dependencies are left out.
 
 calls: conv_id, call_id, number, name, arguments (JSON text), depends_on (array of call ids). results: conv_id, call_id,
 output. Defined cases: a call without an id or with arguments that are no JSON object is invalid; a call without a
@@ -21,8 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import materialise
+from folioforge.llm.common import materialise, release
 
+#: Rank above which none is raised (only nodes on cycles get there).
+MOST = 1 << 50
 #: JSON schema types as they appear in the type names of variants.
 TYPES = {"string": "^STRING", "integer": "^(BIGINT|DECIMAL\\(\\d+,0\\))$", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT", "null": "^VOID"}
 
@@ -75,32 +78,96 @@ def validate(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return calls.withColumn("parsed", parsed).withColumn("errors", F.coalesce(checks, F.array(F.lit("arguments: not an object"))))
 
 
+def _key(*cols: str | Column) -> Column:
+    """One string for the values of columns, nulls apart from all others."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return F.concat(*(F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in cols))
+
+
+def resolved(nodes: DataFrame) -> DataFrame:
+    """(node, least, deps) with the deps left that can not be resolved: those on a cycle or above one; least is final for all others.
+
+    nodes: node, least (what its rank is at least), deps (array of (dep, up): its rank is `up` above that of dep at least).
+    In each round deps without deps are taken in, and deps with a single dep are replaced by it, so a chain takes a round
+    for each doubling of its length. While some node has deps on no cycle, one at least is resolved in each round."""
+    now, left = nodes, None
+    while True:
+        open_ = now.where("size(deps) > 0").count()
+        if not open_ or open_ == left:
+            return now
+        left = open_
+        below = now.select(F.col("node").alias("dep"), F.col("least").alias("low"), F.col("deps").alias("further"))
+        links = now.where("size(deps) > 0").select("node", F.explode("deps").alias("x")).select("node", "x.dep", "x.up").join(below, "dep")
+        single = F.size("further") == 1
+        then = F.when(F.size("further") == 0, F.lit(None)).when(single, F.struct(F.col("further")[0]["dep"].alias("dep"), F.least(F.col("further")[0]["up"] + F.col("up"), F.lit(MOST)).alias("up"))).otherwise(F.struct("dep", "up"))
+        raised = links.select("node", F.when(F.size("further") <= 1, F.least(F.col("low") + F.col("up"), F.lit(MOST))).alias("low"), then.alias("x"))
+        per = raised.groupBy("node", "x.dep").agg(F.max("low").alias("low"), F.max("x.up").alias("up")).groupBy("node")
+        got = per.agg(F.max("low").alias("low"), F.sort_array(F.collect_list(F.when(F.col("dep").isNotNull(), F.struct("dep", "up")))).alias("after"))
+        after = now.join(got, "node", "left").select("node", F.greatest("least", "low").alias("least"), F.coalesce("after", F.col("deps")).alias("deps"))
+        before, now = now, materialise(after, "resolved")
+        if before is not nodes:
+            release(before)
+
+
+def on_cycles(stuck: DataFrame) -> DataFrame:
+    """(node) of the nodes that stand on a cycle. stuck: node, deps (array of (dep, up)), as resolved() leaves them open, with their first deps.
+
+    Each node follows one of its deps; the image of following often enough is on cycles, which are found by doubling. Cycles
+    are merged into one node each, what is then resolvable goes, and the rest is looked at again: nested cycles take a turn each."""
+    edges = materialise(stuck.select("node", F.explode("deps").alias("x")).select("node", "x.dep").distinct(), "cycle_edges")
+    member = materialise(stuck.select("node", F.col("node").alias("comp")), "members")
+    found = edges.where("node = dep").select("node")
+    while True:
+        comp = member.select(F.col("node").alias("dep"), F.col("comp").alias("to"))
+        outer = edges.join(member, "node").join(comp, "dep").where("comp != to").select(F.col("comp").alias("node"), F.col("to").alias("dep")).distinct()
+        deps = outer.groupBy("node").agg(F.collect_set(F.struct("dep", F.lit(0).cast("long").alias("up"))).alias("deps"))
+        graph = member.select(F.col("comp").alias("node")).distinct().join(deps, "node", "left").select("node", F.lit(0).cast("long").alias("least"), F.coalesce("deps", F.array().cast("array<struct<dep:string,up:bigint>>")).alias("deps"))
+        graph = materialise(graph, "merged")
+        rest = resolved(graph).where("size(deps) > 0").select("node")
+        n = rest.count()
+        if not n:
+            return found.unionByName(member.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1").join(member, "comp").select("node")).distinct()
+        alive = rest.select(F.col("node").alias("dep"))
+        follow = graph.join(rest, "node", "left_semi").select("node", F.explode("deps").alias("x")).select("node", "x.dep").join(alive, "dep", "left_semi")
+        jump = materialise(follow.groupBy("node").agg(F.min("dep").alias("to")).withColumn("low", F.col("to")), "jump")
+        for _ in range(max(1, (n - 1).bit_length())):
+            then = jump.select(F.col("node").alias("to"), F.col("to").alias("end"), F.col("low").alias("more"))
+            last, jump = jump, materialise(jump.join(then, "to").select("node", F.col("end").alias("to"), F.least("low", "more").alias("low")), "jump")
+            release(last)
+        cycle = jump.join(jump.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("comp"), "low")
+        member = materialise(member.join(cycle, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "members")
+
+
 def ranks(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conv_id, call_id, rank, is_cycle) with each call above those it depends on, and (conv_id, call_id, dep) with no such dep."""
-    nodes = calls.select("conv_id", "call_id", F.coalesce("number", F.lit(0)).cast("long").alias("rank"))
-    links = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("dep")).where("dep is not null")
+    nodes = calls.select("conv_id", "call_id", F.coalesce("number", F.lit(0)).cast("long").alias("rank"), "depends_on")
+    links = nodes.select("conv_id", "call_id", "rank", F.explode(F.array_distinct("depends_on")).alias("dep")).where("dep is not null")
     target = nodes.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("dep"), F.col("rank").alias("below"))
     same = F.col("conv_id").eqNullSafe(F.col("_c"))
-    joined = links.join(target, (links["dep"] == target["dep"]) & same, "left").select("conv_id", "call_id", links["dep"], "below")
-    edges = materialise(joined, "edges")
+    edges = materialise(links.join(target, (links["dep"] == target["dep"]) & same, "left").select("conv_id", "call_id", "rank", links["dep"], "below"), "edges")
     missing = edges.where("below is null").select("conv_id", "call_id", "dep")
-    edges = edges.where("below is not null").select("conv_id", "call_id", "dep")
-    top = nodes.groupBy("conv_id").agg((F.max("rank") + F.count("*")).alias("most"))
-    now = nodes.withColumn("is_cycle", F.lit(False))
-    while True:
-        a, b = now.alias("a"), now.alias("b")
-        onto = F.col("e.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("e.dep") == F.col("b.call_id"))
-        need = edges.alias("e").join(b.where("not is_cycle"), onto).select("e.conv_id", "e.call_id", F.col("b.rank").alias("under"))
-        need = need.groupBy("conv_id", "call_id").agg((F.max("under") + 1).alias("least")).alias("n")
-        up = a.join(need, F.col("a.conv_id").eqNullSafe(F.col("n.conv_id")) & (F.col("a.call_id") == F.col("n.call_id")) & (F.col("n.least") > F.col("a.rank")))
-        raised = materialise(up.where("not is_cycle").select("a.conv_id", "a.call_id", "least"), "raised")
-        if raised.isEmpty():
-            return now, missing
-        r, t = raised.alias("r"), top.alias("t")
-        after = a.join(r, F.col("a.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("a.call_id") == F.col("r.call_id")), "left")
-        after = after.join(t, F.col("a.conv_id").eqNullSafe(F.col("t.conv_id")))
-        rank = F.coalesce("r.least", "a.rank")
-        now = materialise(after.select("a.conv_id", "a.call_id", rank.alias("rank"), (F.col("a.is_cycle") | (rank > F.col("most"))).alias("is_cycle")), "ranks")
+    late = edges.where("rank <= below").select("conv_id").distinct()
+    plain = nodes.select("conv_id", "call_id", "rank", F.lit(False).alias("is_cycle"))
+    if late.isEmpty():  # numbers already are an order
+        return plain, missing
+    within = lambda d: d.join(late.withColumnRenamed("conv_id", "_l"), F.col("conv_id").eqNullSafe(F.col("_l")), "left_semi")
+    deps = within(edges.where("below is not null")).select(_key("conv_id", "call_id").alias("node"), F.struct(_key("conv_id", "dep").alias("dep"), F.lit(1).cast("long").alias("up")).alias("x"))
+    deps = deps.groupBy("node").agg(F.collect_set("x").alias("deps"))
+    none = F.array().cast("array<struct<dep:string,up:bigint>>")
+    graph = within(plain).select(_key("conv_id", "call_id").alias("node"), F.col("rank").alias("least")).join(deps, "node", "left")
+    graph = materialise(graph.select("node", "least", F.coalesce("deps", none).alias("deps")), "graph")
+    done = resolved(graph)
+    cycles = None
+    if not (stuck := done.where("size(deps) > 0").select("node")).isEmpty():
+        within_stuck = graph.join(stuck, "node", "left_semi").select("node", F.explode("deps").alias("x")).select("node", "x.dep").join(stuck.withColumnRenamed("node", "dep"), "dep", "left_semi")
+        cycles = materialise(on_cycles(stuck.join(within_stuck.groupBy("node").agg(F.collect_list(F.struct("dep", F.lit(1).cast("long").alias("up"))).alias("deps")), "node")), "cycles")
+        free = graph.select("node", F.explode("deps").alias("x")).join(cycles.select(F.col("node").alias("dep")), F.col("x.dep") == F.col("dep"), "left_anti").join(cycles, "node", "left_anti")
+        again = graph.select("node", "least").join(free.groupBy("node").agg(F.collect_list("x").alias("deps")), "node", "left")
+        done = resolved(materialise(again.select("node", "least", F.coalesce("deps", none).alias("deps")), "graph"))
+    final = done.select("node", "least")
+    final = final.withColumn("is_cycle", F.lit(False)) if cycles is None else final.join(cycles.withColumn("is_cycle", F.lit(True)), "node", "left")
+    known = plain.withColumn("node", _key("conv_id", "call_id")).drop("is_cycle").join(final, "node", "left")
+    return known.select("conv_id", "call_id", F.coalesce("least", "rank").alias("rank"), F.coalesce("is_cycle", F.lit(False)).alias("is_cycle")), missing
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -132,10 +199,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 # Conversations as calls
 
 
+PROMPT_CHARS = 300
 ANSWER = {
     "answer": {
         "required": ["conversation", "prompt", "turn"],
-        "properties": {"conversation": {"type": "integer", "minimum": 0}, "prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+        "properties": {"conversation": {"type": "integer", "minimum": 0}, "prompt": {"type": "string", "minLength": 1, "maxLength": PROMPT_CHARS}, "turn": {"type": "integer", "minimum": 0}},
         "additionalProperties": False,
     }
 }
@@ -143,10 +211,10 @@ ANSWER = {
 
 def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every user turn as a call of the tool `answer`, which depends on the user turn before; every assistant turn as the
-    result of the turn before it."""
+    result of the turn before it. Calls carry no number, so their order comes from what they depend on."""
     ident = lambda turn: F.concat_ws(":", F.lit("call"), F.col("conv_id"), turn)
     args = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn"), F.col("conv_id").alias("conversation")))
-    asked = turns.where("role = 'user'").select("conv_id", ident(F.col("turn")).alias("call_id"), F.col("turn").alias("number"), F.lit("answer").alias("name"), args.alias("arguments"), F.col("turn"))
+    asked = turns.where("role = 'user'").select("conv_id", ident(F.col("turn")).alias("call_id"), F.lit(None).cast("long").alias("number"), F.lit("answer").alias("name"), args.alias("arguments"), F.col("turn"))
     before = asked.select(F.col("conv_id").alias("_c"), (F.col("turn") + 2).alias("_t")).distinct()
     calls = asked.join(before, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
     needs = F.when(F.col("_t").isNotNull(), F.array(ident(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))

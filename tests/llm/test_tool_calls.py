@@ -62,22 +62,77 @@ def test_topological_order(spark):
     assert len(rank) == 84 and edges and all(rank[c, a] > rank[c, d] for c, a, d in edges)
 
 
-def test_cycles(spark):
-    rows = run(spark, [(1, "a", 0, "free", "{}", ["b"], 1), (1, "b", 1, "free", "{}", ["a"], 1), (1, "c", 2, "free", "{}", ["c"], 1), (1, "d", 3, "free", "{}", [], 1)], [])
-    got = {r["call_id"]: r["status"] for r in rows}
-    assert got["d"] == "pending" and "cycle" in (got["a"], got["b"]) and got["c"] == "cycle"
+def reference(calls):
+    """(ranks, calls on cycles) by plain search; dependencies on a call on a cycle are left out."""
+    deps = {k: {d for d in ds if d in calls} for k, (_, ds) in calls.items()}
+
+    def above(k):
+        seen, todo = set(), list(deps[k])
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += deps[x]
+        return seen
+
+    cyclic = {k for k in calls if k in above(k)}
+    rank = {}
+
+    def of(k):
+        if k not in rank:
+            rank[k] = calls[k][0] if k in cyclic else max([calls[k][0], *(of(d) + 1 for d in deps[k] - cyclic)])
+        return rank[k]
+
+    return {k: of(k) for k in calls}, cyclic
+
+
+def test_order_and_cycles_on_random_graphs(spark):
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for c in range(30):
+        n = rnd.randint(1, 14)
+        p = rnd.choice([0.05, 0.1, 0.2])
+        calls = {f"k{i}": (rnd.randrange(6), sorted({f"k{j}" for j in range(n) if rnd.random() < p})) for i in range(n)}
+        rows += [(c, k, num, "free", "{}", [*deps, *deps[:1]], 1) for k, (num, deps) in calls.items()]
+        rank, cyclic = reference(calls)
+        want |= {(c, k): (rank[k], "cycle" if k in cyclic else "pending") for k in calls}
+    got = {(r["conv_id"], r["call_id"]): (r["rank"], r["status"]) for r in run(spark, rows, [])}
+    assert got == want and {s for _, s in want.values()} == {"cycle", "pending"}
+
+
+def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
+    written = []
+    plain = T.materialise
+    monkeypatch.setattr(T, "materialise", lambda df, name: written.append(name) or plain(df, name))
+    n = 3000
+    rows = [(1, f"c{i}", n - i, "free", "{}", [f"c{i - 1}"] if i else [], 1) for i in range(n)]
+    got = {r["call_id"]: r["rank"] for r in run(spark, rows, [])}
+    assert got == {f"c{i}": n + i for i in range(n)} and len(written) <= 20
+    del written[:]
+    ring = [(1, f"c{i}", 0, "free", "{}", [f"c{(i + 1) % 1000}"], 1) for i in range(1000)] + [(1, f"d{i}", 0, "free", "{}", [f"d{i - 1}" if i else "c5"], 1) for i in range(50)]
+    got = {r["call_id"]: (r["rank"], r["status"]) for r in run(spark, ring, [])}
+    assert got == {f"c{i}": (0, "cycle") for i in range(1000)} | {f"d{i}": (i, "pending") for i in range(50)} and len(written) <= 45
+
+
+def test_clashing_columns(spark):
+    calls = spark.createDataFrame([(1, "a", 0, "free", "{}", ["b"], 1, 2), (1, "b", 0, "free", "{}", [], 1, 2)], "conv_id long, call_id string, number long, name string, arguments string, depends_on array<string>, rank int, least int")
+    results = spark.createDataFrame([(1, "a", "x", 3)], "conv_id long, call_id string, output string, n_results int")
+    got = {r["call_id"]: (r["rank"], r["status"]) for r in T.link_calls(calls, results, SCHEMA).collect()}
+    assert got == {"a": (1, "linked"), "b": (0, "pending")}
 
 
 def test_conversations(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     rows = queries.op6_tool_calls(spark, sf).collect()
+    text = {(r["conv_id"], r["turn"]): r["text"] or "" for r in turns}
     users, answers = {(r["conv_id"], r["turn"]) for r in turns if r["role"] == "user"}, {(r["conv_id"], r["turn"]) for r in turns if r["role"] == "assistant"}
     got = {(r["conv_id"], r["call_id"]): r for r in rows}
     assert len(got) == len(rows) == len(users | {(c, t - 1) for c, t in answers})
     for c, t in users:
         r = got[c, f"call:{c}:{t}"]
         m = json.loads(r["message"])
-        assert (r["status"], r["rank"], r["errors"]) == ("linked" if (c, t + 1) in answers else "pending", t, [])
+        depth = next(k for k in range(t + 2) if (c, t - 2 * k - 2) not in users)
+        errors = ["prompt: too long"] if len(text[c, t]) > T.PROMPT_CHARS else []
+        assert (r["status"], r["rank"], r["errors"]) == ("linked" if (c, t + 1) in answers else "pending", depth, errors)
         assert m["depends_on"] == ([f"call:{c}:{t - 2}"] if (c, t - 2) in users else []) and m["arguments"]["turn"] == t
 
 
