@@ -205,26 +205,58 @@ def _box(page: Page) -> np.ndarray:
     return np.stack([page[c].astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1)
 
 
-def reading_order(rows: DataFrame, page_width: float) -> DataFrame:
+def _with_width(rows: DataFrame, page_width: float | None) -> DataFrame:
+    """Boxes with the width of their page: one for all, or rows' own column page_width."""
+    return rows.select("doc_id", "ord", "x0", "y0", "x1", "y1", F.col("page_width") if page_width is None else F.lit(float(page_width)).alias("page_width"))
+
+
+def reading_order(rows: DataFrame, page_width: float | None) -> DataFrame:
     """(doc_id, ord, reading_ord, columns): the place of each box in the reading order of its page."""
 
     def run(page: Page) -> tuple[np.ndarray, Page]:
-        order, columns = page_order(_box(page), page_width)
+        order, columns = page_order(_box(page), float(page["page_width"][0]))
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         return np.arange(len(order)), {"reading_ord": place, "columns": np.full(len(order), columns, np.int32)}
 
-    return by_page(run, rows.select("doc_id", "ord", "x0", "y0", "x1", "y1"), ["ord"], ["ord"], "doc_id long, ord int, reading_ord int, columns int")
+    return by_page(run, _with_width(rows, page_width), ["ord"], ["ord"], "doc_id long, ord int, reading_ord int, columns int")
 
 
-def columns(rows: DataFrame, page_width: float) -> DataFrame:
+def columns(rows: DataFrame, page_width: float | None) -> DataFrame:
     """(doc_id, ord, column, columns): the column of each box, and their number on the page."""
 
     def run(page: Page) -> tuple[np.ndarray, Page]:
-        column, n = columns_of(_box(page), page_width)
+        column, n = columns_of(_box(page), float(page["page_width"][0]))
         return np.arange(len(column)), {"column": column, "columns": np.full(len(column), n, np.int32)}
 
-    return by_page(run, rows.select("doc_id", "ord", "x0", "y0", "x1", "y1"), ["ord"], ["ord"], "doc_id long, ord int, column int, columns int")
+    return by_page(run, _with_width(rows, page_width), ["ord"], ["ord"], "doc_id long, ord int, column int, columns int")
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """(doc_id, ord, reading_ord, columns, column) of boxes with page_width, in one pass over the pages."""
+
+    def run(page: Page) -> tuple[np.ndarray, Page]:
+        box, width = _box(page), float(page["page_width"][0])
+        order, columns = page_order(box, width)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        return np.arange(len(order)), {"reading_ord": place, "columns": np.full(len(order), columns, np.int32), "column": columns_of(box, width)[0]}
+
+    return by_page(run, _with_width(rows, None), ["ord"], ["ord"], "doc_id long, ord int, reading_ord int, columns int, column int")
+
+
+def aligned(lines: Column) -> Column:
+    """left, center, right or justify, of an array of a paragraph's lines (structs with x0 and x1, in order); as alignment()."""
+    x0, x1 = F.transform(lines, lambda v: v["x0"]), F.transform(lines, lambda v: v["x1"])
+    middle = F.transform(lines, lambda v: (v["x0"] + v["x1"]) / 2)
+    spread = lambda v: F.array_max(v) - F.array_min(v)
+    n, wide = F.size(lines), F.greatest(F.lit(1.0), F.array_max(x1) - F.array_min(x0))
+    reach = F.array_max(x1) - F.greatest(F.lit(2.0), F.lit(0.06) * wide)
+    full = F.size(F.filter(F.slice(x1, F.lit(1), F.greatest(F.lit(0), n - 1)), lambda v: v >= reach))
+    tol = F.greatest(F.lit(1.5), F.lit(0.03) * wide)
+    ragged = spread(x0) > tol
+    kind = F.when(n < 2, "left").when(ragged & (spread(middle) <= tol), "center").when(ragged & (spread(x1) <= tol), "right")
+    return kind.when((n > 2) & ~ragged & (full >= (n - 1) * 0.8), "justify").otherwise("left")
 
 
 def merged_paragraphs(rows: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import corpus as C
+from folioforge.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,11 +175,5 @@ def batch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select event_id, ts, user_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1 order by ts desc, event_id desc limit 50""")
 def history_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("x"))
-    return last.select("x.event_id", "x.ts", "user_id").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
-
-
-@query("""select p_brand, p_partkey, p_name from (select *, row_number() over (partition by p_brand order by (p_size >= 10) desc, p_type, abs(p_size - 25), p_name, p_partkey) as r from part) where r = 1""")
-def font_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("p_brand").orderBy(F.desc(F.col("p_size") >= 10), "p_type", F.abs(F.col("p_size") - 25), "p_name", "p_partkey")
-    return table(spark, sf_dir, "part").withColumn("r", F.row_number().over(order)).where("r = 1").select("p_brand", "p_partkey", "p_name")
+    tasks = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), "event_id", F.struct("ts", "event_id").alias("finished_at"))
+    return store.history(tasks).select("event_id", "finished_at.ts", F.col("task_id").alias("user_id"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +38,60 @@ def history(tasks: DataFrame, keep: int = 50) -> DataFrame:
     """The newest row (finished_at) of each task_id, newest first, this many."""
     last = tasks.groupBy("task_id").agg(F.max_by(F.struct(*tasks.columns), "finished_at").alias("x"))
     return last.select("x.*").orderBy(F.desc("finished_at"), F.desc("task_id")).limit(keep)
+
+
+def load_settings(path: str, defaults: Mapping) -> dict:
+    """Defaults overlaid with the settings of a JSON file; a missing or damaged file leaves the defaults."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            stored = json.load(f)
+    except (OSError, ValueError):
+        stored = {}
+    return merged_settings(defaults, stored if isinstance(stored, Mapping) else {})
+
+
+def save_settings(path: str, settings: Mapping) -> None:
+    """Write settings of the driver as JSON: to a file beside it first, which then takes its place at once."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    with open(beside, "w", encoding="utf-8") as f:
+        json.dump(settings, f, ensure_ascii=False, indent=2)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(beside, path)
+
+
+def kept_tasks(tasks: DataFrame, most: int = 50) -> DataFrame:
+    """tasks (task_id, status, created_at) without the oldest finished ones that are too many; running ones always stay."""
+    finished = F.col("status").isin("done", "error", "cancelled")
+    running = tasks.where(~finished)
+    return running.unionByName(tasks.where(finished).orderBy(F.desc("created_at"), F.desc("task_id")).limit(max(0, most - running.count())))
+
+
+def registered(uploads: DataFrame, keep: int = 30) -> DataFrame:
+    """The parsed uploads (file_id, name, uploaded_at) that stay registered: each file once, under its first upload, the newest `keep`."""
+    pdf = uploads.where(F.lower("name").endswith(".pdf"))
+    once = pdf.groupBy("file_id").agg(F.min(F.struct("uploaded_at", "name")).alias("x")).select("file_id", "x.name", "x.uploaded_at")
+    return once.orderBy(F.desc("uploaded_at"), "file_id").limit(keep)
+
+
+def recent_logs(logs: DataFrame, keep: int = 200) -> DataFrame:
+    """The newest `keep` lines (task_id, at, message) of each task."""
+    newest = Window.partitionBy("task_id").orderBy(F.desc("at"), F.desc("message"))
+    return logs.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= keep).drop("_n")
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """(task_id, name, kind, label, size, url) of files (task_id, path, kind, label, size)."""
+    name = F.regexp_extract("path", r"([^/\\]*)$", 1)
+    label = F.when(F.coalesce("label", F.lit("")) == "", F.col("kind")).otherwise(F.col("label"))
+    return files.select("task_id", name.alias("name"), "kind", label.alias("label"), F.coalesce("size", F.lit(0)).alias("size"), F.concat(F.lit("/api/download/"), F.col("task_id"), F.lit("/"), name).alias("url"))
+
+
+def run_statistics(paragraphs: DataFrame, by: str) -> DataFrame:
+    """Counts of a run's paragraphs (by, translatable, target, cached, tokens, retries, numbers_missing)."""
+    sent, there = F.col("translatable"), F.coalesce(F.col("target"), F.lit("")) != ""
+    return paragraphs.groupBy(by).agg(
+        F.count_if(sent).alias("paragraphs"), F.count_if(sent & there).alias("translated"), F.count_if(sent & ~there).alias("failed"), F.count_if(~sent).alias("skipped"),
+        F.coalesce(F.sum(F.when(sent, F.col("tokens"))), F.lit(0)).alias("tokens"), F.count_if(sent & F.col("cached")).alias("cache_hits"),
+        F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"), F.count_if(sent & (F.col("numbers_missing") > 0)).alias("numeric_mismatched"),
+    )
