@@ -2,31 +2,35 @@
 
 Texts are compared in lower case with runs of white space as one space. A benchmark item of length L may occur in a
 document with up to E = floor(ERROR_RATE * L) edits (at any place, against any part of the document). It is cut into
-E + 1 pieces, of which one at least must then occur exactly: an Aho-Corasick automaton over all pieces finds the hits in
-one pass over each text, and around each hit Myers' bit-parallel algorithm gives the least edit distance.
+E + 1 pieces, of which one at least must then occur exactly: the hashes of all runs of a text that are as long as the
+shortest piece are looked up in a table of the pieces, a hit is compared with its piece, and around each exact hit Myers'
+bit-parallel algorithm gives the least edit distance. Items below SHORT characters may have no edit and must stand
+between word borders; they are looked up as runs of words.
 
-Benchmark items reach the executors in blocks of about BLOCK_CHARS characters, one pass over the documents each, so what
-is broadcast does not grow with the benchmark. Defined cases: null and empty texts match nothing, null and empty items
-are ignored; items shorter than MIN_CHARS are too common to be evidence and are ignored; repeated items are each
-reported, repeated documents are scanned one by one; an empty table on either side gives no matches; a tie between
+Benchmark items are broadcast in blocks of BLOCK_CHARS characters at most (bounded on the driver and in each worker), so
+that all benchmarks up to this size take one pass over the documents; larger ones take one a block. Defined cases: null
+and empty texts match nothing, null, empty and blank items are ignored; repeated items are each reported, repeated documents are scanned one by one; an empty table on either side gives no matches; a tie between
 places of equal distance goes to the first.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import texts
+from folioforge.llm.ngram_join import _STEP
 
 ERROR_RATE = 0.05
-MIN_CHARS = 40
-BLOCK_CHARS = 4_000_000
+SHORT = 40
+BLOCK_CHARS = 48_000_000
 
 
 def normal(text: str) -> str:
@@ -71,39 +75,122 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, at
 
 
+def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n code points, in order, by doubling."""
+    if len(codes) < n:
+        return np.empty(0, np.uint64)
+    run, size, base = codes.astype(np.uint64) + _STEP, 1, _STEP
+    out, done = np.zeros(len(codes) + 1, np.uint64), 0  # of the runs of `done` code points
+    while True:
+        if n & size:
+            m = len(codes) - done - size + 1
+            out = out[:m] * base + run[done : done + m]
+            done += size
+        if done == n:
+            return out * _STEP ^ (out >> np.uint64(29))
+        run = run[: len(run) - size] * base + run[size:]
+        size, base = 2 * size, np.uint64(int(base) ** 2 & (2**64 - 1))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+class Table:
+    """Which entries have a hash: a bitmap says no for most others, the sorted hashes say which."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes, kind="stable")
+        self.keys, self.starts = np.unique(hashes[self.order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(hashes))
+        bits = min(26, max(10, int(len(self.keys)).bit_length() + 3))
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[self.keys >> self.shift] = True
+
+    def hits(self, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place in hashes, entry)."""
+        if not len(self.keys):
+            return
+        at = np.flatnonzero(self.seen[hashes >> self.shift])
+        k = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+        for p, j in zip(at.tolist(), k.tolist(), strict=True):
+            if self.keys[j] == hashes[p]:
+                for e in self.order[self.starts[j] : self.ends[j]].tolist():
+                    yield p, e
+
+
 class Matcher:
     """A block of benchmark items, ready to search."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float = ERROR_RATE, least: int = MIN_CHARS):
-        self.rate = rate
-        self.items = [(i, t) for i, t in ((i, normal(t or "")) for i, t in items) if len(t) >= least]
-        self.errors = [int(rate * len(t)) for _, t in self.items]
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, t) in enumerate(self.items):
-            for at, p in pieces(t, self.errors[k]):
-                places[p].append((k, at))
-        self.found = ahocorasick.Automaton()
-        for p, where in places.items():
-            self.found.add_word(p, (len(p), where))
-        if places:
-            self.found.make_automaton()
-        self.any = bool(places)
+    def __init__(self, items: list[tuple[object, str]], rate: float = ERROR_RATE):
+        self.items = [(i, t) for i, t in ((i, normal(t or "")) for i, t in items) if t]
+        size = np.array([len(t) for _, t in self.items], np.int64)
+        self.errors = np.where(size >= SHORT, (rate * size).astype(np.int64), 0)
+        # pieces of the long items: each is looked up by its first code points, as many as the shortest piece has
+        long = np.flatnonzero(size >= SHORT)
+        n = self.errors[long] + 1
+        owner = np.repeat(long, n)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        n = np.repeat(n, n)
+        self.piece_item, self.piece_at = owner, size[owner] * k // n
+        self.piece_end = size[owner] * (k + 1) // n
+        self.gram = int((self.piece_end - self.piece_at).min()) if len(owner) else 1
+        base = np.cumsum(size[long]) - size[long]
+        start = np.zeros(len(size), np.int64)
+        start[long] = base
+        hashes = gram_hashes(_codes("".join(self.items[i][1] for i in long.tolist())), self.gram)
+        self.pieces = Table(hashes[start[owner] + self.piece_at] if len(owner) else hashes[:0])
+        # short items are looked up as runs of words
+        self.short: dict[int, tuple[list[int], Table]] = {}
+        by_words: dict[int, list[int]] = defaultdict(list)
+        for i in np.flatnonzero(size < SHORT).tolist():
+            by_words[self.items[i][1].count(" ") + 1].append(i)
+        for w, which in by_words.items():
+            self.short[w] = which, Table(np.array([self._words(self.items[i][1].split(" "), w)[0] for i in which], np.uint64))
         self.peq: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
 
+    @staticmethod
+    def _words(words: list[str], n: int) -> np.ndarray:
+        h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for i in range(n if len(out) else 0):
+            out = out * _STEP + h[i : len(h) - n + 1 + i]
+        return out * _STEP ^ (out >> np.uint64(29))
+
+    def _short(self, text: str) -> Iterator[tuple[object, int, int, int, int]]:
+        words = text.split(" ")
+        ends = np.cumsum([len(w) + 1 for w in words])
+        for n, (which, table) in sorted(self.short.items()):
+            done = set()
+            for p, e in table.hits(self._words(words, n)):
+                item, t = self.items[which[e]]
+                if e not in done and " ".join(words[p : p + n]) == t:
+                    done.add(e)
+                    start = int(ends[p - 1]) if p else 0
+                    yield item, 0, 0, start, start + len(t)
+
     def search(self, text: str, first: bool = False) -> list[tuple[object, int, int, int, int]]:
         """(item, distance, errors allowed, start, end) in the normal text, the best place of each item; with first any one."""
-        if not self.any:
-            return []
         text = normal(text)
-        shifts: dict[int, set[int]] = defaultdict(set)
-        for end, (n, where) in self.found.iter(text):
-            for k, at in where:
-                shifts[k].add(end + 1 - n - at)
         out = []
+        if self.short and text:
+            for found in self._short(text):
+                out.append(found)
+                if first:
+                    return out
+        shifts: dict[int, set[int]] = defaultdict(set)
+        if len(self.piece_item):
+            for p, e in self.pieces.hits(gram_hashes(_codes(text), self.gram)):
+                k, at, end = int(self.piece_item[e]), int(self.piece_at[e]), int(self.piece_end[e])
+                if text.startswith(self.items[k][1][at:end], p):
+                    shifts[k].add(p - at)
         for k, starts in shifts.items():
-            item, e = self.items[k][1], self.errors[k]
+            item, e = self.items[k][1], int(self.errors[k])
             m = len(item)
             if k not in self.peq:
+                if len(self.peq) >= 10_000:
+                    self.peq.clear()
                 self.peq[k] = masks(item), masks(item[::-1])
             best: tuple[int, int, int] | None = None
             spans: list[list[int]] = []
@@ -133,18 +220,36 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).sort("item_id", "text").collect()]
 
 
+class Block:
+    """Items as a broadcast variable with a name of its own."""
+
+    def __init__(self, docs: DataFrame, items: list[tuple[object, str]]):
+        self.id, self.sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)
+
+
+_last: list = [None, None]
+
+
+def matcher(items: Block, rate: float) -> Matcher:
+    """The worker's matcher of a broadcast block; a worker keeps the last one."""
+    if _last[0] != (items.id, rate):
+        _last[:] = [(items.id, rate), Matcher(items.sent.value, rate)]
+    return _last[1]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item that it holds: distance, errors allowed, and the place as words of the document."""
     schema = "doc_id long, item_id long, distance int, allowed int, start_word int, end_word int"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark, block):
+    for part in blocks(benchmark, block):
+        items = Block(docs, part)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+            found_by = matcher(items, rate)
             for b in batches:
                 rows = []
                 for d, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                    if found := matcher.search(t):
+                    if found := found_by.search(t):
                         words = normal(t)
                         rows += [(d, i, dist, e, words.count(" ", 0, s), words.count(" ", 0, end) + 1) for i, dist, e, s, end in found]
                 if rows:
@@ -157,12 +262,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, blo
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block: int = BLOCK_CHARS) -> DataFrame:
     """docs without those that hold an item."""
-    for items in blocks(benchmark, block):
+    for part in blocks(benchmark, block):
+        items = Block(docs, part)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+            found_by = matcher(items, rate)
             for b in batches:
-                yield b.filter(pa.array([not matcher.search(t, first=True) for t in texts(b)], pa.bool_()))
+                yield b.filter(pa.array([not found_by.search(t, first=True) for t in texts(b)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -34,21 +34,26 @@ def edited(text, n, rnd):
 def test_matches_against_brute_force(spark):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abehiost") for _ in range(rnd.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(20 + i))) for i in range(6)] + [(7, None), (8, ""), (9, "too short"), (5, "same again " * 6), (None, "no id " * 12)]
+    items = [(i, " ".join(word() for _ in range(20 + i))) for i in range(6)] + [(7, None), (8, ""), (9, "too short"), (10, "Abe  hio"), (11, "is"), (5, "same again " * 6), (None, "no id " * 12)]
     docs = []
     for i in range(60):
         body = [word() for _ in range(rnd.randint(0, 60))]
         if i % 2:
             _, t = rnd.choice(items[:6])
             body.insert(rnd.randrange(len(body) + 1), edited(t, rnd.randint(0, 9), rnd).upper().replace(" ", "\n "))
+        if i % 7 == 0:
+            body.insert(rnd.randrange(len(body) + 1), rnd.choice(["abe hio", "abe  hiox", "too SHORT", "is"]))
         docs.append((i, " ".join(body)))
     b = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame([*docs, (100, None), (101, "")], "doc_id long, text string")
     want = set()
     for i, t in docs:
         for k, x in items:
-            if x and len(n := D.normal(x)) >= D.MIN_CHARS and (dist := least_distance(n, D.normal(t))) <= int(0.05 * len(n)):
-                want.add((i, k, dist))
+            if x and len(n := D.normal(x)) >= D.SHORT:
+                if (dist := least_distance(n, D.normal(t))) <= int(0.05 * len(n)):
+                    want.add((i, k, dist))
+            elif x and f" {n} " in f" {D.normal(t)} ":
+                want.add((i, k, 0))
     rows = D.matches(d, b).collect()
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in rows} == want and len(rows) == len(want) > 10
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in D.matches(d, b, block=300).collect()} == want
@@ -56,6 +61,45 @@ def test_matches_against_brute_force(spark):
     assert kept == {i for i, _ in docs} - {i for i, *_ in want} | {100, 101}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.text("abc é", max_size=60)), max_size=8), st.text("abc é", max_size=150))
+def test_search_against_brute_force(items, text):
+    got = {(i, d) for i, d, *_ in D.Matcher(items).search(text)}
+    want, t = set(), D.normal(text)
+    for i, x in items:
+        n = D.normal(x)
+        if len(n) >= D.SHORT:
+            if (dist := least_distance(n, t)) <= int(0.05 * len(n)):
+                want.add((i, dist))
+        elif n and f" {n} " in f" {t} ":
+            want.add((i, 0))
+    assert got == want
+
+
+def test_gram_hashes():
+    import numpy as np
+
+    x = np.array([1, 2, 3, 4, 5, 6, 7, 1, 2, 3, 4, 5, 6, 7], np.uint32)
+    for n in range(1, 8):
+        h = D.gram_hashes(x, n)
+        assert len(h) == 15 - n and (h[:8 - n] == h[7:]).all() and len(set(h.tolist())) == 7
+
+
+def test_short_items_of_five_to_39_characters(spark):
+    rnd = random.Random(9)
+    items = [(n, ("".join(rnd.choice("abcdefgh ") for _ in range(200)).strip().replace("  ", " x"))[:n].strip().ljust(n, "z")) for n in range(5, 40)]
+    docs = [(n, f"before {t.upper()} after") for n, t in items] + [(100 + n, f"before x{t}x after") for n, t in items]
+    got = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} >= {(n, n) for n, _ in items} and all(r["doc_id"] < 100 for r in got)
+
+
+def test_large_benchmarks_take_one_scan(spark):
+    rnd = random.Random(4)
+    items = [(i, "".join(rnd.choices("abcdefghij ", k=400))) for i in range(2500)]
+    b = spark.createDataFrame(items, "item_id long, text string").crossJoin(spark.range(4).withColumnRenamed("id", "k")).selectExpr("item_id + 10000 * k as item_id", "concat(text, k) as text")
+    assert len(list(D.blocks(b))) == 1 and len(list(D.blocks(b, 1_000_000))) == 5
+
+
 def test_place(spark):
     item = "the quick brown fox jumps over the lazy dog and runs away"
     d = spark.createDataFrame([(1, "well  now\n" + item.replace("jumps", "jumpz") + " he said")], "doc_id long, text string")
