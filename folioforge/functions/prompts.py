@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from folioforge.functions import text as T
 
@@ -64,20 +60,9 @@ def seconds_left(elapsed: Column, percent: Column) -> Column:
     return F.when(percent >= 100, 0.0).when((percent > 0) & (elapsed > 1), elapsed * (100.0 - percent) / percent)
 
 
-@F.pandas_udf(StringType())
-def _nfkc(c: pd.Series) -> pd.Series:
-    return c.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
-
-
-def compatible(c: Column) -> Column:
-    """A text in Unicode's compatibility form NFKC. Texts of Latin letters alone do not leave the JVM."""
-    other = c.rlike(r"[^\x00-\x9f¡-§©«-®°±¶·»¿À-ɏ]")
-    return F.when(other, _nfkc(F.when(other, c))).otherwise(c)
-
-
 def safe_name(c: Column, fallback: str = "file") -> Column:
     """A file name without folders, characters that systems forbid, reserved names and more than 120 characters."""
-    s = F.regexp_extract(F.replace(compatible(F.coalesce(c, F.lit(""))), F.lit("\\"), F.lit("/")), r"(?s)([^/]*)$", 1)
+    s = F.regexp_extract(F.replace(T.compatible(F.coalesce(c, F.lit(""))), F.lit("\\"), F.lit("/")), r"(?s)([^/]*)$", 1)
     s = F.regexp_replace(s, r'[<>:"|?*\x00-\x1f]', "_")
     s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"^[ .]+|[ .]+$", "")
     s = F.when(F.upper(F.substring_index(s, ".", 1)).isin(*RESERVED), F.concat(F.lit("_"), s)).otherwise(s)

@@ -1,9 +1,14 @@
-"""Text scalars as Column expressions; all of them stay in the JVM."""
+"""Text scalars as Column expressions; all of them stay in the JVM but the compatibility form of texts that are not Latin."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The patterns that decide what a paragraph is. Character classes are spelt out so that every engine reads
 # them alike.
@@ -24,11 +29,35 @@ HAN_TARGETS = ("zh", "zh-TW", "ja", "ko")
 GLOSSARY_SEPARATORS = ("=>", "=", "→", ":", "：", "\t", ",")
 
 
+#: White space of Unicode, as a class and as characters.
+BLANKS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANK_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+#: Characters that no compatibility form changes, and that do not join with one before them.
+STABLE = r"\x00-\x9f¡-§©«-®°±¶·»¿\x{c0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{180}-\x{1c3}\x{1cd}-\x{1f0}\x{1f4}-\x{24f}–—‘-„†-•\x{4e00}-\x{9fff}"
+
+
+@F.pandas_udf(StringType())
+def _nfkc(c: pd.Series) -> pd.Series:
+    return c.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+
+def compatible(c: Column) -> Column:
+    """A text in Unicode's compatibility form NFKC. Texts without characters that it may change do not leave the JVM."""
+    other = c.rlike(f"[^{STABLE}]")
+    return F.when(other, _nfkc(F.when(other, c))).otherwise(c)
+
+
+def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(c) with c computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """No zero-width characters, line feeds only, runs of blanks as one space, ends stripped; null becomes empty."""
-    c = F.translate(F.coalesce(c, F.lit("")), "​‌‍﻿", "")
+    c = F.translate(F.coalesce(c, F.lit("")), ZERO_WIDTH, "")
     c = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
-    return F.regexp_replace(F.regexp_replace(c, "[ \t　]{2,}", " "), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.regexp_replace(c, "[ \t\u3000]{2,}", " "), F.lit(BLANK_CHARS))
 
 
 def join_lines(lines: Column) -> Column:
@@ -41,13 +70,16 @@ def join_lines(lines: Column) -> Column:
 
 
 def match_key(c: Column) -> Column:
-    """Lower case without white space; full-width ASCII folded."""
-    wide, narrow = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
-    return F.lower(F.translate(F.regexp_replace(clean_text(c), r"(?U)\s+", ""), wide, narrow))
+    """Lower case and compatibility form without white space."""
+    bare = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), ZERO_WIDTH, ""), f"{BLANKS}+", "")
+    return F.lower(F.regexp_replace(compatible(bare), f"{BLANKS}+", ""))
 
 
 def is_page_number(c: Column) -> Column:
-    s = clean_text(c)
+    return bound(clean_text(c), _page_number)
+
+
+def _page_number(s: Column) -> Column:
     hit = F.lit(False)
     for p in PAGE_NUMBER:
         hit = hit | s.rlike(p)
@@ -59,34 +91,41 @@ def symbol_count(c: Column, symbols: str) -> Column:
 
 
 def is_translatable(c: Column, min_chars: int = 2) -> Column:
-    s = clean_text(c)
+    return bound(clean_text(c), lambda s: _translatable(s, min_chars))
+
+
+def _translatable(s: Column, min_chars: int = 2) -> Column:
     bare = ~(s.rlike(URL_ONLY) | s.rlike(EMAIL_ONLY) | s.rlike(NUMBER_ONLY))
-    return (F.length(s) >= min_chars) & bare & s.rlike(r"\p{L}") & (F.length(F.regexp_replace(s, r"[^\p{L}\p{N}_]", "")) >= 2)
+    return (F.length(s) >= min_chars) & s.rlike(r"\p{L}") & bare & (F.length(F.regexp_replace(s, r"[^\p{L}\p{N}_]", "")) >= 2)
 
 
 def looks_like_code(c: Column) -> Column:
-    s = clean_text(c)
+    return bound(clean_text(c), _code)
+
+
+def _code(s: Column) -> Column:
     return (s != "") & (s.rlike(CODE_START) | ((F.length(s) > 8) & (symbol_count(s, CODE_SYMBOLS) / F.greatest(F.length(s), F.lit(1)) > CODE_DENSITY)))
 
 
 def has_target_language(c: Column, target: str) -> Column:
+    return bound(clean_text(c), lambda s: _in_language(s, target))
+
+
+def _in_language(s: Column, target: str) -> Column:
     if target not in HAN_TARGETS:
         return F.lit(False)
-    s = clean_text(c)
     han, latin = (F.length(s) - F.length(F.regexp_replace(s, p, "")) for p in ("[一-鿿]", "[A-Za-z]"))
-    return (han > 0) & (han >= latin)
+    return s.rlike("[一-鿿]") & (han >= latin)
 
 
 def skip_reason(c: Column, target: str = "zh") -> Column:
-    """Why a paragraph is left alone, or `translatable`; the first reason holds."""
-    return (
-        F.when(clean_text(c) == "", "empty")
-        .when(is_page_number(c), "page_num")
-        .when(looks_like_code(c), "code")
-        .when(~is_translatable(c), "not_translatable")
-        .when(has_target_language(c, target), "already_target")
-        .otherwise("translatable")
-    )
+    """Why a paragraph is left alone, or `translatable`; the first reason holds. The text is cleaned once."""
+
+    def reason(s: Column) -> Column:
+        out = F.when(s == "", "empty").when(_page_number(s), "page_num").when(_code(s), "code").when(~_translatable(s), "not_translatable")
+        return out.when(_in_language(s, target), "already_target").otherwise("translatable")
+
+    return bound(clean_text(c), reason)
 
 
 def estimate_tokens(c: Column) -> Column:
@@ -166,10 +205,11 @@ def _missing(source: Column, target: Column) -> Column:
 
 def missing_numbers(source: Column, target: Column) -> Column:
     """Numbers of the source, in order and once each, none of whose readings is a reading in the target. None are missing
-    if all are found once decimals that a space has split are joined again."""
+    if all are found once decimals that a space has split are joined again. Texts without a digit or numeral are not read."""
+    none = F.array().cast("array<string>")
     joined = F.regexp_replace(source, r"([0-9][.,])\s+(?=[0-9])", "$1")
-    strict = _missing(source, target)
-    return F.when((F.size(strict) > 0) & (joined != source) & (F.size(_missing(joined, target)) == 0), F.array().cast("array<string>")).otherwise(strict)
+    again = lambda strict: F.when((F.size(strict) > 0) & (joined != source) & (F.size(_missing(joined, target)) == 0), none).otherwise(strict)
+    return F.when(source.rlike("[0-9]") | source.rlike(HAN_NUMERAL), bound(_missing(source, target), again)).otherwise(none)
 
 
 # Page ranges and glossaries
@@ -193,8 +233,8 @@ def page_range(spec: Column, total: Column) -> Column:
 
 def format_pages(pages: Column) -> Column:
     """Sorted, distinct 0-based pages as "1-5,8", no pages as "-"."""
-    first = F.filter(pages, lambda p: ~F.array_contains(pages, p - 1))
-    last = F.filter(pages, lambda p: ~F.array_contains(pages, p + 1))
+    first = F.filter(pages, lambda p, i: (i == 0) | (F.get(pages, i - 1) != p - 1))
+    last = F.filter(pages, lambda p, i: (i == F.size(pages) - 1) | (F.get(pages, i + 1) != p + 1))
     runs = F.zip_with(first, last, lambda a, b: F.when(a == b, (a + 1).cast("string")).otherwise(F.concat_ws("-", a + 1, b + 1)))
     return F.when(F.size(pages) == 0, "-").otherwise(F.array_join(runs, ","))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from folioforge.functions import text as T
 
@@ -45,22 +48,35 @@ def weighted_mode(rows: DataFrame, by: str, value: str, weight: Column, order: s
 
 def join_pieces(pieces: Column) -> Column:
     """Pieces in order as one text, a space only between ASCII letters or digits."""
-    def glue(a: Column, b: Column) -> Column:
-        return F.concat(a, F.when(a.rlike("[A-Za-z0-9]$") & b.rlike("^[A-Za-z0-9]"), " ").otherwise(""), b)
+    real = F.filter(pieces, lambda p: p != "")
 
-    return F.aggregate(pieces, F.lit(""), glue)
+    def glued(p: Column, i: Column) -> Column:
+        return F.when(F.get(real, i - 1).rlike("[A-Za-z0-9]$") & p.rlike("^[A-Za-z0-9]"), F.concat(F.lit(" "), p)).otherwise(p)
+
+    return F.array_join(F.transform(real, glued), "")
 
 
 def batches(sizes: Column, most_items: int = 12, most_chars: int = 6000) -> Column:
     """The batch (from 0) of each item of an array of lengths: a batch is closed when it is full or the next is too long."""
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, size: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= most_items) | (acc["c"] + size > most_chars))
-        b = acc["b"] + full.cast("int")
-        return F.struct(b.alias("b"), (F.when(full, 0).otherwise(acc["n"]) + 1).alias("n"), (F.when(full, 0).otherwise(acc["c"]) + size).alias("c"), F.concat(acc["out"], F.array(b)).alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(rows: pd.Series) -> pd.Series:
+        out = []
+        for lengths in rows:
+            if lengths is None:
+                out.append(None)
+                continue
+            total = np.concatenate(([0], np.cumsum(lengths)))
+            batch, at, n = np.empty(len(lengths), np.int32), 0, 0
+            while at < len(lengths):
+                to = int(np.searchsorted(total, total[at] + most_chars, "right")) - 1
+                to = max(at + 1, min(to, at + most_items))
+                batch[at:to] = n
+                at, n = to, n + 1
+            out.append(batch)
+        return pd.Series(out, dtype=object)
+
+    return run(sizes)
 
 
 # Boxes on pages: (doc_id, ord, x0, y0, x1, y1)
@@ -80,13 +96,15 @@ def clusters(rows: DataFrame, gap: float | Column = 15.0) -> DataFrame:
     return flagged.withColumn("cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def contained(rows: DataFrame, regions: DataFrame, prefer: Column) -> DataFrame:
-    """rows with `region`: of the regions that hold a box's centre (edges included) the one least by `prefer`."""
+def contained(rows: DataFrame, regions: list[tuple], by_height: bool = False) -> DataFrame:
+    """rows with `region`: of the regions (name, x0, y0, x1, y1; a short list that holds for all pages) that hold a box's
+    centre, edges included, the first by name or by_height the flattest. For regions by page see regions.constrained."""
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    r = F.broadcast(regions.select("region", prefer.alias("_p"), *(F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1"))))  # a fixed page grid
-    hits = rows.join(r, (cx >= F.col("rx0")) & (cx <= F.col("rx1")) & (cy >= F.col("ry0")) & (cy <= F.col("ry1")), "left")
-    best = F.min(F.when(F.col("region").isNotNull(), F.struct("_p", "region")))
-    return hits.groupBy(*rows.columns).agg(best.alias("x")).select(*rows.columns, F.col("x.region").alias("region"))
+    known = sorted((d - b if by_height else 0.0, n, a, b, c, d) for n, a, b, c, d in regions)
+    out = F.lit(None).cast("string")
+    for _, n, a, b, c, d in reversed(known):
+        out = F.when(cx.between(a, c) & cy.between(b, d), n).otherwise(out)
+    return rows.withColumn("region", out)
 
 
 def room_below(rows: DataFrame, page_height: float) -> DataFrame:

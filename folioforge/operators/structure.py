@@ -133,20 +133,19 @@ def baselines(rows: DataFrame) -> DataFrame:
     return gaps.groupBy("doc_id").agg(F.min_by("y", "ord").alias("first"), F.median(F.when(F.col("gap") > 0.5, F.col("gap"))).alias("pitch"))
 
 
-def _neighbours(rows: DataFrame, hit: Column) -> DataFrame:
-    """rows with `_near`, the boxes of the page that hold `hit`, in order; itself among them."""
-    box = F.struct("ord", "x0", "y0", "x1", "y1")
-    return rows.withColumn("_near", F.array_sort(F.collect_list(F.when(hit, box)).over(Window.partitionBy("doc_id"))))
+def _neighbours(rows: DataFrame, hit: Column, tolerance: float) -> DataFrame:
+    """rows with `_near`: the other boxes of the page that hold `hit` and lie on the box by more than a tolerance on both axes, in order."""
+    box = ("ord", "x0", "y0", "x1", "y1")
+    others = rows.where(hit).select(F.col("doc_id").alias("_p"), F.struct(*box).alias("b"))
+    wide, high = F.least(F.col("b.x1"), F.col("x1")) - F.greatest(F.col("b.x0"), F.col("x0")), F.least(F.col("b.y1"), F.col("y1")) - F.greatest(F.col("b.y0"), F.col("y0"))
+    met = rows.select("doc_id", *box).join(others, F.col("doc_id").eqNullSafe(F.col("_p"))).where((F.col("b.ord") != F.col("ord")) & (wide > tolerance) & (high > tolerance))
+    near = met.groupBy(F.col("doc_id").alias("_p"), F.col("ord").alias("_o")).agg(F.array_sort(F.collect_set("b")).alias("_near"))
+    return rows.join(near, F.col("doc_id").eqNullSafe(F.col("_p")) & (F.col("ord") == F.col("_o")), "left").drop("_p", "_o")
 
 
 def overlaps_any(rows: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """rows (doc_id, ord, x0, y0, x1, y1, text) with `overlaps`: whether another box with text lies on it on both axes."""
-
-    def on(b: Column) -> Column:
-        wide, high = F.least(b["x1"], F.col("x1")) - F.greatest(b["x0"], F.col("x0")), F.least(b["y1"], F.col("y1")) - F.greatest(b["y0"], F.col("y0"))
-        return (b["ord"] != F.col("ord")) & (wide > tolerance) & (high > tolerance)
-
-    return _neighbours(rows, T.clean_text(F.col("text")) != "").withColumn("overlaps", F.coalesce(F.exists("_near", on), F.lit(False))).drop("_near")
+    return _neighbours(rows, T.clean_text(F.col("text")) != "", tolerance).withColumn("overlaps", F.col("_near").isNotNull()).drop("_near")
 
 
 def erase_box(rows: DataFrame) -> DataFrame:
@@ -167,7 +166,7 @@ def erase_box(rows: DataFrame) -> DataFrame:
         )
 
     keeps = (T.clean_text(F.col("text")) != "") & (F.coalesce(F.col("target"), F.lit("")) == "")
-    drawn = _neighbours(rows, keeps).withColumn("_e", F.aggregate("_near", whole, draw_in)).drop("_near")
+    drawn = _neighbours(rows, keeps, 0.3).withColumn("_e", F.coalesce(F.aggregate("_near", whole, draw_in), whole)).drop("_near")
     gone = (F.col("_e.x1") - F.col("_e.x0") < 1) | (F.col("_e.y1") - F.col("_e.y0") < 1)
     return drawn.withColumn("erase", F.when(gone, whole).otherwise(F.col("_e"))).drop("_e")
 
@@ -178,9 +177,8 @@ def room_in_constraint(room: Column, extent: Column, available: Column) -> Colum
 
 
 def skeleton(c: Column) -> Column:
-    """Letters and digits alone, full-width ASCII folded: what must be found again whatever symbols were replaced."""
-    wide, narrow = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
-    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), wide, narrow), r"[^\p{L}\p{N}]", "")
+    """Letters and digits alone, in compatibility form: what must be found again whatever symbols were replaced."""
+    return F.regexp_replace(T.compatible(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
 
 
 def verified(paragraphs: DataFrame, pages: DataFrame, least: int = 2) -> DataFrame:

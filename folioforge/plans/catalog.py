@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import text as T
 from folioforge.operators import corpus as C
 from folioforge.sources import store
+from folioforge.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +28,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name == "documents" else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,14 +147,12 @@ def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {BOXES}, {GRID} select doc_id, ord, min(region) as region from boxes left join cells on {INSIDE} group by all")
 def center_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame(CELLS, "region string, x0 double, y0 double, x1 double, y1 double")
-    return C.contained(_boxes(spark, sf_dir), cells, F.col("region")).select("doc_id", "ord", "region")
+    return C.contained(_boxes(spark, sf_dir), CELLS).select("doc_id", "ord", "region")
 
 
 @query(f"with {BOXES}, {GRID} select doc_id, ord, arg_min(region, (ry1 - ry0, region)) as region from boxes left join cells on {INSIDE} group by all")
 def row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame(CELLS, "region string, x0 double, y0 double, x1 double, y1 double")
-    return C.contained(_boxes(spark, sf_dir), cells, F.col("y1") - F.col("y0")).select("doc_id", "ord", "region")
+    return C.contained(_boxes(spark, sf_dir), CELLS, by_height=True).select("doc_id", "ord", "region")
 
 
 @query(f"with {BOXES} select a.doc_id, a.ord, greatest(0.0, coalesce(min(b.y0), 842.0) - a.y1)::double as room from boxes a left join boxes b on a.doc_id = b.doc_id and a.x0 = b.x0 and b.y0 + b.y1 > a.y0 + a.y1 group by a.doc_id, a.ord, a.y1")
@@ -166,7 +165,10 @@ def piece_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(C.join_pieces(F.split("text", "\n")), 256).alias("joined"))
 
 
-@query(None)
+@query("""with recursive items as (select doc_id, generate_subscripts(p, 1) as i, len(p) as m, length(unnest(p)) as n from (select doc_id, string_split(text, chr(10)) as p from documents)),
+r(doc_id, i, m, b, k, c) as (select doc_id, i, m, 0, 1, n from items where i = 1 union all
+select r.doc_id, x.i, r.m, r.b + (r.k >= 12 or r.c + x.n > 6000)::int, case when r.k >= 12 or r.c + x.n > 6000 then 1 else r.k + 1 end, case when r.k >= 12 or r.c + x.n > 6000 then x.n else r.c + x.n end from r join items x on x.doc_id = r.doc_id and x.i = r.i + 1)
+select doc_id, b::int as batch, count(*) as items from r group by all""")
 def batch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = F.transform(F.split("text", "\n"), lambda x: F.length(x))
     packed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.batches(sizes)).alias("ord", "batch"))

@@ -16,6 +16,7 @@ from folioforge.functions import text as T
 from folioforge.operators import corpus, replies
 from folioforge.plans.catalog import CLEAN, KEY, JUDGED, doc_lines, query
 from folioforge.sources import providers
+from folioforge.sources.tables import materialise
 
 # Items and characters of a request, and further tries with what a reply lacks.
 ITEMS, CHARS, TRIES = 12, 6000, 2
@@ -42,7 +43,10 @@ def ask(chat: providers.Provider, texts: list[str], hint: str = "") -> list[str
 
     def request(at: list[int]) -> None:
         message = json.dumps([{"i": i, "t": texts[k]} for i, k in enumerate(at, 1)], ensure_ascii=False)
-        got = replies.read_reply(chat(message, hint))
+        try:
+            got = replies.read_reply(chat(message, hint))
+        except Exception:  # noqa: BLE001  a refusal leaves its items without an answer, not the job
+            return
         for i, k in enumerate(at, 1):
             out[k] = got.get(i, out[k])
 
@@ -95,8 +99,8 @@ def _pieces(rows: DataFrame) -> DataFrame:
 def translate_texts(texts: DataFrame, make: Callable[[], providers.Provider]) -> DataFrame:
     """(key, target, error) of (key, text) with distinct keys: pieces that answer joined, or the first error."""
     missing = F.when(F.col("target").isNull(), F.array().cast("array<string>")).otherwise(T.missing_numbers(F.col("piece"), F.col("target")))
-    first = _asking(make, _pieces(texts)).withColumn("missing", missing)
-    checked = _asking_again(make, first).withColumn("missing", missing)
+    first = materialise(_asking(make, _pieces(texts)).withColumn("missing", missing), "asked")  # a lost task does not ask twice
+    checked = materialise(_asking_again(make, first).withColumn("missing", missing), "answered")
     error = F.when(F.col("target").isNull(), NO_ANSWER).when(F.size("missing") > 0, F.concat(F.lit(NUMBERS), F.array_join("missing", ", ")))
     judged = checked.withColumn("error", error)
     framed = F.concat(F.regexp_extract("piece", r"(?U)^\s*", 0), "target", F.regexp_extract("piece", r"(?U)\s*$", 0))
@@ -125,8 +129,8 @@ def translate(paragraphs: DataFrame, provider: str = "mock", cache: DataFrame |
         fits = F.col("value").isNotNull() & (F.size(T.missing_numbers(F.col("text"), F.col("value"))) == 0)
         hits = known.where(fits).select("key", F.col("value").alias("target"), F.lit(None).cast("string").alias("error"))
         done = hits.unionByName(translate_texts(known.where(~fits), make))
-    wanted = F.when(F.col("skip_reason").isNull(), F.col("key"))
-    return rows.withColumn("key", wanted).join(done, "key", "left").drop("key")
+    left_alone = rows.where("skip_reason is not null").withColumns({"target": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    return rows.where("skip_reason is null").join(done, "key", "left").unionByName(left_alone).drop("key")
 
 
 @query(f"""{JUDGED}, keyed as (select *, {KEY} as key from judged where reason = 'translatable'), first as (select key, arg_min({CLEAN}, (doc_id, ord)) as s from keyed group by key),

@@ -36,3 +36,9 @@ def release(*tables: DataFrame) -> None:
             spark = t.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out anew if it has fewer partitions than there are cores (few files or row groups); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

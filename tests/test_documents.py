@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import prompts as P
+from folioforge.functions import text as T
 from folioforge.operators import fonts, pageplan, placement, recognition, regions, setting
 from folioforge.sources import spans as source
 from folioforge.sources import store, tables
@@ -198,7 +199,7 @@ def test_space_between_scripts(spark):
 
 def test_compatibility_form(spark):
     rows = ["plain", "ﬁne ①Ａ", "é", "é", "x² y", None, "ｶﾞ", "한"]
-    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(P.compatible(F.col("t"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(T.compatible(F.col("t"))).collect()]
     assert got == [None if r is None else unicodedata.normalize("NFKC", r) for r in rows]
 
 
