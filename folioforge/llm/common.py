@@ -2,51 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.sources.tables import materialise, release, shared_dir, spread  # noqa: F401
+
 #: Rows up to which a two-column table of keys may be broadcast (about 64 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder, read through Spark so that any store works."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset and all runs in one process."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="folioforge-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/folioforge/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out.written_at = at
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that materialise() wrote; nothing that is still to be computed may read them."""
-    for t in tables:
-        if at := getattr(t, "written_at", None):
-            spark = t.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -13,7 +13,8 @@ sketches; only a spanning forest of the matches is passed on. A leaf that stays
 sets are compared exactly, again in blocks where a part is large. So links of one part found in no leaf are found here.
 
 No step emits all pairs of a group: leaves and blocks emit forests and counts. Nothing but row counts reaches the driver.
-A row is named by a 64-bit hash of its id and text, so that texts can be read again, wherever a lost task runs anew.
+A row is named by a 64-bit hash of its id and text, so that texts can be read again, wherever a lost task runs anew; hashes
+that different rows share are looked for, and those rows are named by another hash.
 
 Defined cases: null and empty texts have no shingles and no links, each is a class of its own; null ids and repeated
 rows are rows as any other (copies of each other); an empty table gives an empty table; ties between equally small
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import free_name, materialise, small, texts
+from folioforge.llm.common import free_name, materialise, release, small, texts
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -46,6 +47,8 @@ SKETCH_BLOCK = 2_048
 #: Bins of a sketch of one byte each, and the least estimate that is compared exactly (five standard errors below).
 BINS = 128
 SLACK = 0.18
+#: Names that two rows may share.
+CLASHES = 10_000
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = [np.uint64(x) for x in (30, 27, 31)]
 
@@ -116,9 +119,18 @@ def sketch(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def row_name(docs: DataFrame) -> Column:
-    """A hash of id and text."""
-    return F.xxhash64("doc_id", "text")
+def row_name(clashes: list[int] = ()) -> Column:
+    """The name of a row: a hash of id and text; for the hashes that different rows share, another one."""
+    name, other = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
+    return F.when(name.isin(*clashes), other).otherwise(name) if clashes else name
+
+
+def name_clashes(rows: DataFrame) -> list[int]:
+    """Names that different rows share (about one in 2 ** 65 pairs of rows; more than CLASHES are refused)."""
+    found = rows.groupBy("_uid").agg(F.min("_other").alias("lo"), F.max("_other").alias("hi")).where("lo < hi").select("_uid").limit(CLASHES + 1).collect()
+    if len(found) > CLASHES:
+        raise ValueError("too many rows share a name")
+    return [r[0] for r in found]
 
 
 # Step 1
@@ -138,17 +150,17 @@ def digest(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> D
                 rep.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                 sk.append(sketch(x) if len(x) else None)
                 nodes.append(children(x, roots, threshold).view(np.int64) if len(x) else [])
-            yield pa.RecordBatch.from_arrays([b.column("_uid"), b.column("doc_id"), pa.array(rep, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["_uid", "doc_id", "rep", "n", "sketch", "nodes"])
+            yield pa.RecordBatch.from_arrays([b.column("_uid"), b.column("_other"), b.column("doc_id"), pa.array(rep, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["_uid", "_other", "doc_id", "rep", "n", "sketch", "nodes"])
 
-    rows = docs.select(row_name(docs).alias("_uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "_uid long, doc_id long, rep binary, n long, sketch binary, nodes array<long>")
+    rows = docs.select(row_name().alias("_uid"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_other"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "_uid long, _other long, doc_id long, rep binary, n long, sketch binary, nodes array<long>")
 
 
-def with_sets(docs: DataFrame, wanted: DataFrame, rows: int, fn, schema: str) -> DataFrame:
+def with_sets(docs: DataFrame, name: Column, wanted: DataFrame, rows: int, fn, schema: str) -> DataFrame:
     """fn(columns of wanted, shingle set) -> rows, over the texts of the wanted _uids; texts are read again, not stored.
 
     A row that is there more than once comes more than once."""
-    texts_ = docs.select(row_name(docs).alias("_uid"), "text")
+    texts_ = docs.select(name.alias("_uid"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler()
@@ -162,7 +174,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame, rows: int, fn, schema: str) ->
 # Step 2
 
 
-def leaves(docs: DataFrame, reps: DataFrame, threshold: float, bucket: int, depth: int) -> tuple[DataFrame, DataFrame]:
+def leaves(docs: DataFrame, name: Column, reps: DataFrame, threshold: float, bucket: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """(members) of small leaves, each set of members once, and (node, rep) of nodes that stay large."""
     entries = reps.select(F.col("_uid"), F.explode("nodes").alias("node"))
     done: list[DataFrame] = []
@@ -186,7 +198,7 @@ def leaves(docs: DataFrame, reps: DataFrame, threshold: float, bucket: int, dept
                 node += below.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(node, pa.int64())], names=["_uid", "node"])
 
-        entries = with_sets(docs, wanted, n, split, "_uid long, node long").distinct()
+        entries = with_sets(docs, name, wanted, n, split, "_uid long, node long").distinct()
     members = done[0]
     for d in done[1:]:
         members = members.unionByName(d)
@@ -312,7 +324,8 @@ def components(edges: DataFrame) -> DataFrame:
         star = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("lo").alias("b")).distinct()
         low = star.groupBy("a").agg(F.min("b").alias("lo"))
         down = star.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("lo").alias("b")), F.struct(F.col("b").alias("a"), F.col("lo").alias("b")))).alias("x")).select("x.a", "x.b").where("a != b").distinct()
-        now = materialise(down, "star")
+        last, now = now, materialise(down, "star")
+        release(last)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first())
         if seen[0] == seen[2] and seen == before:
             return now.select(F.col("a").alias("_uid"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("_uid"), F.col("b").alias("comp"))).distinct()
@@ -372,7 +385,7 @@ def _exact(threshold: Fraction):
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float, block: int) -> DataFrame:
+def links(docs: DataFrame, name: Column, reps: DataFrame, comps: DataFrame, threshold: float, block: int) -> DataFrame:
     """Rows (a, -1, 0, texts, rows) with counts of links, and (a, b, 1, 0, 0) of a spanning forest of the links."""
     sizes = comps.groupBy("comp").agg(F.count("*").alias("m"))
     wanted = materialise(comps.join(sizes, "comp").join(reps.select("_uid", "mult"), "_uid"), "parts")
@@ -380,7 +393,7 @@ def links(docs: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float,
     def emit(cols: dict, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols["_uid"], pa.int64()), pa.array(cols["comp"], pa.int64()), pa.array(cols["m"], pa.int64()), pa.array(cols["mult"], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["_uid", "comp", "m", "mult", "shingles"])
 
-    sets = with_sets(docs, wanted, wanted.count(), emit, "_uid long, comp long, m long, mult long, shingles binary")
+    sets = with_sets(docs, name, wanted, wanted.count(), emit, "_uid long, comp long, m long, mult long, shingles binary")
     dealt = blocks(sets, "comp", "m", block)
     dealt = dealt.select("key", "i", "j", "side", "two", "_uid", "mult", "shingles")
     return by_group(dealt, ["key", "i", "j"], _exact(Fraction(threshold).limit_denominator(1000)), "a long, b long, is_link long, texts long, rows long")
@@ -394,23 +407,30 @@ def join_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS
 
     n_links counts other rows at the threshold, copies included; n_texts the other distinct sets."""
     rows = materialise(digest(docs, threshold, runs), "digest")
+    if clashes := name_clashes(rows):
+        rows = rows.withColumn("_uid", F.when(F.col("_uid").isin(*clashes), F.col("_other")).otherwise(F.col("_uid")))
+    name = row_name(clashes)
     full = rows.where("rep is not null")
     reps = materialise(full.groupBy("rep").agg(F.count("*").alias("mult"), F.min(F.struct("_uid", "sketch", "nodes")).alias("x")).select("rep", "mult", "x._uid", "x.sketch", "x.nodes"), "reps")
-    members, large = leaves(docs, reps, threshold, bucket, depth)
+    members, large = leaves(docs, name, reps, threshold, bucket, depth)
     edges = candidates(members, large, reps.select("_uid", "sketch"), threshold - SLACK, block if block < BLOCK else SKETCH_BLOCK)
-    found = materialise(links(docs, reps, components(edges), threshold, block), "links")
+    found = materialise(links(docs, name, reps, components(edges), threshold, block), "links")
     counts = found.where("is_link = 0").groupBy("a").agg(F.sum("texts").alias("n_texts"), F.sum("rows").alias("n_rows"))
     classes = components(found.where("is_link = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     known = reps.select("rep", "mult", F.col("_uid").alias("first"))
     known = known.join(classes.select(F.col("_uid").alias("first"), "comp"), "first", "left").join(counts.withColumnRenamed("a", "first"), "first", "left")
     known = known.select("rep", F.coalesce("comp", "first").alias("class"), (F.coalesce("n_rows", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
     out = rows.select("_uid", "doc_id", "rep").join(known, "rep", "left")
-    return out.select("_uid", "doc_id", "rep", F.coalesce("class", "_uid").alias("class"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_texts")))
+    out = out.select("_uid", "doc_id", "rep", F.coalesce("class", "_uid").alias("class"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_texts")))
+    out = materialise(out, "classes")
+    release(rows, reps, found)
+    out.clashes = clashes
+    return out
 
 
 def class_ids(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id (least id of its class, null if all are null), n_links and n_texts of every row."""
-    rows = materialise(join_classes(docs, **options), "classes")
+    rows = join_classes(docs, **options)
     ids = rows.where("n_links > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     out = rows.join(ids, "class", "left")
     return out.select("doc_id", F.when(F.col("n_links") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_links", "n_texts")
@@ -418,12 +438,14 @@ def class_ids(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class, that of the least (doc_id, name); all other rows as they were."""
-    rows = materialise(join_classes(docs, **options), "classes").where("n_links > 0")
+    classes = join_classes(docs, **options)
+    rows = classes.where("n_links > 0")
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("x")).select(F.col("x._uid").alias("_uid"))
     drop = materialise(rows.select("_uid").join(first, "_uid", "left_anti").distinct(), "dropped")
     again = materialise(rows.groupBy("_uid").count().where("count > 1").select("_uid"), "again")
+    release(classes)
     uid = free_name(docs, "_uid")
-    named = docs.withColumn(uid, row_name(docs))
+    named = docs.withColumn(uid, row_name(classes.clashes))
     gone = drop.select(F.col("_uid").alias(uid))
     kept = named.join(small(gone, gone.count()), uid, "left_anti")
     if n := again.count():  # rows that are there more than once: one of each
