@@ -7,6 +7,7 @@ spans; repeated rows are scanned one by one; an empty table gives an empty table
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ CONTEXT = {
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -77,15 +78,28 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of four numbers joined by points: each longest chain of numbers is read once, four by four."""
+    for m in _NUMBERS.finditer(text):
+        if m[0].count(".") >= 3:
+            parts = m[0].split(".")
+            at = m.start()
+            for k in range(0, len(parts) - 3, 4):
+                four = parts[k : k + 4]
+                end = at + sum(map(len, four)) + 3
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
+                    yield at, end
+                at = end + 1
+
+
 def propose(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose form and checksum hold."""
     for s, e in emails(text):
         yield "email", s, e
     if _DIGIT.search(text) is None:
         return
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
-            yield "ip", *m.span()
+    for s, e in addresses(text):
+        yield "ip", s, e
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             yield ("card" if len(d) >= 16 else "short_card"), *m.span()
@@ -112,7 +126,10 @@ def find_pii(text: str) -> list[tuple[str, int, int, float]]:
     base, more = [], []
     for kind, s, e in propose(text):
         (base if kind in BASE_KINDS else more).append((kind, s, e, score(text, kind, s, e)))
-    more = [x for x in more if x[3] >= MIN_SCORE and not any(x[1] < b[2] and b[1] < x[2] for b in base)]
+    if more:  # a base span that overlaps is the last one of its kind that starts before the other ends
+        by_kind = [sorted((b[1], b[2]) for b in base if b[0] == k) for k in BASE_KINDS]
+        clear = lambda s, e: all((i := bisect.bisect_left(spans, (e,))) == 0 or spans[i - 1][1] <= s for spans in by_kind)
+        more = [x for x in more if x[3] >= MIN_SCORE and clear(x[1], x[2])]
     return sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
