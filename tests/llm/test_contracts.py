@@ -132,16 +132,39 @@ def test_op10(spark, at):
     assert Counter(map(tuple, queries.op10_bpe(spark, at).collect())) == want
 
 
-@pytest.mark.parametrize("leaf", [1, 3, 16])
-def test_op10_tree_equals_library(leaf):
+def library(path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    return lambda t: (e := tok.encode(t, add_special_tokens=False)) and (e.ids, e.tokens)
+
+
+@pytest.mark.parametrize("leaf,window", [(3, 1), (17, 2), (256, 4)])
+def test_op10_tree_equals_library(leaf, window):
     import random
 
-    e, rnd = bpe.Encoder(queries.vocabulary(), long=8, leaf=leaf), random.Random(leaf)
-    x = ["".join(rnd.choice("abethionsré9!'ß"[: rnd.choice([2, 5, 9, 15])]) for _ in range(rnd.randint(1, 900))) for _ in range(60)]
-    x += ["a<|endoftext|>b", "İstanbul x", "ﬁne éé", "日本語" * 40]
-    for s, (n, ids, back) in zip(x, e.encode(x), strict=True):
-        r = e.tok.encode(s, add_special_tokens=False)
-        assert (n, ids, back) == (len(r.ids), " ".join(map(str, r.ids)), e.tok.decode(r.ids, skip_special_tokens=False))
+    path = queries.vocabulary()
+    e, want = bpe.Encoder(path, tree=0, leaf=leaf, window=window), library(path)
+    rnd = random.Random(leaf)
+    alphabets = ["ab", "abcdefghijklmnop  \n", "the lazy dog's don't we'll ", "0123456789.,-", "éàüßœ ÀÉ'", "漢字かな한글 ", "e\u0301a\u0308 x\u200d😀", "\t\u00a0\u2003 <|>|ﬁ①Σσς "]
+    for _ in range(120):
+        t = "".join(rnd.choice(rnd.choice(alphabets)) if rnd.random() < 0.2 else rnd.choice(a) for a in [rnd.choice(alphabets)] for _ in range(rnd.randrange(1500)))
+        assert e.tree(t) == want(t)
+    assert e.tree("") == ([], [])
+
+
+@pytest.mark.parametrize("text", ["ab" * 600_000, "Thand estion lyble, the word's own and 12 others.\n" * 25_000, "x" * 1_000_001, "日本語の文" * 120_000], ids=["unsplit", "words", "one letter", "wide"])
+def test_op10_texts_of_megabytes(text):
+    path = queries.vocabulary()
+    assert bpe.Encoder(path).tree(text) == library(path)(text)
+
+
+def test_op10_long_texts_of_the_table_take_the_tree(spark, sf):
+    e = bpe.Encoder(queries.vocabulary())
+    text = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {e._way(t) for t in text if len(t) > bpe.TREE} <= {"tree"} and e._way("x " * bpe.TREE) == "tree"
+    assert "fast" in {e._way(t) for t in text}
+    assert e._way("<|endoftext|>" + "x" * 100_000) == "slow"
 
 
 def test_clashing_columns_pass_through(spark):
@@ -149,3 +172,21 @@ def test_clashing_columns_pass_through(spark):
     assert quality.quality_filter(docs).columns == docs.columns
     assert secret_scan.redact_secrets(docs, [0.0] * (128 * 128)).columns == docs.columns
     assert bpe.encode_ids(docs, queries.vocabulary()).columns == [*docs.columns, "ids", "decoded"]
+
+
+def test_op7_addresses_by_brute_force():
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(3000):
+        t = "".join(rnd.choice("0125.9. a") for _ in range(rnd.randrange(40)))
+        assert [(s, e) for k, s, e, _ in pii.find_pii(t) if k == "ip"] == [(s, e) for k, s, e in base_pii(t) if k == "ip"], t
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "1." * 500_000, "x" * 1_000_000 + "1", "+1" * 400_000, "a@" * 400_000, "4111111111111111 card " * 40_000])
+def test_op7_long_texts_are_linear(text):
+    import time
+
+    began = time.process_time()
+    pii.find_pii(text)
+    assert time.process_time() - began < 8
