@@ -34,7 +34,7 @@ BLANKS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 BLANK_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 #: Characters that no compatibility form changes, and that do not join with one before them.
-STABLE = r"\x00-\x9f¡-§©«-®°±¶·»¿\x{c0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{180}-\x{1c3}\x{1cd}-\x{1f0}\x{1f4}-\x{24f}–—‘-„†-•\x{4e00}-\x{9fff}"
+STABLE = r"\x00-\x9f\x{c0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{180}-\x{1c3}\x{1cd}-\x{1f0}\x{1f4}-\x{24f}\x{4e00}-\x{9fff}"
 
 
 @F.pandas_udf(StringType())
@@ -44,8 +44,8 @@ def _nfkc(c: pd.Series) -> pd.Series:
 
 def compatible(c: Column) -> Column:
     """A text in Unicode's compatibility form NFKC. Texts without characters that it may change do not leave the JVM."""
-    other = c.rlike(f"[^{STABLE}]")
-    return F.when(other, _nfkc(F.when(other, c))).otherwise(c)
+    asked = bound(c, lambda s: F.when((F.octet_length(s) != F.length(s)) & s.rlike(f"[^{STABLE}]"), s))
+    return F.coalesce(_nfkc(asked), c)
 
 
 def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
