@@ -1,11 +1,15 @@
 """BPE encoding and decoding that equals the tokenizers library on every text.
 
-A text is cut where no token of this kind of tokenizer can cross, and each distinct piece is encoded once per worker (a
-bounded memo). Texts of ASCII and Latin-1 letters are cut into pre-tokens by one regular expression, if the file's
-normalizer and pre-tokenizer are the ones it stands for; all other texts are cut at spaces and line feeds, and the
-library normalizes and cuts further. Pieces of ordinary length go to the library. A long piece, which has no place to cut, is encoded by tree concatenation: its pre-tokens are halved down to short leaves, the leaves are
-encoded together by the library's own threads, and then neighbours are joined bottom-up: a window of tokens around each
-join is merged anew and grown until its outermost tokens on both sides are those that were there before.
+A text of more than TREE code points is encoded by tree concatenation. It is halved down to leaves, at any place where
+normalization cannot join the characters of both sides, inside words as well; all leaves are encoded together by the
+library, which spreads them over threads. Then neighbours are joined bottom-up, all joins of a level together: the text of
+a few tokens on both sides of a join is encoded anew, and the window grows until its first and last token are those that
+were there before. As a row of tokens is the encoding of its text if each two neighbours are that of theirs, the joined
+rows are exact. Texts that hold a special token are left to the library.
+
+In shorter texts each distinct piece is encoded once per worker (memos of bounded size, of short pieces only). Texts of
+ASCII and Latin-1 letters are cut into pre-tokens by one regular expression, if the file's normalizer and pre-tokenizer
+are the ones it stands for; all other texts are cut at spaces and line feeds, and the library normalizes and cuts further.
 
 Requirements on the tokenizer: pre-tokens hold no space or line feed, and the decoder, where there is one, is None
 (tokens joined by one space). Defined cases: a null text counts as empty and has no tokens; repeated rows are encoded
@@ -15,11 +19,11 @@ one by one; an empty table gives an empty table; other columns are passed throug
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import os
 import re
 import threading
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +32,13 @@ from pyspark.sql import types as T
 
 from folioforge.llm.common import texts
 
-#: Code points of a piece above which it is encoded as a tree; of a leaf; pieces remembered by a worker.
-LONG = 2_048
-LEAF = 128
+#: Code points of a text above which it is encoded as a tree; of a leaf; tokens on each side of a join at first.
+TREE = 8_192
+LEAF = 2_048
+WINDOW = 4
+#: Pieces remembered by a worker, and their code points at most.
 MEMO = 500_000
+REMEMBERED = 64
 #: Code points of chunks that one call of the library gets at most.
 BATCH = 1 << 20
 
@@ -55,42 +62,37 @@ def byte_alphabet() -> dict[int, str]:
     return table
 
 
-def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Byte-pair merging: the adjacent pair of least rank, leftmost first, until no pair has a rank."""
-    sym: list[str | None] = list(symbols)
-    n = len(sym)
-    nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := ranks.get((sym[i], sym[i + 1]))) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        if sym[i] != a or (j := nxt[i]) >= n or sym[j] != b:
-            continue
-        sym[i], sym[j] = a + b, None
-        nxt[i] = k = nxt[j]
-        if k < n:
-            prv[k] = i
-            if (r := ranks.get((sym[i], sym[k]))) is not None:
-                heapq.heappush(heap, (r, i, sym[i], sym[k]))
-        if (p := prv[i]) >= 0 and (r := ranks.get((sym[p], sym[i]))) is not None:
-            heapq.heappush(heap, (r, p, sym[p], sym[i]))
-    return [s for s in sym if s is not None]
+def apart(text: str, at: int) -> bool:
+    """Whether normalization treats both sides of a place alone."""
+    a, b = text[at - 1], text[at]
+    if a.isascii() and b.isascii():
+        return True
+    return not unicodedata.combining(b) and unicodedata.normalize("NFC", a + b) == unicodedata.normalize("NFC", a) + unicodedata.normalize("NFC", b)
+
+
+class Part:
+    """Tokens of text[start:end]: ids, tokens and the code points that each comes from."""
+
+    def __init__(self, start: int, end: int, e):
+        self.start, self.end = start, end
+        self.ids, self.tokens = e.ids, e.tokens
+        self.offsets = [(start + a, start + b) for a, b in e.offsets]
 
 
 class Encoder:
     """One tokenizer file, with the memo of a worker."""
 
-    def __init__(self, path: str, long: int = LONG, leaf: int = LEAF):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, path: str, tree: int = TREE, leaf: int = LEAF, window: int = WINDOW):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.long, self.leaf = long, leaf
+        self.longest, self.leaf, self.window = tree, leaf, window
         if self.tok.decoder is not None:
             raise ValueError("only tokenizers without a decoder are supported")
-        self.model: tuple | None = None
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.chunks: dict[str, tuple[int, str, str]] = {}
         self.pieces: dict[str, tuple[int, str, str]] = {}
         self.fast = self._is_word_bpe()
@@ -103,62 +105,72 @@ class Encoder:
         special = all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
         return norm == WORD_NORMALIZER and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": WORD_PATTERN} and pre[0]["invert"] and not pre[1]["add_prefix_space"] and special
 
-    def _parts(self) -> tuple[dict[tuple[str, str], int], dict[str, int], str]:
-        """Merge ranks, vocabulary and end-of-word mark; read when the first long chunk comes."""
-        if self.model is None:
-            m = json.loads(self.tok.to_str())["model"]
-            pairs = (tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in m["merges"])
-            self.model = {p: k for k, p in enumerate(pairs)}, m["vocab"], m.get("end_of_word_suffix") or ""
-        return self.model
-
     # Tree concatenation
 
-    def _symbols(self, tokens: list[str], last: bool) -> list[str]:
-        """The single symbols that the tokens were merged from; the last one has the mark if it ends the piece."""
-        end = self._parts()[2]
-        chars: list[str] = []
-        for t in tokens:
-            chars += t[: -len(end)] if end and t.endswith(end) else t
-        if last and chars:
-            chars[-1] += end
-        return chars
-
-    def join(self, left: list[str], right: list[str], last: bool) -> list[str]:
-        """Tokens of the joined text: windows around the join are merged anew until both outer tokens stay."""
-        ranks, _, _ = self._parts()
-        a = b = 2
-        while True:
-            a, b = min(a, len(left)), min(b, len(right))
-            got = merge(self._symbols(left[-a:] + right[:b], last and b == len(right)), ranks)
-            ok_left = a == len(left) or got[0] == left[-a]
-            ok_right = b == len(right) or got[-1] == right[b - 1]
-            if ok_left and ok_right:
-                return left[:-a] + got + right[b:]
-            a, b = a if ok_left else 2 * a, b if ok_right else 2 * b
-
-    def tree(self, piece: str) -> list[str]:
-        """Tokens of one pre-token of any length."""
-        ranks, vocab, end = self._parts()
-        if len(piece) <= self.leaf:
-            return merge([*piece[:-1], piece[-1] + end], ranks)
-        cuts = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
-        level = [merge([*c] if k < len(cuts) - 1 else [*c[:-1], c[-1] + end], ranks) for k, c in enumerate(cuts)]
+    def _all(self, spans: list[tuple[int, int]], text: str) -> list[Part]:
+        """Parts of the text encoded together, over the library's threads."""
+        return [Part(a, b, e) for (a, b), e in zip(spans, self.tok.encode_batch([text[a:b] for a, b in spans], add_special_tokens=False), strict=True)]
+
+    def _cuts(self, text: str) -> list[int]:
+        """Places that halve the text down to leaves."""
+        out, todo = {0, len(text)}, [(0, len(text))]
+        while todo:
+            a, b = todo.pop()
+            if b - a <= self.leaf:
+                continue
+            at = next((k for k in range((a + b) // 2, b) if apart(text, k)), None) or next((k for k in range((a + b) // 2, a, -1) if apart(text, k)), None)
+            if at is not None:
+                out.add(at)
+                todo += [(a, at), (at, b)]
+        return sorted(out)
+
+    @staticmethod
+    def _edge(text: str, part: Part, n: int, left: bool) -> int:
+        """Tokens of a window's side, `n` or more: up to a place where a token and a character begin anew."""
+        offsets, size = part.offsets, len(part.ids)
+        while n < size:
+            before, after = (offsets[size - n - 1], offsets[size - n]) if left else (offsets[n - 1], offsets[n])
+            at = after[0] if left else before[1]
+            if before[1] <= after[0] and apart(text, at):
+                return n
+            n += 1
+        return size
+
+    def _joined(self, text: str, pairs: list[tuple[Part, Part]]) -> list[Part]:
+        """Each two neighbours as one part."""
+        out: list[Part | None] = [None] * len(pairs)
+        todo = [(k, self.window, self.window) for k in range(len(pairs))]
+        while todo:
+            spans, sides = [], []
+            for k, a, b in todo:
+                left, right = pairs[k]
+                a, b = self._edge(text, left, a, True), self._edge(text, right, b, False)
+                sides.append((k, a, b))
+                spans.append((left.offsets[-a][0] if a < len(left.ids) else left.start, right.offsets[b - 1][1] if b < len(right.ids) else right.end))
+            todo = []
+            for (k, a, b), got in zip(sides, self._all(spans, text), strict=True):
+                left, right = pairs[k]
+                whole_left, whole_right = a == len(left.ids), b == len(right.ids)
+                same = lambda i, part, j: bool(got.ids) and got.ids[i] == part.ids[j] and got.offsets[i] == part.offsets[j]  # noqa: B023, E731
+                ok_left, ok_right = whole_left or same(0, left, -a), whole_right or same(-1, right, b - 1)
+                if ok_left and ok_right:
+                    keep = len(left.ids) - a
+                    got.start, got.end = left.start, right.end
+                    got.ids, got.tokens = left.ids[:keep] + got.ids + right.ids[b:], left.tokens[:keep] + got.tokens + right.tokens[b:]
+                    got.offsets = left.offsets[:keep] + got.offsets + right.offsets[b:]
+                    out[k] = got
+                else:
+                    todo.append((k, a if ok_left else 2 * a, b if ok_right else 2 * b))
+        return out
+
+    def tree(self, text: str) -> tuple[list[int], list[str]]:
+        """Ids and tokens of a text of any length."""
+        cuts = self._cuts(text)
+        level = self._all(list(zip(cuts[:-1], cuts[1:], strict=True)), text)
         while len(level) > 1:
-            level = [self.join(level[i], level[i + 1], i + 2 >= len(level)) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0]
-
-    def _long(self, chunk: str) -> tuple[list[int], list[str]]:
-        """Ids and tokens of a chunk without a place to cut."""
-        tokens: list[str] = []
-        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        if any(s in chunk for s in special):
-            e = self.tok.encode(chunk, add_special_tokens=False)
-            return e.ids, e.tokens
-        text = self.tok.normalizer.normalize_str(chunk) if self.tok.normalizer else chunk
-        vocab = self._parts()[1]
-        for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(text):
-            tokens += self.tree(piece)
-        return [vocab[t] for t in tokens], tokens
+            pairs = self._joined(text, list(zip(level[0::2], level[1::2], strict=False)))
+            level = pairs + level[2 * len(pairs) :]
+        return (level[0].ids, level[0].tokens) if level else ([], [])
 
     # Whole texts
 
@@ -166,26 +178,12 @@ class Encoder:
     def _entry(ids: list[int], tokens: list[str]) -> tuple[int, str, str]:
         return len(ids), " ".join(map(str, ids)), " ".join(tokens)
 
-    def _learn_chunks(self, chunks: set[str]) -> None:
-        """Put (tokens, ids as text, tokens as text) of chunks between spaces into the memo."""
-        short = [c for c in chunks if len(c) <= self.long]
-        for e, c in zip(self.tok.encode_batch(short, add_special_tokens=False), short, strict=True):
-            self.chunks[c] = self._entry(e.ids, e.tokens)
-        for c in chunks:
-            if len(c) > self.long:
-                self.chunks[c] = self._entry(*self._long(c))
-
     def _piece(self, piece: str) -> tuple[int, str, str]:
-        """The same for a pre-token of the fast way."""
-        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
-        if len(piece) > self.long:
-            vocab = self._parts()[1]
-            tokens = self.tree(mapped)
-            got = self._entry([vocab[t] for t in tokens], tokens)
-        else:
-            found = self.tok.model.tokenize(mapped)
-            got = self._entry([t.id for t in found], [t.value for t in found])
-        self.pieces[piece] = got
+        """The entry of a pre-token of the fast way."""
+        found = self.tok.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes))
+        got = self._entry([t.id for t in found], [t.value for t in found])
+        if len(piece) <= REMEMBERED:
+            self.pieces[piece] = got
         return got
 
     def _slow(self, batch: list[str]) -> Iterator[tuple[int, str, str]]:
@@ -193,18 +191,25 @@ class Encoder:
         if len(self.chunks) > MEMO // 4:
             self.chunks.clear()
         known = self.chunks
-        if new := {c for chunks in cut for c in chunks if c not in known}:
-            self._learn_chunks(new)
+        new = list({c for chunks in cut for c in chunks if c not in known})
+        here = {c: self._entry(e.ids, e.tokens) for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True)}
+        known.update((c, x) for c, x in here.items() if len(c) <= REMEMBERED)
         for chunks in cut:
-            got = [x for c in chunks if (x := known[c])[0]]
+            got = [x for c in chunks if (x := known.get(c) or here[c])[0]]
             yield sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
 
+    def _way(self, text: str) -> str:
+        if len(text) > self.longest and not any(s in text for s in self.special):
+            return "tree"
+        return "fast" if self.fast and "<|" not in text and not _OTHER.search(text) else "slow"
+
     def encode(self, batch: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: the number of tokens, the ids joined by spaces, the decoded text."""
         wait: list[str] = []
         chars = 0
         for t in batch:
-            if not self.fast or "<|" in t or _OTHER.search(t):
+            way = self._way(t)
+            if way == "slow":
                 wait.append(t)
                 chars += len(t)
                 if chars < BATCH:
@@ -212,13 +217,14 @@ class Encoder:
             if wait:
                 yield from self._slow(wait)
                 wait, chars = [], 0
-                if not self.fast or "<|" in t or _OTHER.search(t):
-                    continue
-            if len(self.pieces) > MEMO:
-                self.pieces.clear()
-            known = self.pieces
-            got = [known.get(p) or self._piece(p) for p in _PIECES.findall(t.lower())]
-            yield sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+            if way == "tree":
+                yield self._entry(*self.tree(t))
+            elif way == "fast":
+                if len(self.pieces) > MEMO:
+                    self.pieces.clear()
+                known = self.pieces
+                got = [known.get(p) or self._piece(p) for p in _PIECES.findall(t.lower())]
+                yield sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
         if wait:
             yield from self._slow(wait)
 
