@@ -3,7 +3,7 @@
 Each document becomes byte-level BPE ids plus an end mark; documents longer than a row are split without loss into whole
 rows and a rest. Every task packs its own documents as they stream by, in buffers of about BUFFER tokens: the segments
 of a buffer, longest first, each go to the fullest row that still has room. Nothing is shuffled and a task holds one
-buffer (or one document, if that is longer). Rows carry the packed ids (16-bit little-endian, padded with the end mark),
+buffer (or one document, if that is longer); which documents share a row, and row ids, so follow the partitions of df. Rows carry the packed ids (16-bit little-endian, padded with the end mark),
 the cumulative segment lengths, and position numbers that start again at 0 with every segment; `write` saves them.
 
 Defined cases: a null text counts as empty and becomes its end mark alone; repeated rows are packed one by one; of rows

@@ -90,7 +90,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(load(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
-#: SQL of the queries that SQL can express; see the end.
+#: SQL of the queries that SQL can express: none, as all of them use samples, hashes, models or tokenizers.
 ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
