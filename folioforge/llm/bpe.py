@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from folioforge.llm.common import texts
 
 #: Code points of a text above which it is encoded as a tree; of a leaf; tokens on each side of a join at first.
-TREE = 8_192
-LEAF = 2_048
+TREE = 32_768
+LEAF = 4_096
 WINDOW = 4
 #: Pieces remembered by a worker, and their code points at most.
 MEMO = 500_000
