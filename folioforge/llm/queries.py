@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, decontaminate, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, tool_calls
+from folioforge.llm import bpe, centroids, decontaminate, divergence, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, tool_calls
 from folioforge.llm.common import load
 
 
@@ -90,8 +90,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(load(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
-#: SQL of the queries that SQL can express: none, as all of them use samples, hashes, models or tokenizers.
-ORACLE_SQL: dict[str, str] = {}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: SQL of the queries that SQL can express; the others use samples, models, tokenizers or searches.
+ORACLE_SQL: dict[str, str] = {
+    "op12_divergence": divergence.ORACLE,
+    "op13_centroids": centroids.oracle(),
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
@@ -104,4 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op12_divergence": op12_divergence,
+    "op13_centroids": op13_centroids,
 }
