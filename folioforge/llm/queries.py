@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, centroids, decontaminate, divergence, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, tool_calls
+from folioforge.llm import bpe, centroids, decontaminate, divergence, minhash, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, tool_calls
 from folioforge.llm.common import load
 
 
@@ -90,6 +90,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(load(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group_near_copies(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(load(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op11_minhash": op11_minhash,
     "op12_divergence": op12_divergence,
     "op13_centroids": op13_centroids,
 }
