@@ -57,7 +57,7 @@ def first_centroids(rows: DataFrame, k: int, scale: int) -> np.ndarray:
     """At most k vectors, of the least hashes."""
     order = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
     got = rows.select(order.alias("h"), F.transform("v", lambda x: F.floor(x * float(scale))).alias("v")).sort(F.col("h").asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r["v"] for r in got], np.int64).reshape(len(got), -1)
+    return np.array([r["v"] for r in got], np.int64)
 
 
 def moved(rows: DataFrame, centroids: np.ndarray, scale: int) -> np.ndarray:
