@@ -15,6 +15,13 @@ SERIF = (
 BOLD = ("bold", "black", "heavy", "semibold", "demibold", "extrabold", "ultrabold")
 ITALIC = ("italic", "oblique")
 BOLD_FLAG, ITALIC_FLAG = 16, 2
+# Code points that need a Han face, the space between scripts in ems, and points after which there is none.
+WIDE_RANGES = (
+    (0x2E80, 0x2EFF), (0x3000, 0x303F), (0x3040, 0x30FF), (0x3130, 0x318F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF), (0x20000, 0x2FA1F),
+)
+SCRIPT_SPACE = 0.25
+NO_SPACE_AFTER = "。，、：；！？）》」』】"
 RED, GREEN, BLUE, BRIGHT = 0.299, 0.587, 0.114, 0.55
 
 

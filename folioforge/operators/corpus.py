@@ -34,9 +34,11 @@ def leaders(paragraphs: DataFrame) -> DataFrame:
     return got.select("key", "x.doc_id", "x.ord", "followers")
 
 
-def cache_key(c: Column, provider: str = "mock", model: str = "mock", target: str = "zh") -> Column:
-    """The name under which a translation is kept."""
-    return F.substring(F.sha1(F.to_json(F.array(F.lit(provider), F.lit(model), F.lit(target), T.clean_text(c)))), 1, 32)
+def cache_key(c: Column, provider: str = "mock", model: str = "mock", target: str = "zh", prompt: str = "", glossary: str = "") -> Column:
+    """The name under which a translation is kept. Own instructions and a glossary change answers, so they are part of it
+    where there are any; white space around them is not."""
+    more = [F.lit(x.strip()) for x in (prompt, glossary)] if prompt.strip() or glossary.strip() else []
+    return F.substring(F.sha1(F.to_json(F.array(F.lit(provider), F.lit(model), F.lit(target), *more, T.clean_text(c)))), 1, 32)
 
 
 def weighted_mode(rows: DataFrame, by: str, value: str, weight: Column, order: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import text as T
+from folioforge.functions.style import NO_SPACE_AFTER, SCRIPT_SPACE, WIDE_RANGES
+
 # Preferred families, the least share of simplified characters, symbols and what stands for them.
 NOT_PREFERRED = 500
 PREFERRED_SANS = (
@@ -43,9 +46,7 @@ EQUIVALENTS = {
     "ⁿ": ["^n"], "∛": ["cbrt"], "½": ["1/2"], "¼": ["1/4"], "¾": ["3/4"],
     "↗": ["up-right"], "↘": ["down-right"],
 }
-NO_SPACE_AFTER = "。，、：；！？）》」』】"
-WIDE_SCRIPT = r"[\x{2e80}-\x{2eff}\x{3000}-\x{30ff}\x{3130}-\x{318f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{fe30}-\x{fe4f}\x{ff00}-\x{ffef}\x{20000}-\x{2fa1f}]"
-SCRIPT_SPACE = 0.25
+WIDE_SCRIPT = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in WIDE_RANGES) + "]"
 
 
 def preference(name: Column, families: tuple[str, ...]) -> Column:
@@ -113,3 +114,87 @@ def script_gaps(text: Column) -> Column:
     size = F.greatest(F.lit(0), F.size(chars) - 1)
     gaps = F.zip_with(F.slice(chars, F.lit(1), size), F.slice(chars, F.lit(2), size), script_space)
     return F.when(text.rlike(WIDE_SCRIPT), F.size(F.filter(gaps, lambda g: g > 0))).otherwise(0)
+
+
+# A face for each symbol, and lines as runs of faces
+
+# Families that are taken first for single symbols.
+PREFERRED_SYMBOLS = (
+    "ms gothic", "yu gothic", "malgun gothic",
+    "microsoft jhenghei", "microsoft yahei", "dengxian",
+    "simsun", "simhei", "heiti", "songti", "kaiti",
+    "source han", "noto sans", "思源", "黑体", "宋体",
+)
+HAN_ADVANCE = r"[\x{1100}-\x{11ff}\x{2e80}-\x{2eff}\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3130}-\x{318f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{fe30}-\x{fe4f}\x{ff00}-\x{ffef}]"
+#: Code points of a block of the index.
+BLOCK = 256
+
+
+def characters(text: Column) -> Column:
+    """The distinct characters of a text."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""))
+
+
+def covering(codes: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(code, name): the faces that have each code point, by an index of coverage (name, first, last) in blocks.
+
+    codes has distinct code points, at most as many as Unicode has; a range of any length meets only its own blocks."""
+    blocks = coverage.select("name", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK))).alias("block"))
+    placed = codes.select("code", F.floor(F.col("code") / BLOCK).alias("block"))
+    return placed.join(blocks, "block").where(F.col("code").between(F.col("first"), F.col("last"))).select("code", "name").distinct()
+
+
+def symbol_faces(codes: DataFrame, faces: DataFrame, coverage: DataFrame, liked: tuple[str, ...] = PREFERRED_SYMBOLS) -> DataFrame:
+    """(code, name): for each code point the first face that has it, none for those that no face has.
+
+    faces: name, subset_safe, variable, light, cjk_ok, ascii_ok, compared in this order, then by preference and name: single
+    symbols ask for no weight, but a light one would stand out."""
+    lacks = lambda c: (~F.col(c)).cast("int")
+    keys = F.struct(lacks("subset_safe").alias("k0"), F.col("variable").cast("int").alias("k1"), F.col("light").cast("int").alias("k2"), lacks("cjk_ok").alias("k3"), lacks("ascii_ok").alias("k4"), preference(F.col("name"), liked).alias("k5"), "name")
+    ranked_ = faces.select("name", keys.alias("key"))
+    return covering(codes, coverage).join(ranked_, "name").groupBy("code").agg(F.min("key")["name"].alias("name"))
+
+
+def lacking(texts: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(code): the distinct code points of texts (column text) that no range of a base face's coverage (first, last) has."""
+    codes = texts.select(F.explode(characters(F.col("text"))).alias("c")).distinct().select(F.ascii("c").alias("code"))
+    return codes.join(covering(codes, coverage.select(F.lit("base").alias("name"), "first", "last")), "code", "left_anti")
+
+
+def with_symbols(texts: DataFrame, keys: list[str], chosen: DataFrame) -> DataFrame:
+    """texts with `symbols`, a map from those of its characters that have a face of their own (chosen: code, name) to it."""
+    own = texts.select(*keys, F.explode(characters(F.col("text"))).alias("c")).withColumn("code", F.ascii("c"))
+    found = own.join(chosen, "code").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "name"))).alias("symbols"))
+    return texts.join(found, keys, "left")
+
+
+def line_width(text: Column) -> Column:
+    """The width of a line in ems: one for Han, half for others, and the space between scripts."""
+    han = F.length(text) - F.length(F.regexp_replace(text, HAN_ADVANCE, ""))
+    return F.length(text) * 0.5 + F.when(text.rlike(HAN_ADVANCE), han * 0.5).otherwise(0.0) + script_gaps(text) * SCRIPT_SPACE
+
+
+def face_runs(rows: DataFrame, keys: list[str], han: str = "han", latin: str = "latin") -> DataFrame:
+    """(keys, run, face, text, x, width) of rows (keys, text, symbols): each line as runs of one face, x in ems from its start.
+
+    Symbols have the face of the map, other characters that of their script. The space where the script changes belongs
+    to no run, it moves the next one. Empty and null lines have no runs; keys name the rows."""
+    made = lambda f, t, g: F.struct(f.alias("face"), t.alias("text"), g.alias("gap"))
+
+    def cut(c: Column, f: Column, s: Column) -> Column:
+        """Runs of the characters c with the faces f, that begin at the places s."""
+        ends = F.concat(F.slice(s, F.lit(2), F.size(s) - 1), F.array(F.size(c)))
+        return F.zip_with(s, ends, lambda a, b: made(F.get(f, a), F.array_join(F.slice(c, a + 1, b - a), ""), F.when(a > 0, script_space(F.get(c, a - 1), F.get(c, a))).otherwise(0.0)))
+
+    def all_runs(c: Column) -> Column:
+        face = F.transform(c, lambda x: F.coalesce(F.element_at("symbols", x), F.when(x.rlike(WIDE_SCRIPT), han).otherwise(latin)))
+        starts = lambda f: F.filter(F.transform(f, lambda x, i: F.when((i == 0) | (F.get(f, i - 1) != x), i)), lambda i: i.isNotNull())
+        return T.bound(face, lambda f: T.bound(starts(f), lambda s: cut(c, f, s)))  # each is computed once a line
+
+    plain = F.col("symbols").isNull() & ~F.col("text").rlike(WIDE_SCRIPT)
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    run = F.when(plain, F.array(made(F.lit(latin), F.col("text"), F.lit(0.0)))).otherwise(T.bound(chars, all_runs))
+    out = rows.where("text != ''").select(*keys, F.posexplode(run).alias("run", "_r"))
+    out = out.select(*keys, "run", "_r.*").withColumn("width", line_width(F.col("text")))
+    before = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("x", F.sum(F.col("gap") + F.col("width")).over(before) - F.col("width")).select(*keys, "run", "face", "text", "x", "width")

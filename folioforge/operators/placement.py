@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from folioforge.functions import text as T
-from folioforge.operators import regions, setting, structure
+from folioforge.operators import frames, regions, setting, structure
 
 # Least margin of a page in points and its share of the height, the gap between source and translation in
 # ems, least room of a line and of a column, the part of an upright box's height that lines may take.
 MARGIN, MARGIN_SHARE = 12.0, 0.02
 DUAL_GAP, LEAST_ROOM, LEAST_HEIGHT, UPRIGHT_SHARE = 0.30, 8.0, 4.0, 0.98
+#: The height of a face above the baseline in ems (a metric of the face, so an input), and the most tracking in ems.
+ASCENT, TRACKING = 0.88, 0.08
+#: What rows may have besides, and what stands for it: the first baseline, the alignment, the origins of the source's lines
+#: and their direction.
+MORE = {"first": "double", "align": "string", "starts": "array<struct<x:double,y:double>>", "dir_x": "double", "dir_y": "double"}
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -36,61 +42,73 @@ def limits(rows: DataFrame) -> DataFrame:
     return placed.withColumns({"line_room": room, "free": free, "height_room": within, "clamped": within < most, "_most": most}).drop("above", "below")
 
 
-def _sized(rows: DataFrame, smallest: float, spacing: float, scale: float, gap: float) -> DataFrame:
-    """rows with the translation set alone (size, set_lines, needs) and below its source (dual_size, dual_lines, dual_needs, null where it does not fit)."""
-    columns = ["doc_id", "ord", "text", "target", "size", "line_room", "height_room", "_most", "pitch"]
-    schema = "doc_id long, ord int, mono_size double, mono_lines array<string>, mono_needs double, fits boolean, dual_size double, dual_lines array<string>, dual_needs double, source_lines array<string>"
-
-    def both(r) -> tuple:
-        largest = max(smallest, r.size * scale)
-        pitch = 0.0 if r.pitch is None or r.pitch != r.pitch else r.pitch
-        size, lines, fits = setting.fitted(r.target, r.line_room, r.height_room, largest, smallest, spacing, pitch)
-        one = size * spacing
-        step = min(max(pitch, one), 1.8 * one) if pitch > 0 else one
-        mono = (size, lines, one + (len(lines) - 1) * step, fits)
-        source = [s for s in (x.strip() for x in (r.text or "").split("\n")) if s] or [""]
-        # source and translation share one size: the source's lines and the gap take a fixed part of each size's height
-        taken = len(source) + gap / spacing
-        text = setting.Setting(r.target)
-
-        def needs(s: float) -> float:
-            return (taken + max(1, len(text.lines(r.line_room / s)))) * s * spacing
-
-        found = setting.largest_size(smallest, largest, lambda s: needs(s) <= r._most + setting.SPARE)
-        if found is None:
-            return *mono, None, None, None, source
-        return *mono, found, [text.text[a:b].rstrip(" ") for a, b in text.lines(r.line_room / found)] or [""], needs(found), source
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        for f in frames:
-            f = f.rename(columns={"_most": "most"})
-            out = [(r.doc_id, r.ord, *both(_Row(r))) for r in f.itertuples(index=False)]
-            yield pd.DataFrame(out, columns=names)
-
-    got = rows.select(*columns).mapInPandas(run, schema)
-    return rows.join(got, ["doc_id", "ord"])
-
-
-class _Row:
-    """A row with plain values."""
-
-    def __init__(self, r):
-        self.text, self.target, self.size, self.line_room, self.height_room, self.pitch, self._most = r.text, r.target, r.size, r.line_room, r.height_room, r.pitch, r.most
-
-
-def plan(rows: DataFrame, dual: bool = False, smallest: float = 5.0, spacing: float = 1.05, scale: float = 1.0, dual_gap: float = 1.0) -> DataFrame:
+_KINDS = {"number": ST.DoubleType(), "numbers": ST.ArrayType(ST.DoubleType()), "texts": ST.ArrayType(ST.StringType()), "flag": ST.BooleanType()}
+#: What a paragraph's two settings are.
+SIZED = {
+    "mono_size": "number", "mono_lines": "texts", "mono_widths": "numbers", "mono_tracking": "numbers", "mono_step": "number", "mono_needs": "number", "fits": "flag",
+    "dual_size": "number", "dual_lines": "texts", "dual_widths": "numbers", "dual_needs": "number", "source_lines": "texts", "source_ems": "numbers",
+}
+
+
+def _both(text: str | None, target: str, size: float, room: float, height: float, most: float, pitch: float | None, align: str | None, first: float | None, turn: int, smallest: float, spacing: float, scale: float, gap: float, track: float) -> tuple:
+    """The values of SIZED for one paragraph: the translation alone, and below its source (nulls where that does not fit)."""
+    largest = max(smallest, size * scale)
+    pitch = pitch or 0.0
+    size, lines, fits = setting.fitted(target, room, height, largest, smallest, spacing, pitch)
+    one = size * spacing
+    step = min(max(pitch, one), 1.8 * one) if pitch > 0 else one
+    tracks = setting.tracking(lines, size, room, align or "left", track if turn == 0 and first is not None else 0.0)
+    ems = [setting.measured(x) for x in lines]
+    widths = [size * w + t * max(0, len(x) - 1) for x, w, t in zip(lines, ems, tracks, strict=True)]
+    mono = (size, lines, widths, tracks, step, one + (len(lines) - 1) * step, fits)
+    source = [s for s in (x.strip() for x in (text or "").split("\n")) if s] or [""]
+    source_ems = [setting.measured(x) for x in source]
+    # source and translation share one size: the source's lines and the gap take a fixed part of each size's height
+    taken = len(source) + gap / spacing
+    whole = setting.Setting(target)
+
+    def needs(s: float) -> float:
+        return (taken + max(1, len(whole.lines(room / s)))) * s * spacing
+
+    found = setting.largest_size(smallest, largest, lambda s: needs(s) <= most + setting.SPARE)
+    if found is None:
+        return *mono, None, None, None, None, source, source_ems
+    both = [whole.text[a:b].rstrip(" ") for a, b in whole.lines(room / found)] or [""]
+    return *mono, found, both, [found * setting.measured(x) for x in both], needs(found), source, source_ems
+
+
+def _sized(rows: DataFrame, smallest: float, spacing: float, scale: float, gap: float, track: float) -> DataFrame:
+    """rows with the columns of SIZED. All other columns pass through the batch as they are."""
+    columns = ["text", "target", "size", "line_room", "height_room", "_most", "pitch", "align", "first", "turn"]
+    schema = ST.StructType([*rows.schema.fields, *(ST.StructField(n, _KINDS[k]) for n, k in SIZED.items())])
+    arrow = {"number": pa.float64(), "numbers": pa.list_(pa.float64()), "texts": pa.list_(pa.string()), "flag": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_both(*r, smallest, spacing, scale, gap, track) for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
+            made = zip(*got, strict=True) if got else ([] for _ in SIZED)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, arrow[k]) for k, v in zip(SIZED.values(), made, strict=True))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def plan(rows: DataFrame, dual: bool = False, smallest: float = 5.0, spacing: float = 1.05, scale: float = 1.0, dual_gap: float = 1.0, ascent: float = ASCENT, track: float = TRACKING) -> DataFrame:
     """One row a paragraph with a translation: doc_id, ord, mode (mono, dual or fallback), turn, size, lines, source_lines,
-    box, target_y0 (where the translation starts), erase (struct), clamped (cell, row or null), overflow.
+    box, target_y0 (where the translation starts), erase (struct), clamped (cell, row or null), overflow, step (between
+    baselines), tracking (a number a line), widths, source_widths, align, skip (what stands before the translation) and frame.
+
+    Upright text alone begins on the source's first baseline, with lines at the source's pitch; turned text has the frame of
+    its source's lines. Both keep the source's place whatever their size.
 
     rows: doc_id, ord, column, x0, y0, x1, y1, text, target, size, rotation, height, pitch, limit. Paragraphs without a
     translation are not set but keep their place free. With `dual` source and translation are set below each other in one
     size; where they do not fit, or would lie on another paragraph, the translation is set alone (fallback). A text that
     does not even fit alone in the smallest size overflows and is kept whole."""
     clean = lambda c: T.clean_text(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("\n"), F.lit(" ")))
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in MORE.items() if c not in rows.columns})
     placed = structure.erase_box(limits(rows))
     set_ = placed.withColumn("target", clean("target")).where("target != ''").withColumn("size", F.coalesce("size", F.lit(10.0)))
-    sized = _sized(set_, smallest, spacing, scale, DUAL_GAP * dual_gap)
+    sized = _sized(set_, smallest, spacing, scale, DUAL_GAP * dual_gap, track)
     high = F.col("y1") - F.col("y0")
     flipped = F.col("turn") == 180
 
@@ -108,19 +126,39 @@ def plan(rows: DataFrame, dual: bool = False, smallest: float = 5.0, spacing: fl
         sized = sized.join(hit, ["doc_id", "ord"], "left")
         mode = F.when(F.col("dual_needs").isNotNull() & F.col("_hit").isNull(), "dual").otherwise("fallback")
     sized = sized.withColumn("mode", mode)
-    both = F.col("mode") == "dual"
-    needs = F.when(both, F.col("dual_needs")).when(F.col("mode") == "mono", F.col("mono_needs")).otherwise(F.least("mono_needs", "height_room"))
+    both, alone = F.col("mode") == "dual", F.col("mode") == "mono"
+    needs = F.when(both, F.col("dual_needs")).when(alone, F.col("mono_needs")).otherwise(F.least("mono_needs", "height_room"))
     top, bottom = spread(needs)
     size = F.when(both, F.col("dual_size")).otherwise(F.col("mono_size"))
-    source = F.size("source_lines") * size * spacing + size * DUAL_GAP * dual_gap
-    return sized.select(
-        "doc_id", "ord", "mode", "turn", size.alias("size"), F.when(both, F.col("dual_lines")).otherwise(F.col("mono_lines")).alias("lines"),
-        F.when(both, F.col("source_lines")).alias("source_lines"), "x0", top.alias("y0"), "x1", bottom.alias("y1"),
-        F.when(both & ~flipped, F.col("y0") + source).when(both, F.col("y1") - source).alias("target_y0"), "erase",
+    # text alone is anchored to the baseline of its source, and turned text alone keeps its box
+    anchored, upright = alone & (F.col("turn") == 0) & F.col("first").isNotNull(), F.col("turn").isin(90, 270)
+    first = F.when(anchored, F.col("first"))
+    top, bottom = (F.when(anchored, first - size * ascent).when(alone & upright, F.col("y0")).otherwise(top), F.when(anchored, first - size * ascent + F.greatest(high, needs)).when(alone & upright, F.col("y1")).otherwise(bottom))
+    skip = F.size("source_lines") * size * spacing + size * DUAL_GAP * dual_gap
+    turned = frames.frame(F.col("starts"), F.col("dir_x"), F.col("dir_y"), F.col("x1") - F.col("x0"), high)
+    return sized.withColumns({"_top": top, "_bottom": bottom, "_size": size, "_skip": skip}).select(
+        "doc_id", "ord", "mode", "turn", F.col("_size").alias("size"), F.when(both, F.col("dual_lines")).otherwise(F.col("mono_lines")).alias("lines"),
+        F.when(both, F.col("source_lines")).alias("source_lines"), "x0", F.col("_top").alias("y0"), "x1", F.col("_bottom").alias("y1"),
+        F.when(both & ~flipped, F.col("y0") + F.col("_skip")).when(both, F.col("y1") - F.col("_skip")).alias("target_y0"), "erase",
         F.when(F.col("clamped"), F.col("limit.kind")).alias("clamped"), (~both & ~F.col("fits")).alias("overflow"),
+        F.when(both, F.col("_size") * spacing).otherwise(F.col("mono_step")).alias("step"),
+        F.when(alone, F.col("mono_tracking")).otherwise(F.transform(F.when(both, F.col("dual_lines")).otherwise(F.col("mono_lines")), lambda x: F.lit(0.0))).alias("tracking"),
+        F.when(both, F.col("dual_widths")).when(alone, F.col("mono_widths")).otherwise(F.zip_with(F.col("mono_widths"), F.zip_with("mono_lines", "mono_tracking", lambda x, t: t * F.greatest(F.lit(0), F.length(x) - 1)), lambda w, t: w - t)).alias("widths"),
+        F.when(both, F.transform("source_ems", lambda w: w * F.col("_size"))).alias("source_widths"), "align", F.when(both, F.col("_skip")).otherwise(0.0).alias("skip"),
+        F.coalesce(F.when(upright, turned), frames.box_frame(F.col("turn"), first, F.col("_top"), F.col("_bottom"), F.col("_size") * ascent)).alias("frame"),
     )
 
 
+def placed_lines(plans: DataFrame) -> DataFrame:
+    """(doc_id, ord, part source or target, line, text, x, y, width, ax, ay, sx, sy, size) of each line of a plan that is not blank:
+    where its baseline begins, along which axis it runs and along which the lines stack."""
+    keys = ["doc_id", "ord"]
+    more = {"part": F.lit("target"), "size": F.col("size")}
+    target = frames.line_rows(plans, keys, F.col("frame"), F.col("lines"), F.col("widths"), F.col("step"), F.col("align"), F.col("skip"), more)
+    source = frames.line_rows(plans.where("mode = 'dual'"), keys, F.col("frame"), F.col("source_lines"), F.col("source_widths"), F.col("step"), F.col("align"), 0.0, more | {"part": F.lit("source")})
+    return target.unionByName(source)
+
+
 def summary(plans: DataFrame) -> DataFrame:
     """(doc_id, placed, fallback_mono, overflow, clamped_cell, clamped_row) of each page that has a translation."""
     count = lambda c, n: F.count_if(c).alias(n)

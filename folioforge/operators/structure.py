@@ -181,11 +181,54 @@ def skeleton(c: Column) -> Column:
     return F.regexp_replace(T.compatible(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
 
 
-def verified(paragraphs: DataFrame, pages: DataFrame, least: int = 2) -> DataFrame:
-    """(doc_id, checked, missing): targets (doc_id, ord, target) not found in the text of their page (doc_id, text).
-
-    Targets with fewer letters and digits than `least` are counted as checked and never missing."""
-    needles = paragraphs.where("target != ''").groupBy("doc_id").agg(F.collect_list(skeleton(F.col("target"))).alias("needles"))
-    there = pages.select("doc_id", skeleton(F.col("text")).alias("hay"))
-    lost = F.filter("needles", lambda n: (F.length(n) >= least) & ~F.contains(F.coalesce(F.col("hay"), F.lit("")), n))
-    return needles.join(there, "doc_id", "left").select("doc_id", F.size("needles").alias("checked"), F.size(lost).alias("missing"))
+# What is translated, and what a document holds
+
+#: Reasons by kind for paragraphs at the edge of pages; kinds of those that are not text.
+EDGE = {"header": "header", "footer": "footer", "page_num": "page_num"}
+
+
+def marked(rows: DataFrame, target: str = "zh", skip_edges: bool = True, skip_other: bool = True) -> DataFrame:
+    """rows (text, kind) with kind, translatable and skip_reason ('' for none), the first reason that holds: blank text (kind
+    empty), headers, footers and page numbers, code and what is not text (kind code), text in the target language.
+
+    Null kinds are text. The two flags let the edges, or all but blanks and edges, be translated as well."""
+    flat = T.clean_text(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"), F.lit(" ")))
+    kind = F.coalesce("kind", F.lit("text"))
+    reason = F.when(F.col("_t") == "", "empty")
+    if skip_edges:
+        for k, why in EDGE.items():
+            reason = reason.when(kind == k, why)
+    if skip_other:
+        reason = reason.when(T.looks_like_code(F.col("_t")), "code").when(~T.is_translatable(F.col("_t")), "not_translatable").when(T.has_target_language(F.col("_t"), target), "already_target")
+    out = rows.withColumn("_t", flat).withColumn("skip_reason", F.coalesce(reason, F.lit(""))).drop("_t")
+    changed = F.when(F.col("skip_reason") == "empty", "empty").when(F.col("skip_reason").isin("code", "not_translatable"), "code").when(kind == "empty", "text").otherwise(kind)
+    return out.withColumns({"translatable": F.col("skip_reason") == "", "kind": changed})
+
+
+def in_pages(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """marked rows (file_id, page) of which those on no wanted page (file_id, page) are left alone, with that as their reason.
+
+    A file that is not named in `wanted` is wanted whole."""
+    named = wanted.select("file_id", F.lit(True).alias("_named")).distinct()
+    there = wanted.select("file_id", "page", F.lit(True).alias("_there")).distinct()
+    out = rows.join(named, "file_id", "left").join(there, ["file_id", "page"], "left")
+    gone = F.col("translatable") & F.col("_named").isNotNull() & F.col("_there").isNull()
+    return out.withColumns({"skip_reason": F.when(gone, "page_range").otherwise(F.col("skip_reason")), "translatable": F.col("translatable") & ~gone}).drop("_named", "_there")
+
+
+def document_statistics(rows: DataFrame, pages: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(file_id, pages, paragraphs, translatable, characters, kinds, columns, body_size, from_ocr, ocr_pages, warnings) of each
+    file with pages; kinds is a map from kind to count, body_size the median of the sizes of translatable paragraphs.
+
+    rows: marked paragraphs (file_id, page, kind, text, size, columns, translatable, from_ocr); warnings: file_id, page, warning."""
+    sent, ocr = F.col("translatable"), F.coalesce("from_ocr", F.lit(False))
+    by_kind = rows.groupBy("file_id", "kind").agg(F.count("*").alias("n")).groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
+    counts = rows.groupBy("file_id").agg(
+        F.count("*").alias("paragraphs"), F.count_if(sent).alias("translatable"), F.sum(F.when(sent, F.length(T.clean_text(F.col("text")))).otherwise(0)).cast("bigint").alias("characters"),
+        F.max("columns").alias("columns"), F.round(F.expr("percentile(case when translatable then size end, 0.5)"), 1).alias("body_size"), F.count_if(ocr).alias("from_ocr"), F.countDistinct(F.when(ocr, F.col("page"))).alias("ocr_pages"),
+    )
+    told = warnings.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "warning"))), lambda w: w["warning"]).alias("warnings"))
+    total = pages.groupBy("file_id").agg(F.count("*").alias("pages"))
+    out = total.join(counts, "file_id", "left").join(by_kind, "file_id", "left").join(told, "file_id", "left")
+    zero = lambda c, v=0: F.coalesce(c, F.lit(v)).alias(c)
+    return out.select("file_id", "pages", zero("paragraphs"), zero("translatable"), zero("characters"), F.coalesce("kinds", F.create_map().cast("map<string,bigint>")).alias("kinds"), zero("columns", 1), zero("body_size", 0.0), zero("from_ocr"), zero("ocr_pages"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))

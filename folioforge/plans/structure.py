@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import style
 from folioforge.functions import text as T
 from folioforge.operators import corpus as C
-from folioforge.operators import setting
+from folioforge.operators import setting, verification
 from folioforge.operators import structure as S
 from folioforge.plans.catalog import BOXES, CLEAN, KEY, ORACLE_SQL, PAGE, _boxes, doc_lines, query, table
 from folioforge.plans.pages import BOXES_A_PAGE, PAGE_WIDTH, paged
@@ -93,7 +93,7 @@ def erase_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, count(*)::int as checked, count(*) filter (length(needle) >= 2 and not contains(hay, needle))::int as missing from k group by doc_id""")
 def output_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return S.verified(doc_lines(spark, sf_dir).withColumnRenamed("line", "target"), docs.select("doc_id", F.regexp_replace("text", "[0-9]", "").alias("text")))
+    return verification.verified(doc_lines(spark, sf_dir).withColumnRenamed("line", "target"), docs.select("doc_id", F.regexp_replace("text", "[0-9]", "").alias("text")))
 
 
 @query("select doc_id, n >= 0 and n < 40 and share >= 0.35 as needed, case when n >= 40 then 'text' when share >= 0.35 then 'scan' when n = 0 then 'blank' else 'few images' end as why from (select doc_id, length(regexp_replace(text, '[ \\t\\n]', '', 'g')) % 60 as n, doc_id % 100 / 100.0::double as share from documents)")

@@ -34,16 +34,18 @@ def mock() -> Provider:
 
 
 def patient(chat: Provider, retries: int = 3, pause: float = 1.5, longest: float = 8.0) -> Provider:
-    """chat, called again after time-outs and broken connections, later each time; other errors pass."""
+    """chat, called again after time-outs and broken connections, later each time; other errors pass. `repeats` counts calls made again."""
 
     def run(message: str, hint: str) -> str:
         for attempt in range(1, retries + 1):
             try:
                 return chat(message, hint)
             except (TimeoutError, ConnectionError):
+                run.repeats += 1
                 time.sleep(min(longest, pause * attempt))
         return chat(message, hint)
 
+    run.repeats = 0
     return run
 
 

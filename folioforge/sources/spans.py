@@ -39,6 +39,34 @@ def _read(spark: SparkSession, path: str, form: str, columns: dict) -> DataFrame
     return spark.read.format(form).load(path)
 
 
+#: The column that holds a record that could not be read.
+BROKEN = "_broken"
+WARNING = "page {} could not be read"
+
+
+def read_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of a folder of JSON lines, and the records that are no spans: (file, record), by the file they stand in."""
+    schema = ", ".join(f"{n} {t}" for n, (t, _) in SPANS.items())
+    read = spark.read.schema(f"{schema}, {BROKEN} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
+    read = read.select("*", F.col("_metadata.file_name").alias("_file"))
+    return conform(read.where(F.col(BROKEN).isNull()), SPANS), read.where(F.col(BROKEN).isNotNull()).select(F.col("_file").alias("file"), F.col(BROKEN).alias("record"))
+
+
+def parsed(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, pages, warnings) of pages as a parser gives them: file_id, page, body, a JSON object with width, height,
+    rotation and spans. A page whose body cannot be read is a page of the usual size without text, with a warning; it does
+    not stop its file. Null bodies count as such; null spans are none."""
+    span = ",".join(f"{n}:{t}" for n, (t, _) in SPANS.items() if n not in ("file_id", "page"))
+    kind = f"width double, height double, rotation int, spans array<struct<{span}>>, {BROKEN} string"
+    read = documents.select("file_id", "page", F.from_json(F.coalesce("body", F.lit("")), kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("b"), (F.trim(F.coalesce("body", F.lit(""))) == "").alias("_none"))
+    failed = F.col("b").isNull() | F.col(f"b.{BROKEN}").isNotNull() | F.col("_none")
+    good = lambda c: F.when(~failed, F.col(f"b.{c}")).alias(c)
+    pages = conform(read.select("file_id", "page", good("width"), good("height"), good("rotation")), PAGES)
+    spans = conform(read.where(~failed).select("file_id", "page", F.explode("b.spans").alias("s")).select("file_id", "page", "s.*"), SPANS)
+    text = F.concat(F.lit(WARNING.split("{}")[0]), (F.col("page") + 1).cast("string"), F.lit(WARNING.split("{}")[1]))
+    return spans, pages, read.where(failed).select("file_id", "page", text.alias("warning"))
+
+
 def lines(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Lines of spans: text in order of spans, box within the page's height, mean size by characters, leading style, direction.
 

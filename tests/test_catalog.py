@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from folioforge.plans import catalog, documents, pages, structure, translate  # noqa: F401
+from folioforge.plans import catalog, delivery, documents, pages, structure, translate  # noqa: F401
 
 
 @pytest.fixture(scope="module")

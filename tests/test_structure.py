@@ -129,7 +129,7 @@ def test_erased_boxes_spare_kept_neighbours(spark):
 def test_verified(spark):
     paragraphs = spark.createDataFrame([(1, 0, "a-b c"), (1, 1, "xyz"), (1, 2, "q"), (1, 3, None), (2, 0, "Ａ1")], "doc_id long, ord int, target string")
     pages = spark.createDataFrame([(1, "… (abc) …"), (2, "a A 1")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in S.verified(paragraphs, pages).collect()) == [(1, 3, 1), (2, 1, 0)]
+    assert sorted(tuple(r) for r in verification.verified(paragraphs, pages).collect()) == [(1, 3, 1), (2, 1, 0)]
 
 
 def test_styles(spark):
