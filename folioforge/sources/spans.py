@@ -46,10 +46,10 @@ WARNING = "page {} could not be read"
 
 def read_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Spans of a folder of JSON lines, and the records that are no spans: (file, record), by the file they stand in."""
-    schema = ", ".join(f"{n} {t}" for n, (t, _) in SPANS.items())
-    read = spark.read.schema(f"{schema}, {BROKEN} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
-    read = read.select("*", F.col("_metadata.file_name").alias("_file"))
-    return conform(read.where(F.col(BROKEN).isNull()), SPANS), read.where(F.col(BROKEN).isNotNull()).select(F.col("_file").alias("file"), F.col(BROKEN).alias("record"))
+    kind = ", ".join([*(f"{n} {t}" for n, (t, _) in SPANS.items()), f"{BROKEN} string"])
+    read = spark.read.text(path).where("trim(value) != ''").select("value", F.col("_metadata.file_name").alias("file"), F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("s"))
+    broken = F.col("s").isNull() | F.col(f"s.{BROKEN}").isNotNull()
+    return conform(read.where(~broken).select("s.*"), SPANS), read.where(broken).select("file", F.col("value").alias("record"))
 
 
 def parsed(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
