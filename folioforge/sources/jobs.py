@@ -1,4 +1,4 @@
-"""Work that can be watched and stopped: all Spark jobs of a piece of work carry its tag."""
+"""Work that can be watched and stopped: all Spark jobs of a piece of work are in the group of its tag."""
 
 from __future__ import annotations
 
@@ -23,21 +23,18 @@ class Job:
 
     def _run(self) -> None:
         self.spark.sparkContext.setJobGroup(self.tag, self.tag, True)
-        self.spark.addTag(self.tag)
         try:
             self.result = self.fn(self.spark)
             self.status = "cancelled" if self._stop.is_set() else "done"
         except Exception as e:  # noqa: BLE001  told to whoever waits
             self.error = e
             self.status = "cancelled" if self._stop.is_set() else "error"
-        finally:
-            self.spark.removeTag(self.tag)
 
     def cancel(self) -> None:
         """Stops the running Spark jobs of the tag, and those that fn would start next."""
         self._stop.set()
         while self._thread.is_alive():
-            self.spark.interruptTag(self.tag)
+            self.spark.sparkContext.cancelJobGroup(self.tag)
             self._thread.join(0.2)
 
     def wait(self, seconds: float | None = None) -> str:

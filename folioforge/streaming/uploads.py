@@ -18,7 +18,7 @@ ENTRY = "name string, uploaded_at timestamp, size long"
 
 def files(spark: SparkSession, folder: str, a_batch: int = 100) -> DataFrame:
     """(file_id, name, uploaded_at, size) of files landing in a folder, as a stream; the id is a hash of the content."""
-    read = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", a_batch).load(folder)
+    read = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("maxFilesPerTrigger", a_batch).load(folder)
     return read.select(F.sha1("content").alias("file_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("modificationTime").alias("uploaded_at"), F.col("length").alias("size"))
 
 
