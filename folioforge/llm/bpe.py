@@ -1,15 +1,16 @@
 """BPE encoding and decoding that equals the tokenizers library on every text.
 
-A text of more than TREE code points is encoded by tree concatenation. It is halved down to leaves, at any place where
-normalization cannot join the characters of both sides, inside words as well; all leaves are encoded together by the
-library, which spreads them over threads. Then neighbours are joined bottom-up, all joins of a level together: the text of
-a few tokens on both sides of a join is encoded anew, and the window grows until its first and last token are those that
-were there before. As a row of tokens is the encoding of its text if each two neighbours are that of theirs, the joined
-rows are exact. Texts that hold a special token are left to the library.
-
-In shorter texts each distinct piece is encoded once per worker (memos of bounded size, of short pieces only). Texts of
-ASCII and Latin-1 letters are cut into pre-tokens by one regular expression, if the file's normalizer and pre-tokenizer
-are the ones it stands for; all other texts are cut at spaces and line feeds, and the library normalizes and cuts further.
+Every text of more than LEAF code points is encoded by tree concatenation. It is halved down to leaves, at any place where
+normalization cannot join the characters of both sides, inside words as well, and the leaves of a batch of texts are
+encoded together. Then neighbours are joined bottom-up, all joins of a level together: the text of a few units on both
+sides of a join is encoded anew, and the window grows until its first and last unit are those that were there before. As a
+row of units is the encoding of its text if each two neighbours are that of theirs, the joined rows are exact.
+
+The units are pre-tokens where one regular expression cuts them (texts of ASCII and Latin-1 letters, if the file's
+normalizer and pre-tokenizer are the ones it stands for) and else runs without space or line feed, which the library
+normalizes and cuts further; distinct ones are encoded once per worker (memos of bounded size, of short units only). A text
+with a run of more than LEAF code points has the tokens themselves as units: its leaves and windows are encoded by the
+library, over its threads. Texts that hold a special token are cut at spaces alone.
 
 Requirements on the tokenizer: pre-tokens hold no space or line feed, and the decoder, where there is one, is None
 (tokens joined by one space). Defined cases: a null text counts as empty and has no tokens; repeated rows are encoded
@@ -24,7 +25,7 @@ import os
 import re
 import threading
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,7 @@ from pyspark.sql import types as T
 
 from folioforge.llm.common import texts
 
-#: Code points of a text above which it is encoded as a tree; of a leaf; tokens on each side of a join at first.
-TREE = 32_768
+#: Code points of a leaf; units on each side of a join at first.
 LEAF = 4_096
 WINDOW = 4
 #: Pieces remembered by a worker, and their code points at most.
@@ -48,6 +48,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern over the characters of the fast way, which are their own NFC and lower-case to one character.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \na-zß-öø-ÿ0-9]+")
 _OTHER = re.compile(r"[^ \n!-~À-ÖØ-öø-ÿ]")
+_CHUNKS = re.compile(r"[^ \n]+")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -82,14 +83,14 @@ class Part:
 class Encoder:
     """One tokenizer file, with the memo of a worker."""
 
-    def __init__(self, path: str, tree: int = TREE, leaf: int = LEAF, window: int = WINDOW):
+    def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.longest, self.leaf, self.window = tree, leaf, window
+        self.leaf, self.window = leaf, window
         if self.tok.decoder is not None:
             raise ValueError("only tokenizers without a decoder are supported")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -172,6 +173,40 @@ class Encoder:
             level = pairs + level[2 * len(pairs) :]
         return (level[0].ids, level[0].tokens) if level else ([], [])
 
+    # Units of texts
+
+    def _halved(self, batch: list[str], cut: Callable[[str], list[str]], learn: Callable[[Iterable[str]], None]) -> list[list[str]]:
+        """The units of each text, by tree concatenation; learn() is given the units of leaves and windows, a level at a time."""
+        rows = []
+        for t in batch:
+            cuts = self._cuts(t)
+            rows.append([(a, b, cut(t[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        learn(u for parts in rows for _, _, units in parts for u in units)
+        while any(len(parts) > 1 for parts in rows):
+            joins = [(k, i) for k, parts in enumerate(rows) for i in range(0, len(parts) - 1, 2)]
+            done: dict[tuple[int, int], list[str]] = {}
+            todo = [(k, i, self.window, self.window) for k, i in joins]
+            while todo:
+                wider, made = [], []
+                for k, i, n, m in todo:
+                    (start, mid, left), (_, end, right) = rows[k][i], rows[k][i + 1]
+                    n, m = min(n, len(left)), min(m, len(right))
+                    whole_left, whole_right = n == len(left), m == len(right)
+                    a = start if whole_left else _back(batch[k], mid, left, n)
+                    b = end if whole_right else _forth(batch[k], mid, right, m)
+                    got = cut(batch[k][a:b])
+                    made += got
+                    ok_left = whole_left or (bool(got) and got[0] == left[-n])
+                    ok_right = whole_right or (bool(got) and got[-1] == right[m - 1])
+                    if ok_left and ok_right:
+                        done[k, i] = left[: len(left) - n] + got + right[m:]
+                    else:
+                        wider.append((k, i, n if ok_left else 2 * n, m if ok_right else 2 * m))
+                learn(made)
+                todo = wider
+            rows = [[(parts[i][0], parts[i + 1][1], done[k, i]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)] for k, parts in enumerate(rows)]
+        return [parts[0][2] if parts else [] for parts in rows]
+
     # Whole texts
 
     @staticmethod
@@ -181,52 +216,73 @@ class Encoder:
     def _piece(self, piece: str) -> tuple[int, str, str]:
         """The entry of a pre-token of the fast way."""
         found = self.tok.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes))
-        got = self._entry([t.id for t in found], [t.value for t in found])
-        if len(piece) <= REMEMBERED:
-            self.pieces[piece] = got
-        return got
-
-    def _slow(self, batch: list[str]) -> Iterator[tuple[int, str, str]]:
-        cut = [[c for c in t.replace("\n", " ").split(" ") if c] for t in batch]
-        if len(self.chunks) > MEMO // 4:
-            self.chunks.clear()
-        known = self.chunks
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        here = {c: self._entry(e.ids, e.tokens) for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True)}
-        known.update((c, x) for c, x in here.items() if len(c) <= REMEMBERED)
-        for chunks in cut:
-            got = [x for c in chunks if (x := known.get(c) or here[c])[0]]
-            yield sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+        return self._entry([t.id for t in found], [t.value for t in found])
+
+    def _known(self, batch: list[str], memo: dict, most: int, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list]) -> list[tuple[int, str, str]]:
+        """The entries of texts from those of their units; new units of a level are encoded in one call."""
+        if len(memo) > most:
+            memo.clear()
+        here: dict[str, tuple[int, str, str]] = {}
+
+        def learn(units: Iterable[str]) -> None:
+            new = list({u for u in units if u not in memo and u not in here})
+            for u, x in zip(new, encode(new), strict=True):
+                (memo if len(u) <= REMEMBERED else here)[u] = x
+
+        out = []
+        for units in self._halved(batch, cut, learn):
+            got = [x for u in units if (x := memo.get(u) or here[u])[0]]
+            out.append((sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
+        return out
 
     def _way(self, text: str) -> str:
-        if len(text) > self.longest and not any(s in text for s in self.special):
+        if len(text) > self.leaf and max(map(len, text.replace("\n", " ").split(" "))) > self.leaf and not any(s in text for s in self.special):
             return "tree"
         return "fast" if self.fast and "<|" not in text and not _OTHER.search(text) else "slow"
 
+    def _group(self, batch: list[str]) -> list[tuple[int, str, str]]:
+        ways = [self._way(t) for t in batch]
+        of = {w: iter(self._by(w, [t for t, x in zip(batch, ways, strict=True) if x == w])) for w in set(ways)}
+        return [next(of[w]) for w in ways]
+
+    def _by(self, way: str, batch: list[str]) -> list[tuple[int, str, str]]:
+        if way == "tree":
+            return [self._entry(*self.tree(t)) for t in batch]
+        if way == "fast":
+            return self._known([t.lower() for t in batch], self.pieces, MEMO, _PIECES.findall, lambda units: [self._piece(u) for u in units])
+        slow = lambda units: [self._entry(e.ids, e.tokens) for e in self.tok.encode_batch(units, add_special_tokens=False)]
+        return self._known(batch, self.chunks, MEMO // 4, _CHUNKS.findall, slow)
+
     def encode(self, batch: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: the number of tokens, the ids joined by spaces, the decoded text."""
         wait: list[str] = []
         chars = 0
         for t in batch:
-            way = self._way(t)
-            if way == "slow":
-                wait.append(t)
-                chars += len(t)
-                if chars < BATCH:
-                    continue
-            if wait:
-                yield from self._slow(wait)
+            wait.append(t)
+            chars += len(t)
+            if chars >= BATCH:
+                yield from self._group(wait)
                 wait, chars = [], 0
-            if way == "tree":
-                yield self._entry(*self.tree(t))
-            elif way == "fast":
-                if len(self.pieces) > MEMO:
-                    self.pieces.clear()
-                known = self.pieces
-                got = [known.get(p) or self._piece(p) for p in _PIECES.findall(t.lower())]
-                yield sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
         if wait:
-            yield from self._slow(wait)
+            yield from self._group(wait)
+
+
+def _back(text: str, at: int, units: list[str], n: int) -> int:
+    """Where the last n units before a place begin; only spaces and line feeds stand between units."""
+    for u in reversed(units[len(units) - n :]):
+        while text[at - 1] in " \n":
+            at -= 1
+        at -= len(u)
+    return at
+
+
+def _forth(text: str, at: int, units: list[str], n: int) -> int:
+    """Where the first n units after a place end."""
+    for u in units[:n]:
+        while text[at] in " \n":
+            at += 1
+        at += len(u)
+    return at
 
 
 _encoders: dict[str, Encoder] = {}

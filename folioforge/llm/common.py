@@ -43,6 +43,12 @@ def hash_fraction(*cols: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
-    """About `rows` rows, chosen by a hash of the columns, each value of them once: the same on every run, twice `rows` at most."""
-    total = df.count()
-    return df if total <= rows else df.where(hash_fraction(*cols) < F.lit(rows / total)).dropDuplicates(list(cols)).limit(2 * rows)
+    """One row of each of the `rows` distinct values of the columns whose hashes are least, of all where there are fewer.
+
+    It depends on which values there are, not on how often. An estimate of their number bounds what is grouped; it has
+    no part in the result, as twice as many as are asked for pass it."""
+    h = hash_fraction(*(F.col(c) for c in cols))
+    seen = df.agg(F.approx_count_distinct(F.xxhash64(*cols), 0.02)).first()[0]
+    few = df.where(h < F.lit(2.0 * rows / seen)) if seen > 2 * rows else df
+    whole = few.groupBy(h.alias("_h"), F.xxhash64(*cols).alias("_x")).agg(F.min(F.struct(*df.columns)).alias("_r"))
+    return whole.orderBy("_h", "_x").limit(rows).select("_r.*")

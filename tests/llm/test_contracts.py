@@ -4,7 +4,10 @@ from collections import Counter, defaultdict
 import pytest
 from cases import EDGE, base_pii, base_quality, base_secrets, edge_docs, listed, sha
 
+from pyspark.sql import functions as F
+
 from folioforge.llm import bpe, pii, quality, queries, secret_scan, sharding
+from folioforge.llm.common import bounded_sample
 
 
 @pytest.fixture(scope="module")
@@ -144,27 +147,51 @@ def test_op10_tree_equals_library(leaf, window):
     import random
 
     path = queries.vocabulary()
-    e, want = bpe.Encoder(path, tree=0, leaf=leaf, window=window), library(path)
+    e, want = bpe.Encoder(path, leaf=leaf, window=window), library(path)
     rnd = random.Random(leaf)
     alphabets = ["ab", "abcdefghijklmnop  \n", "the lazy dog's don't we'll ", "0123456789.,-", "éàüßœ ÀÉ'", "漢字かな한글 ", "e\u0301a\u0308 x\u200d😀", "\t\u00a0\u2003 <|>|ﬁ①Σσς "]
     for _ in range(120):
         t = "".join(rnd.choice(rnd.choice(alphabets)) if rnd.random() < 0.2 else rnd.choice(a) for a in [rnd.choice(alphabets)] for _ in range(rnd.randrange(1500)))
-        assert e.tree(t) == want(t)
-    assert e.tree("") == ([], [])
+        ids, tokens = want(t)
+        assert e.tree(t) == (ids, tokens)
+        assert list(e.encode([t, t[:5], t])) == [e._entry(*want(x)) for x in (t, t[:5], t)]
+        for way, cut in (("slow", t), *([("fast", t)] if e._way(t[: e.leaf]) == "fast" and not bpe._OTHER.search(t) and "<|" not in t else [])):
+            assert e._by(way, [cut]) == [e._entry(ids, tokens)]  # units of pre-tokens and runs, whatever their length
+    assert e.tree("") == ([], []) and list(e.encode(["", " ", "\n"])) == [(0, "", "")] * 3
 
 
 @pytest.mark.parametrize("text", ["ab" * 600_000, "Thand estion lyble, the word's own and 12 others.\n" * 25_000, "x" * 1_000_001, "日本語の文" * 120_000], ids=["unsplit", "words", "one letter", "wide"])
 def test_op10_texts_of_megabytes(text):
     path = queries.vocabulary()
-    assert bpe.Encoder(path).tree(text) == library(path)(text)
+    e, want = bpe.Encoder(path), library(path)(text)
+    assert e.tree(text) == want and list(e.encode([text])) == [e._entry(*want)]
 
 
 def test_op10_long_texts_of_the_table_take_the_tree(spark, sf):
-    e = bpe.Encoder(queries.vocabulary())
-    text = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert {e._way(t) for t in text if len(t) > bpe.TREE} <= {"tree"} and e._way("x " * bpe.TREE) == "tree"
-    assert "fast" in {e._way(t) for t in text}
-    assert e._way("<|endoftext|>" + "x" * 100_000) == "slow"
+    """Every text above one leaf is halved and joined; without the joins the words at the cuts would be broken."""
+    e, want = bpe.Encoder(queries.vocabulary(), leaf=256), library(queries.vocabulary())
+    table = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r["text"] or "") > 256]
+    assert len(table) > 50
+    joined = []
+    real = bpe._back
+    bpe._back = lambda *a: joined.append(a) or real(*a)
+    try:
+        assert list(e.encode(table)) == [e._entry(*want(t)) for t in table]
+    finally:
+        bpe._back = real
+    assert len(joined) >= len(table) / 2
+    assert any(len(r["text"] or "") > bpe.LEAF for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert {e._way(t) for t in table} >= {"fast"} and e._way("<|endoftext|>" + "x" * 100_000) == "slow" and e._way("x" * 300) == "tree"
+
+
+def test_bounded_samples_hold_distinct_rows(spark):
+    few = spark.range(100_000).select((F.col("id") % 20).cast("string").alias("t"))
+    assert bounded_sample(few, 2_000, "t").count() == 20
+    half = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("t"))
+    got = [r[0] for r in bounded_sample(half, 2_000, "t").collect()]
+    assert len(set(got)) == len(got) == 2_000
+    assert sorted(got) == sorted(r[0] for r in bounded_sample(half.distinct().repartition(7), 2_000, "t").collect())  # copies have no part in it
+    assert bounded_sample(half.limit(0), 5, "t").count() == 0 and bounded_sample(spark.sql("select cast(null as string) as t from range(9)"), 5, "t").count() == 1
 
 
 def test_clashing_columns_pass_through(spark):
