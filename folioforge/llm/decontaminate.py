@@ -2,13 +2,15 @@
 
 Texts are compared in lower case with runs of white space as one space. A benchmark item of length L may occur in a
 document with up to E = floor(ERROR_RATE * L) edits (at any place, against any part of the document). It is cut into
-E + 1 pieces, of which one at least must then occur exactly: the hashes of all runs of a text that are as long as the
-shortest piece are looked up in a table of the pieces, a hit is compared with its piece, and around each exact hit Myers'
-bit-parallel algorithm gives the least edit distance. Items below SHORT characters may have no edit and must stand
-between word borders; they are looked up as runs of words.
-
-Benchmark items are broadcast in blocks of BLOCK_CHARS characters at most (bounded on the driver and in each worker), so
-that all benchmarks up to this size take one pass over the documents; larger ones take one a block. Defined cases: null
+E + 1 pieces, of which one at least must then occur exactly. A piece is known by its length and the hashes of its first and
+last run of characters, as long as the greatest power of two that fits, which together cover it; those runs of a text are
+hashed once for all lengths, by doubling. A hit is compared with its piece, and around each exact hit Myers' bit-parallel
+algorithm gives the least edit distance. Items so short that they may have no edit (below 20 characters) are one piece, and
+must not stand inside a word: no letter or digit may go on where they begin or end with one.
+
+Benchmark items are broadcast in blocks of BLOCK_CHARS characters at most (ITEM_CHARS more are counted for each item, so that
+many small ones count as what they take); they pass the driver a block at a time, and all benchmarks up to this size take one
+pass over the documents. Defined cases: null
 and empty texts match nothing, null, empty and blank items are ignored; repeated items are each reported, repeated documents are scanned one by one; an empty table on either side gives no matches; a tie between
 places of equal distance goes to the first.
 """
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,10 @@ from folioforge.llm.common import texts
 from folioforge.llm.ngram_join import _STEP
 
 ERROR_RATE = 0.05
-SHORT = 40
 BLOCK_CHARS = 48_000_000
+ITEM_CHARS = 150
+#: Characters of items that are hashed together.
+CHUNK = 1_000_000
 
 
 def normal(text: str) -> str:
@@ -75,116 +78,99 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, at
 
 
-def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each run of n code points, in order, by doubling."""
-    if len(codes) < n:
-        return np.empty(0, np.uint64)
+def run_hashes(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, the hash of each run of k code points) for each power of two up to `longest`, by doubling."""
     run, size, base = codes.astype(np.uint64) + _STEP, 1, _STEP
-    out, done = np.zeros(len(codes) + 1, np.uint64), 0  # of the runs of `done` code points
-    while True:
-        if n & size:
-            m = len(codes) - done - size + 1
-            out = out[:m] * base + run[done : done + m]
-            done += size
-        if done == n:
-            return out * _STEP ^ (out >> np.uint64(29))
-        run = run[: len(run) - size] * base + run[size:]
+    while len(run):
+        yield size, run * _STEP ^ (run >> np.uint64(29))
+        if 2 * size > longest:
+            return
+        run = run[: len(run) - size] * base + run[size:] if len(run) > size else run[:0]
         size, base = 2 * size, np.uint64(int(base) ** 2 & (2**64 - 1))
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-class Table:
-    """Which entries have a hash: a bitmap says no for most others, the sorted hashes say which."""
+def piece_keys(first: np.ndarray, last: np.ndarray, n) -> np.ndarray:
+    """The key of pieces of n characters by the hashes of their first and last run."""
+    x = (first * _STEP + last) * _STEP + np.asarray(n).astype(np.uint64)
+    return x * _STEP ^ (x >> np.uint64(31))
 
-    def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes, kind="stable")
-        self.keys, self.starts = np.unique(hashes[self.order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(hashes))
-        bits = min(26, max(10, int(len(self.keys)).bit_length() + 3))
-        self.shift = np.uint64(64 - bits)
-        self.seen = np.zeros(1 << bits, bool)
-        self.seen[self.keys >> self.shift] = True
 
-    def hits(self, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place in hashes, entry)."""
-        if not len(self.keys):
-            return
-        at = np.flatnonzero(self.seen[hashes >> self.shift])
-        k = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-        for p, j in zip(at.tolist(), k.tolist(), strict=True):
-            if self.keys[j] == hashes[p]:
-                for e in self.order[self.starts[j] : self.ends[j]].tolist():
-                    yield p, e
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 class Matcher:
-    """A block of benchmark items, ready to search."""
+    """A block of benchmark items, ready to search. Arrays of small numbers by piece; items are hashed a chunk at a time."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float = ERROR_RATE):
         self.items = [(i, t) for i, t in ((i, normal(t or "")) for i, t in items) if t]
         size = np.array([len(t) for _, t in self.items], np.int64)
-        self.errors = np.where(size >= SHORT, (rate * size).astype(np.int64), 0)
-        # pieces of the long items: each is looked up by its first code points, as many as the shortest piece has
-        long = np.flatnonzero(size >= SHORT)
-        n = self.errors[long] + 1
-        owner = np.repeat(long, n)
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        n = np.repeat(n, n)
-        self.piece_item, self.piece_at = owner, size[owner] * k // n
-        self.piece_end = size[owner] * (k + 1) // n
-        self.gram = int((self.piece_end - self.piece_at).min()) if len(owner) else 1
-        base = np.cumsum(size[long]) - size[long]
-        start = np.zeros(len(size), np.int64)
-        start[long] = base
-        hashes = gram_hashes(_codes("".join(self.items[i][1] for i in long.tolist())), self.gram)
-        self.pieces = Table(hashes[start[owner] + self.piece_at] if len(owner) else hashes[:0])
-        # short items are looked up as runs of words
-        self.short: dict[int, tuple[list[int], Table]] = {}
-        by_words: dict[int, list[int]] = defaultdict(list)
-        for i in np.flatnonzero(size < SHORT).tolist():
-            by_words[self.items[i][1].count(" ") + 1].append(i)
-        for w, which in by_words.items():
-            self.short[w] = which, Table(np.array([self._words(self.items[i][1].split(" "), w)[0] for i in which], np.uint64))
+        self.errors = (rate * size).astype(np.int32)
+        chunk = np.cumsum(size) // CHUNK
+        parts = [self._pieces(which, size) for c in np.unique(chunk) for which in [np.flatnonzero(chunk == c)]]
+        keys, item, at, end, run, first = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, t) for t in (np.uint64, np.int32, np.int32, np.int32, np.int32, np.uint64))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.piece_item, self.piece_at, self.piece_end = keys[order], item[order], at[order], end[order]
+        # for each run length: which lengths pieces have, and a bitmap that says no to most first runs
+        self.bits = min(26, max(10, int(len(keys)).bit_length() + 3))
+        self.shift = np.uint64(64 - self.bits)
+        self.lengths, self.seen = {}, {}
+        for k in np.unique(run).tolist():
+            mine = run == k
+            self.lengths[k] = np.unique((end - at)[mine]).tolist()
+            self.seen[k] = np.zeros(1 << self.bits, bool)
+            self.seen[k][first[mine] >> self.shift] = True
         self.peq: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
 
-    @staticmethod
-    def _words(words: list[str], n: int) -> np.ndarray:
-        h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
-        for i in range(n if len(out) else 0):
-            out = out * _STEP + h[i : len(h) - n + 1 + i]
-        return out * _STEP ^ (out >> np.uint64(29))
-
-    def _short(self, text: str) -> Iterator[tuple[object, int, int, int, int]]:
-        words = text.split(" ")
-        ends = np.cumsum([len(w) + 1 for w in words])
-        for n, (which, table) in sorted(self.short.items()):
-            done = set()
-            for p, e in table.hits(self._words(words, n)):
-                item, t = self.items[which[e]]
-                if e not in done and " ".join(words[p : p + n]) == t:
-                    done.add(e)
-                    start = int(ends[p - 1]) if p else 0
-                    yield item, 0, 0, start, start + len(t)
+    def _pieces(self, which: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Key, item, place, end, run length and first run's hash of the pieces of some items."""
+        n = self.errors[which].astype(np.int64) + 1
+        owner = np.repeat(np.arange(len(which)), n)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        n, long = np.repeat(n, n), size[which][owner]
+        at, end = long * k // n, long * (k + 1) // n
+        base = (np.cumsum(size[which]) - size[which])[owner]
+        run = 1 << np.floor(np.log2(end - at)).astype(np.int64)
+        first, last = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.uint64)
+        for r, h in run_hashes(_codes("".join(self.items[i][1] for i in which.tolist())), int(run.max())):
+            mine = run == r
+            first[mine], last[mine] = h[(base + at)[mine]], h[(base + end - run)[mine]]
+        return piece_keys(first, last, end - at), which[owner].astype(np.int32), at.astype(np.int32), end.astype(np.int32), run.astype(np.int32), first
+
+    def hits(self, text: str) -> Iterator[tuple[int, int]]:
+        """(place in the text, piece), for pieces whose keys are there."""
+        codes = _codes(text)
+        for k, h in run_hashes(codes, max(self.lengths, default=0)):
+            if k not in self.lengths:
+                continue
+            near = np.flatnonzero(self.seen[k][h >> self.shift])
+            for n in self.lengths[k] if len(near) else ():
+                at = near[near + n <= len(codes)]
+                key = piece_keys(h[at], h[at + n - k], n)
+                lo = np.searchsorted(self.keys, key)
+                there = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == key)
+                hi = np.searchsorted(self.keys, key[there], "right")
+                for p, a, b in zip(at[there].tolist(), lo[there].tolist(), hi.tolist(), strict=True):
+                    for e in range(a, b):
+                        yield p, e
 
     def search(self, text: str, first: bool = False) -> list[tuple[object, int, int, int, int]]:
         """(item, distance, errors allowed, start, end) in the normal text, the best place of each item; with first any one."""
         text = normal(text)
         out = []
-        if self.short and text:
-            for found in self._short(text):
-                out.append(found)
-                if first:
-                    return out
         shifts: dict[int, set[int]] = defaultdict(set)
-        if len(self.piece_item):
-            for p, e in self.pieces.hits(gram_hashes(_codes(text), self.gram)):
-                k, at, end = int(self.piece_item[e]), int(self.piece_at[e]), int(self.piece_end[e])
-                if text.startswith(self.items[k][1][at:end], p):
-                    shifts[k].add(p - at)
+        whole: dict[int, int] = {}
+        for p, e in self.hits(text):
+            k, at, end = int(self.piece_item[e]), int(self.piece_at[e]), int(self.piece_end[e])
+            if not text.startswith(self.items[k][1][at:end], p):
+                continue
+            if self.errors[k]:
+                shifts[k].add(p - at)
+            elif p < whole.get(k, len(text)) and not inside_word(text, p, p + end):
+                whole[k] = p
+                if first:
+                    return [(self.items[k][0], 0, 0, p, p + end)]
+        out += [(self.items[k][0], 0, 0, p, p + len(self.items[k][1])) for k, p in whole.items()]
         for k, starts in shifts.items():
             item, e = self.items[k][1], int(self.errors[k])
             m = len(item)
@@ -212,10 +198,16 @@ class Matcher:
         return out
 
 
+def inside_word(text: str, start: int, end: int) -> bool:
+    """Whether a letter or digit goes on over an end of text[start:end]."""
+    goes_on = lambda k: 0 < k < len(text) and text[k - 1].isalnum() and text[k].isalnum()
+    return goes_on(start) or goes_on(end)
+
+
 def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about `size` characters, one at a time on the driver."""
+    """The items in blocks of about `size` characters, ITEM_CHARS more for each item, one block at a time on the driver."""
     items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // size)
+    n = -(-(items.agg(F.sum(F.length("text") + ITEM_CHARS)).first()[0] or 0) // size)
     for k in range(n):
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).sort("item_id", "text").collect()]
 
