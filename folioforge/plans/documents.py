@@ -169,19 +169,19 @@ def glyph_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", recognition.simplified_share(F.col("text"), "etaoinshrdlu国é").alias("share"))
 
 
-@query(f"with {LINES} select doc_id, ord::int as ord, replace(replace(replace(line, 'a', '•'), 'e', '<='), 'o', '') as drawn from lines where regexp_matches(line, '^[ -~]+$')")
+@query(f"with {LINES} select doc_id, ord::int as ord, replace(replace(replace(line, 'a', '•'), 'e', '<='), 'o', '') as drawn from lines")
 def drawable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.translate("line", "aeo", "≤")
     glyphs = F.lit("".join(map(chr, range(32, 127))) + "•")
-    return doc_lines(spark, sf_dir).where("line rlike '^[ -~]+$'").select("doc_id", F.col("ord").cast("int").alias("ord"), fonts.drawable(marked, glyphs, True).alias("drawn"))
+    return doc_lines(spark, sf_dir).select("doc_id", F.col("ord").cast("int").alias("ord"), fonts.drawable(marked, glyphs, True).alias("drawn"))
 
 
-@query(f"""with {LINES}, t as (select doc_id, ord, string_split(replace(replace(line, ' t', '漢'), '.', '。'), '') as c from lines where lang = 'en'),
+@query(f"""with {LINES}, t as (select doc_id, ord, string_split(replace(replace(line, ' t', '漢'), '.', '。'), '') as c from lines),
 w as (select doc_id, ord, c, [regexp_matches(x, '[漢。]') for x in c] as wide from t)
 select doc_id, ord::int as ord, len([i for i in range(1, len(c)) if wide[i] != wide[i + 1] and c[i] != '。' and not regexp_matches(c[i], '\\s') and not regexp_matches(c[i + 1], '\\s')])::int as gaps from w""")
 def script_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = F.replace(F.replace("line", F.lit(" t"), F.lit("漢")), F.lit("."), F.lit("。"))
-    return doc_lines(spark, sf_dir).where("lang = 'en'").select("doc_id", F.col("ord").cast("int").alias("ord"), fonts.script_gaps(mixed).alias("gaps"))
+    return doc_lines(spark, sf_dir).select("doc_id", F.col("ord").cast("int").alias("ord"), fonts.script_gaps(mixed).alias("gaps"))
 
 
 @query(f"""{JUDGED}, p as (select lang, reason = 'translatable' as t, ord % 7 != 0 as done, length(line) as n, ord % 5 = 0 as cached, ord % 11 as m from judged)
@@ -204,14 +204,14 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", P.safe_name(F.col("url")).alias("name"), P.human_size(F.length("html") * 97).alias("size"))
 
 
-TASKS = "tasks as (select event_id as task_id, case event_id % 3 when 0 then 'running' when 1 then 'done' else 'error' end as status, (ts, event_id) as created_at from events where event_id % 40 = 3)"
+TASKS = "tasks as (select event_id as task_id, case when event_id % 500 = 3 then 'running' when event_id % 3 = 1 then 'done' else 'error' end as status, (ts, event_id) as created_at from events)"
 
 
 @query(f"""with {TASKS}, running as (select count(*) as n from tasks where status = 'running'), done as (select *, row_number() over (order by created_at desc) as k from tasks where status != 'running')
 select task_id, status from tasks where status = 'running' union all select task_id, status from done, running where k <= greatest(0, 50 - n)""")
 def kept_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("event_id") % 3 == 0, "running").when(F.col("event_id") % 3 == 1, "done").otherwise("error")
-    tasks = table(spark, sf_dir, "events").where("event_id % 40 = 3").select(F.col("event_id").alias("task_id"), status.alias("status"), F.struct("ts", "event_id").alias("created_at"))
+    status = F.when(F.col("event_id") % 500 == 3, "running").when(F.col("event_id") % 3 == 1, "done").otherwise("error")
+    tasks = table(spark, sf_dir, "events").select(F.col("event_id").alias("task_id"), status.alias("status"), F.struct("ts", "event_id").alias("created_at"))
     return store.kept_tasks(tasks).select("task_id", "status")
 
 
@@ -245,14 +245,14 @@ SPANS_A_PAGE = 40
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = doc_lines(spark, sf_dir).select("doc_id", (F.col("ord") % SPANS_A_PAGE).alias("at"), F.floor(F.col("ord") / SPANS_A_PAGE).cast("int").alias("page"), F.left("line", F.lit(60)).alias("line"))
+    lines = doc_lines(spark, sf_dir).select("doc_id", (F.col("ord") % SPANS_A_PAGE).alias("at"), F.floor(F.col("ord") / SPANS_A_PAGE).cast("int").alias("page"), "line")
     block, row = F.floor(F.col("at") / 5), F.col("at") % 5
     head = (row == 0) & (block % 3 == 0)
     size = F.when(head, 14.0).otherwise(10.0)
     x0, y0 = 40.0 + block % 2 * 280, 30.0 + F.floor(block / 2) * 120 + row * 14
     half = F.floor(F.length("line") / 2).cast("int")
     made = lines.select("doc_id", "page", block.cast("int").alias("block"), row.cast("int").alias("line_no"), head.alias("head"), size.alias("size"), x0.alias("x0"), y0.alias("y0"), F.left("line", half).alias("a"), F.expr("substr(line, int(floor(length(line) / 2)) + 1)").alias("b"))
-    wide = lambda c: F.length(c) * F.col("size") * F.lit(0.4)
+    wide = lambda c: F.least(F.lit(120.0), F.length(c) * F.col("size") * F.lit(0.4))  # noqa: E731  long lines are set narrower
     both = F.explode(F.array(*(F.struct(F.lit(k).alias("span"), F.col(c).alias("text"), (F.col("x0") + (wide("a") if k else F.lit(0.0))).alias("sx0"), (F.col("x0") + wide("a") + (wide("b") if k else F.lit(0.0))).alias("sx1")) for k, c in enumerate("ab"))))
     spans = made.select("*", both.alias("s")).select(
         F.col("doc_id").cast("string").alias("file_id"), "page", "block", F.col("line_no").alias("line"), "s.span", "s.text", F.col("s.sx0").alias("x0"), "y0", F.col("s.sx1").alias("x1"), (F.col("y0") + F.col("size")).alias("y1"),
@@ -262,7 +262,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return source.conform(spans, source.SPANS), source.conform(pages, source.PAGES)
 
 
-SPAN_LINES = f"""{LINES}, l as (select doc_id, ord // {SPANS_A_PAGE} as page, ord % {SPANS_A_PAGE} as pos, left(line, 60) as t from lines),
+SPAN_LINES = f"""{LINES}, l as (select doc_id, ord // {SPANS_A_PAGE} as page, ord % {SPANS_A_PAGE} as pos, line as t from lines),
 b as (select doc_id::varchar as file_id, page::int as page, (pos // 5)::int as block, (pos % 5)::int as line, t, case when pos % 5 = 0 and pos // 5 % 3 = 0 then 14.0 else 10.0 end::double as size, 30.0 + pos // 5 // 2 * 120 + pos % 5 * 14 as y0 from l)"""
 
 
@@ -292,7 +292,7 @@ def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf_dir: str, dual: bool) -> DataFrame:
-    rows = paged(spark, sf_dir).withColumns({"column": (F.col("x0") > 100).cast("int"), "size": F.lit(9.0), "rotation": F.when(F.length("line") % 29 == 3, 90.0).when(F.length("line") % 31 == 4, 180.0).otherwise(0.0), "height": F.lit(842.0), "pitch": F.lit(None).cast("double"), "text": F.left("line", F.lit(90))})
+    rows = paged(spark, sf_dir).withColumns({"column": (F.col("x0") > 100).cast("int"), "size": F.lit(9.0), "rotation": F.when(F.length("line") % 29 == 3, 90.0).when(F.length("line") % 31 == 4, 180.0).otherwise(0.0), "height": F.lit(842.0), "pitch": F.lit(None).cast("double"), "text": F.col("line")})
     limited = regions.constrained(rows, _regions(rows).where("kind != 'table'"))
     return placement.plan(limited.withColumn("target", F.when(F.col("ord") % 4 != 1, F.col("text"))), dual)
 

@@ -122,7 +122,11 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMERALS = {"第二十五条": "25", "二〇二〇年": "2020", "两百零三个": "203", "一般": "", "十分": "", "三万五千 / 十": "35000,10", "一亿二千万": "120000000", "x一y": "1", "〇一": "1"}
 
 
-@query("select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in NUMERALS.items()) + ") as t(text, found)")
+@query(f"""with {LINES}, n as (select doc_id, ord, line, {[k for k in NUMERALS]}[1 + (doc_id + ord) % {len(NUMERALS)}] as numeral, {[v for v in NUMERALS.values()]}[1 + (doc_id + ord) % {len(NUMERALS)}] as found from lines)
+select doc_id, ord::int as ord, length(regexp_replace(line, '{T.HAN_NUMERAL}', '', 'g')) + length(numeral) + 2 as chars, found from n""")
 def han_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k,) for k in NUMERALS], "text string")
-    return rows.select("text", F.array_join(T.han_numerals(F.col("text")), ",").alias("found"))
+    """Numerals put into the lines of the corpus, in place of those that lines have themselves."""
+    pick = F.element_at(F.array(*map(F.lit, NUMERALS)), ((F.col("doc_id") + F.col("ord")) % len(NUMERALS) + 1).cast("int"))
+    rows = doc_lines(spark, sf_dir).select("doc_id", F.col("ord").cast("int").alias("ord"), F.concat(F.regexp_replace("line", T.HAN_NUMERAL, ""), F.lit(" "), pick, F.lit(" ")).alias("text"))
+    found = rows.withColumn("found", F.array_join(T.han_numerals(F.col("text")), ","))
+    return found.select("doc_id", "ord", F.length("text").alias("chars"), "found")
