@@ -5,7 +5,7 @@ unbroken run of at least MIN_RUN key-like characters is scored by two character
 one of ordinary identifiers; a log-likelihood ratio above THRESHOLD makes it a secret.
 
 The models are trained here from labelled samples: random strings made from hashes in several alphabets, and ordinary
-identifiers taken from a bounded sample of the corpus (IDENTIFIER_ROWS documents; this bounds training only, scanning
+identifiers taken from a bounded sample of the corpus (IDENTIFIER_ROWS different texts; this bounds training only, scanning
 covers every row). What reaches the driver is one table of character pairs, at most 128 x 128.
 
 Offsets are code points, end exclusive. Defined cases: a null text counts as empty and has no spans; repeated rows are
@@ -20,36 +20,52 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import bound
 from folioforge.llm.common import bounded_sample, free_name
 
 #: The base patterns and their least length (of group 2, or of the match).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 20
-RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % MIN_RUN
 THRESHOLD = 8.0
 RANDOM_ROWS = 20_000
 IDENTIFIER_ROWS = 2_000
+#: Elements of arrays that grow; spans of a text above which it is cut as an array of characters.
+CHUNK = 128
+MANY = 64
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
+def running(values: Column, add) -> Column:
+    """What add() makes of 0 and all values before each one, as an array. Arrays grow in chunks, not as a whole, so the work
+    is linear but for a small share. `values` is a variable of a lambda, computed once."""
+    ints = F.array().cast("array<int>")
+    steps = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1, F.lit(CHUNK))).otherwise(ints)
+    part = lambda s: F.slice(values, s + 1, CHUNK)
+
+    def scan(xs: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), ints.alias("out"))
+        return F.aggregate(xs, begin, lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    totals = F.transform(steps, lambda s: F.aggregate(part(s), F.lit(0), add))
+    return bound(totals, lambda t: F.flatten(F.zip_with(steps, scan(t, F.lit(0)), lambda s, z: scan(part(s), z))))
+
+
 def _spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
     """Spans of all leftmost non-overlapping matches: the gaps between matches give their offsets."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.from_json(F.lit("[]"), SPAN)
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    good = keep or (lambda hit: F.lit(True))
+    sized = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"), good(h).alias("good")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        one = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        more = F.concat(acc["out"], one)
-        return F.struct(end.alias("at"), (F.when(keep(x["hit"]), more).otherwise(acc["out"]) if keep else more).alias("out"))
+    def placed(rows: Column, before: Column) -> Column:
+        span = lambda x, at: F.when(x["good"], F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + x["hit"]).alias("end")))
+        return F.filter(F.zip_with(rows, before, span), lambda s: s.isNotNull())
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    sums = lambda rows: bound(F.transform(rows, lambda x: x["gap"] + x["hit"]), lambda n: placed(rows, running(n, lambda a, x: a + x)))
+    return F.when(text.rlike(pattern), bound(sized, sums)).otherwise(F.from_json(F.lit("[]"), SPAN))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -140,14 +156,17 @@ def redact_secrets(df: DataFrame, table: list[float], text: str = "text", mark:
     spans = free_name(df, "_spans")
     found = scan_secrets(df, table, text, spans)
     body = F.col(text)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        head = F.substring(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.when(fresh, F.concat(acc["out"], head, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def cut(ends: Column) -> Column:
+        """The text between spans; `ends` has the greatest end before each span, and of all at last."""
+        gap = lambda piece: F.zip_with(F.col(spans), F.slice(ends, F.lit(1), F.size(spans)), lambda s, at: F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.lit(mark))).otherwise(""))
+        few = gap(lambda a, b: F.substring(body, a + 1, b - a))
+        many = bound(F.split(body, ""), lambda chars: gap(lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")))
+        head = F.array_join(F.when(F.size(spans) > MANY, many).otherwise(few), "")
+        return F.concat(head, F.substring(body, F.element_at(ends, -1) + 1, F.length(body)))
 
-    clean = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    last = F.array(F.lit(0))  # a value more, so that the greatest of all is there too
+    clean = bound(F.concat(F.transform(spans, lambda s: s["end"]), last), lambda e: bound(running(e, lambda a, x: F.greatest(a, x)), cut))
     out = found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(body))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -194,6 +194,33 @@ def test_bounded_samples_hold_distinct_rows(spark):
     assert bounded_sample(half.limit(0), 5, "t").count() == 0 and bounded_sample(spark.sql("select cast(null as string) as t from range(9)"), 5, "t").count() == 1
 
 
+def test_op4_many_spans_of_one_text(spark):
+    """Spans and redaction are linear in the spans of a text, with overlapping kinds and characters of four bytes."""
+    import re
+    import time
+
+    def text(n):
+        parts = [("token=%06d é😀" % k) if k % 3 else ("secret: %024x AKIA%016d" % (k * 7919 ** 5 % 16**24, k)) for k in range(n)]
+        return " ".join(parts)
+
+    table = [0.0] * (128 * 128)
+    docs = spark.createDataFrame([(n, text(n)) for n in (1, 63, 64, 65, 127, 128, 129, 500, 20_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["s"] for r in secret_scan.scan_secrets(docs, table).select("doc_id", secret_scan.listed(F.col("secret_spans")).alias("s")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(docs, table).collect()}
+    assert time.time() - began < 60
+    for n in got:
+        t = text(n)
+        spans = base_secrets(t)
+        assert got[n] == listed(spans)
+        out, at = [], 0
+        for _, a, b in spans:
+            if a >= at:
+                out += [t[at:a], "<secret>"]
+            at = max(at, b)
+        assert clean[n] == "".join(out) + t[at:] and not re.search("token=0", clean[n])
+
+
 def test_clashing_columns_pass_through(spark):
     docs = edge_docs(spark).selectExpr("*", "1 as kept", "2 as secret_spans_", "3 as _markov", "4 as _spans")
     assert quality.quality_filter(docs).columns == docs.columns
