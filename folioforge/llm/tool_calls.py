@@ -26,6 +26,8 @@ from folioforge.llm.common import materialise, release
 
 #: Rank above which none is raised (only nodes on cycles get there).
 MOST = 1 << 50
+#: Deps of a node, and of its deps, up to which they are replaced by their own.
+FEW = 66
 #: JSON schema types as they appear in the type names of variants.
 TYPES = {"string": "^STRING", "integer": "^(BIGINT|DECIMAL\\(\\d+,0\\))$", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT", "null": "^VOID"}
 
@@ -88,8 +90,10 @@ def resolved(nodes: DataFrame) -> DataFrame:
     """(node, least, deps) with the deps left that can not be resolved: those on a cycle or above one; least is final for all others.
 
     nodes: node, least (what its rank is at least), deps (array of (dep, up): its rank is `up` above that of dep at least).
-    In each round deps without deps are taken in, and deps with a single dep are replaced by it, so a chain takes a round
-    for each doubling of its length. While some node has deps on no cycle, one at least is resolved in each round."""
+    In each round deps without deps are taken in. Other deps are replaced by their own deps, the greatest `up` kept, where
+    they have a single one, or few, as the node itself: so a chain takes a round for each doubling of its length, and so does
+    what lies within FEW calls where calls have several deps; beyond, a round takes in a stretch of about 2 * FEW. While some node
+    has deps on no cycle, one at least is resolved in each round."""
     now, left = nodes, None
     while True:
         open_ = now.where("size(deps) > 0").count()
@@ -97,10 +101,11 @@ def resolved(nodes: DataFrame) -> DataFrame:
             return now
         left = open_
         below = now.select(F.col("node").alias("dep"), F.col("least").alias("low"), F.col("deps").alias("further"))
-        links = now.where("size(deps) > 0").select("node", F.explode("deps").alias("x")).select("node", "x.dep", "x.up").join(below, "dep")
-        single = F.size("further") == 1
-        then = F.when(F.size("further") == 0, F.lit(None)).when(single, F.struct(F.col("further")[0]["dep"].alias("dep"), F.least(F.col("further")[0]["up"] + F.col("up"), F.lit(MOST)).alias("up"))).otherwise(F.struct("dep", "up"))
-        raised = links.select("node", F.when(F.size("further") <= 1, F.least(F.col("low") + F.col("up"), F.lit(MOST))).alias("low"), then.alias("x"))
+        links = now.where("size(deps) > 0").select("node", F.size("deps").alias("own"), F.explode("deps").alias("x")).select("node", "own", "x.dep", "x.up").join(below, "dep")
+        n = F.size("further")
+        over = F.transform("further", lambda f: F.struct(f["dep"].alias("dep"), F.least(f["up"] + F.col("up"), F.lit(MOST)).alias("up")))
+        then = F.when((n <= 1) | ((n <= FEW) & (F.col("own") <= FEW)), over).otherwise(F.array(F.struct("dep", "up")))
+        raised = links.select("node", F.least(F.col("low") + F.col("up"), F.lit(MOST)).alias("low"), F.explode_outer(then).alias("x"))
         per = raised.groupBy("node", "x.dep").agg(F.max("low").alias("low"), F.max("x.up").alias("up")).groupBy("node")
         got = per.agg(F.max("low").alias("low"), F.sort_array(F.collect_list(F.when(F.col("dep").isNotNull(), F.struct("dep", "up")))).alias("after"))
         after = now.join(got, "node", "left").select("node", F.greatest("least", "low").alias("least"), F.coalesce("after", F.col("deps")).alias("deps"))

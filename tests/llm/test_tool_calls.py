@@ -113,6 +113,19 @@ def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
     assert got == {f"c{i}": (0, "cycle") for i in range(1000)} | {f"d{i}": (i, "pending") for i in range(50)} and len(written) <= 45
 
 
+def test_calls_with_several_dependencies_take_few_rounds(spark, monkeypatch):
+    """A thousand calls, each of which depends on the two before it, and a wide graph."""
+    tables = []
+    real = T.materialise
+    monkeypatch.setattr(T, "materialise", lambda df, name: tables.append(name) or real(df, name))
+    calls = [(1, f"k{k}", None, "free", "{}", [f"k{k - j}" for j in (1, 2) if k >= j], 1) for k in range(1000)]
+    calls += [(2, f"w{k}", None, "free", "{}", [f"w{j}" for j in range(k % 3, min(k, 60), 3)] if k >= 60 else [], 1) for k in range(200)]
+    rows = run(spark, calls, [])
+    got = {(r["conv_id"], r["call_id"]): r["rank"] for r in rows}
+    assert [got[1, f"k{k}"] for k in range(1000)] == list(range(1000)) and {got[2, f"w{k}"] for k in range(60, 200)} == {1}
+    assert tables.count("resolved") <= 15 and all(r["status"] == "pending" for r in rows)
+
+
 def test_clashing_columns(spark):
     calls = spark.createDataFrame([(1, "a", 0, "free", "{}", ["b"], 1, 2), (1, "b", 0, "free", "{}", [], 1, 2)], "conv_id long, call_id string, number long, name string, arguments string, depends_on array<string>, rank int, least int")
     results = spark.createDataFrame([(1, "a", "x", 3)], "conv_id long, call_id string, output string, n_results int")
