@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from folioforge.functions import text as T
+from folioforge.sources.tables import materialise
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -22,11 +23,26 @@ def repeated_keys(paragraphs: DataFrame, zone_share: float, body_share: float) -
     keyed = paragraphs.withColumn("key", T.match_key(F.col("line"))).where("length(key) between 2 and 300")
     edge = (F.col("ord") == 0) | (F.col("ord") == F.col("n") - 1)
     counts = keyed.groupBy("source", "key").agg(F.countDistinct("doc_id").alias("pages"), F.max(edge).alias("zone"))
-    total = paragraphs.groupBy("source").agg(F.countDistinct("doc_id").alias("total"))  # a row for each source
+    total = paragraphs.where("ord = 0").groupBy("source").agg(F.countDistinct("doc_id").alias("total"))  # each document has one first line
     need = F.when(F.col("zone"), F.greatest(F.lit(2), F.floor(F.col("total") * zone_share))).otherwise(F.greatest(F.lit(3), F.floor(F.col("total") * body_share)))
     return counts.join(total, "source").where(F.col("pages") >= need).select("source", "key", "pages")
 
 
+#: Rows of (source, key) up to which they are broadcast, about 64 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def with_repeated(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows (source, key) with `repeated`, true or null. Keys too short to be repeated, blank ones above all, take no part in a
+    shuffle."""
+    found = materialise(repeated.select("source", "key", F.lit(True).alias("repeated")), "repeated")
+    if found.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), ["source", "key"], "left")
+    long = F.length("key").between(2, 300)
+    rest = rows.where(~F.coalesce(long, F.lit(False))).withColumn("repeated", F.lit(None).cast("boolean"))
+    return rows.where(long).join(found, ["source", "key"], "left").unionByName(rest)
+
+
 def leaders(paragraphs: DataFrame) -> DataFrame:
     """(key, doc_id, ord, followers): the first paragraph of each key, and how many repeat it."""
     keyed = paragraphs.withColumn("key", T.match_key(F.col("line"))).where("key != ''")

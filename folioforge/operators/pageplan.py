@@ -15,6 +15,11 @@ from folioforge.sources.tables import materialise
 LEAST_SIDE, GAP, GAP_SHARE = 0.5, 15.0, 0.015
 
 
+def page_numbers(rows: DataFrame) -> DataFrame:
+    """(file_id, page, doc_id): a number for each page, written down so that it stays the same; two pages never share one."""
+    return materialise(rows.select("file_id", "page").distinct().withColumn("doc_id", F.monotonically_increasing_id()), "pages")
+
+
 def line_groups(lines: DataFrame) -> DataFrame:
     """lines with `para` (a struct that names their paragraph): blocks parted at wide gaps, then where the style changes."""
     block = F.struct("file_id", "page", "block")
@@ -30,7 +35,8 @@ def paragraphs(spans: DataFrame, pages: DataFrame, found: DataFrame | None = Non
     align, rotation, first baseline, pitch, and with regions (file_id, page, kind table, cell or row, ord, box) in_table and limit.
 
     All steps are keyed by page; a page's boxes are ordered in one task, as any page's must be."""
-    grouped = line_groups(materialise(source.lines(spans, pages), "lines"))
+    lined = materialise(source.lines(spans, pages), "lines")
+    names, grouped = page_numbers(lined), line_groups(lined)
     weight = F.greatest(F.lit(1), F.length(T.clean_text(F.col("text"))))
     parts = ("y0", "line", "text", "dir_x", "dir_y", "x0", "x1", "y1", "font", "size", "color", "bold", "origin_y")
     members = F.array_sort(F.collect_list(F.struct(*parts, weight.alias("w"))))
@@ -57,12 +63,12 @@ def paragraphs(spans: DataFrame, pages: DataFrame, found: DataFrame | None = Non
     )
     rows = rows.where((F.col("x1") - F.col("x0") > LEAST_SIDE) & (F.col("y1") - F.col("y0") > LEAST_SIDE)).withColumn("pitch", pitch).drop("gaps")
     # pages get a number and paragraphs one on their page, in the order of blocks, for the operators on pages
-    key = F.xxhash64("file_id", "page")
     on_page = Window.partitionBy("file_id", "page").orderBy("para.block", "para.cluster", "para.run")
-    numbered = materialise(rows.withColumns({"doc_id": key, "ord": (F.row_number().over(on_page) - 1).cast("int")}).drop("para"), "paragraphs")
+    placed = rows.withColumn("ord", (F.row_number().over(on_page) - 1).cast("int")).drop("para").join(names, ["file_id", "page"])
+    numbered = materialise(placed, "paragraphs")
     out = materialise(numbered.join(layout.ordered(numbered), ["doc_id", "ord"]), "ordered")
     if found is not None:
-        placed = found.withColumn("doc_id", key)
+        placed = found.join(names, ["file_id", "page"])
         cells = regions.table_cells(placed.where("kind = 'cell'").select("doc_id", "ord", "x0", "y0", "x1", "y1")).withColumn("kind", F.lit("cell"))
         bands = placed.where("kind = 'row'").select("doc_id", "ord", "x0", "y0", "x1", "y1", "kind")
         inside = regions.shared_area(out, placed.where("kind = 'table'")).withColumn("in_table", F.lit(True))
@@ -75,7 +81,7 @@ def merged(rows: DataFrame) -> DataFrame:
     """Paragraphs of a file with those that go on in the next one as one: lines, text and box of all, the largest size.
 
     rows: as paragraphs() gives them, with kind. Ids are given anew."""
-    placed = rows.withColumns({"doc_id": F.xxhash64("file_id", "page"), "ord": F.col("id").cast("int")})
+    placed = rows.withColumn("ord", F.col("id").cast("int")).join(page_numbers(rows), ["file_id", "page"])
     lead = layout.merged_paragraphs(placed.select("doc_id", "ord", "column", "kind", "size", "color", "bold", "x0", "y0", "x1", "y1", "first_x0", "last_x1"))
     joined = placed.join(lead, ["doc_id", "ord"])
     parts = F.array_sort(F.collect_list(F.struct("id", "lines")))

@@ -80,13 +80,10 @@ def recognised_paragraphs(rows: DataFrame) -> DataFrame:
     high, wide = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")), F.greatest(F.lit(1.0), F.col("x1") - F.col("x0"))
     middle = (F.col("y0") + F.col("y1")) / 2
     lined = rows.withColumns({"_pitch": middle - F.lag(middle).over(order), "_high": high, "_wide": wide, "_px0": F.lag("x0").over(order), "_px1": F.lag("x1").over(order)})
-    page = Window.partitionBy("doc_id")  # the lines of one page
-
-    def sorted_of(c: Column) -> Column:
-        return F.array_sort(F.collect_list(c).over(page))
-
-    pitches = sorted_of(F.when(F.col("_pitch") > 1, F.col("_pitch")))
-    framed = lined.withColumns({"_h": _ranked(sorted_of(F.col("_high")), 0.5), "_w": _ranked(sorted_of(F.col("_wide")), 0.85), "_p": _ranked(pitches, 0.25, 1)})
+    sorted_of = lambda c: F.array_sort(F.collect_list(c))  # noqa: E731  of one page, once
+    usual = lined.groupBy("doc_id").agg(sorted_of(F.col("_high")).alias("hs"), sorted_of(F.col("_wide")).alias("ws"), sorted_of(F.when(F.col("_pitch") > 1, F.col("_pitch"))).alias("ps"))
+    usual = usual.select(F.col("doc_id").alias("_page"), _ranked(F.col("hs"), 0.5).alias("_h"), _ranked(F.col("ws"), 0.85).alias("_w"), _ranked(F.col("ps"), 0.25, 1).alias("_p"))
+    framed = lined.join(usual, F.col("doc_id").eqNullSafe(F.col("_page")))
     base = F.greatest(F.coalesce(F.col("_p"), F.col("_h") * ONE_LINE_PITCH) * PITCH, F.col("_h") * HEIGHT_PITCH)
     before = F.col("_px1") - F.col("_px0")
     shared = F.least("_px1", "x1") - F.greatest("_px0", "x0")

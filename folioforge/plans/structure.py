@@ -33,10 +33,10 @@ z as (select *, case when y1 <= {PAGE_HEIGHT} * 0.08 then 'header' when y0 >= {P
 select doc_id, case when not in_table and zone is not null and s != '' and length(s) <= 24 and ({PAGE}) then 'page_num' when not in_table and repeated then coalesce(zone, case when y1 <= {PAGE_HEIGHT} * 0.5 then 'header' else 'footer' end) when size >= {BODY} * 1.18 and length(s) <= 120 then 'title' else 'text' end as kind, count(*) as n from z group by all""")
 def paragraph_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _boxes(spark, sf_dir, "source", "line").withColumn("key", T.match_key(F.col("line")))
-    repeated = C.repeated_keys(doc_lines(spark, sf_dir), 0.04, 0.06).select("source", "key", F.lit(True).alias("repeated"))
+    repeated = C.repeated_keys(doc_lines(spark, sf_dir), 0.04, 0.06)
     length = F.length("line")
     kind = S.kind(F.col("line"), length % 12 + 6, F.lit(1), F.col("y0"), F.col("y1"), F.lit(PAGE_HEIGHT), F.lit(BODY), F.col("repeated"), length % 10 == 0)
-    return rows.join(repeated, ["source", "key"], "left").groupBy("doc_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+    return C.with_repeated(rows, repeated).groupBy("doc_id", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with {BOXES}, b as (select * replace (doc_id * 100000 + ord // 6 as doc_id), length(line) % 3 = 0 as bold, 'f' as font, (length(line) // 3 % 2 * 4 + 10)::double as size from boxes),

@@ -64,7 +64,10 @@ def kept_tasks(tasks: DataFrame, most: int = 50) -> DataFrame:
     """tasks (task_id, status, created_at) without the oldest finished ones that are too many; running ones always stay."""
     finished = F.col("status").isin("done", "error", "cancelled")
     running = tasks.where(~finished)
-    return running.unionByName(tasks.where(finished).orderBy(F.desc("created_at"), F.desc("task_id")).limit(max(0, most - running.count())))
+    newest = Window.orderBy(F.desc("created_at"), F.desc("task_id"))  # over `most` rows at most
+    last = tasks.where(finished).orderBy(F.desc("created_at"), F.desc("task_id")).limit(most).withColumn("_n", F.row_number().over(newest))
+    room = running.agg((F.lit(most) - F.count("*")).alias("_room"))
+    return running.unionByName(last.join(F.broadcast(room), F.col("_n") <= F.col("_room")).drop("_n", "_room"))
 
 
 def registered(uploads: DataFrame, keep: int = 30) -> DataFrame:

@@ -341,3 +341,13 @@ def test_angles_are_unit_vectors(spark):
 
     got = spark.createDataFrame(rows, PLACED).select(frames.frame(F.col("starts"), F.col("dir_x"), F.col("dir_y"), F.lit(100.0), F.lit(50.0)).alias("f")).first()["f"]
     assert math.isclose(got["ax"], 0.6) and math.isclose(got["ay"], 0.8) and math.isclose(got["sx"], -0.8) and math.isclose(got["run"], 100 * 0.6 + 50 * 0.8)
+
+
+def test_repeated_keys_join_alike_with_and_without_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([("s", "key", 1), ("s", "", 2), ("s", None, 3), ("t", "key", 4), ("s", "key", 5)], "source string, key string, n int")
+    repeated = spark.createDataFrame([("s", "key", 3)], "source string, key string, pages int")
+    got = []
+    for most in (10, 0):
+        monkeypatch.setattr(corpus, "BROADCAST_ROWS", most)
+        got.append(sorted((r["n"], r["repeated"]) for r in corpus.with_repeated(rows, repeated).collect()))
+    assert got[0] == got[1] == [(1, True), (2, None), (3, None), (4, None), (5, True)]
