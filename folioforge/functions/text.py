@@ -69,10 +69,19 @@ def join_lines(lines: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "[ \t　]{2,}", " "), r"(?U)^\s+|\s+$", "")
 
 
+def bare(c: Column) -> Column:
+    """A text without white space and zero-width characters."""
+    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), ZERO_WIDTH, ""), f"{BLANKS}+", "")
+
+
+def has_key(c: Column) -> Column:
+    """Whether the match key is not empty, without computing it: a filter of the key itself would compute it twice."""
+    return c.rlike(f"[^{BLANKS[1:-1]}{ZERO_WIDTH}]")
+
+
 def match_key(c: Column) -> Column:
     """Lower case and compatibility form without white space."""
-    bare = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), ZERO_WIDTH, ""), f"{BLANKS}+", "")
-    return F.lower(F.regexp_replace(compatible(bare), f"{BLANKS}+", ""))
+    return F.lower(F.regexp_replace(compatible(bare(c)), f"{BLANKS}+", ""))
 
 
 def is_page_number(c: Column) -> Column:

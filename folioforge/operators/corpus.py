@@ -20,9 +20,9 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def repeated_keys(paragraphs: DataFrame, zone_share: float, body_share: float) -> DataFrame:
     """(source, key, pages): keys on enough pages of a source; fewer suffice if a key ever stands at a page's edge."""
-    keyed = paragraphs.withColumn("key", T.match_key(F.col("line"))).where("length(key) between 2 and 300")
+    keyed = paragraphs.where(T.has_key(F.col("line"))).withColumn("key", T.match_key(F.col("line")))
     edge = (F.col("ord") == 0) | (F.col("ord") == F.col("n") - 1)
-    counts = keyed.groupBy("source", "key").agg(F.countDistinct("doc_id").alias("pages"), F.max(edge).alias("zone"))
+    counts = keyed.groupBy("source", "key").agg(F.countDistinct("doc_id").alias("pages"), F.max(edge).alias("zone"), F.max(F.length("key")).alias("chars")).where("chars between 2 and 300")
     total = paragraphs.where("ord = 0").groupBy("source").agg(F.countDistinct("doc_id").alias("total"))  # each document has one first line
     need = F.when(F.col("zone"), F.greatest(F.lit(2), F.floor(F.col("total") * zone_share))).otherwise(F.greatest(F.lit(3), F.floor(F.col("total") * body_share)))
     return counts.join(total, "source").where(F.col("pages") >= need).select("source", "key", "pages")
@@ -45,8 +45,8 @@ def with_repeated(rows: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def leaders(paragraphs: DataFrame) -> DataFrame:
     """(key, doc_id, ord, followers): the first paragraph of each key, and how many repeat it."""
-    keyed = paragraphs.withColumn("key", T.match_key(F.col("line"))).where("key != ''")
-    got = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "ord")).alias("x"), (F.count("*") - 1).alias("followers"))
+    keyed = paragraphs.where(T.has_key(F.col("line"))).withColumn("key", T.match_key(F.col("line")))
+    got = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "ord")).alias("x"), (F.count("*") - 1).alias("followers"), F.max(F.length("key")).alias("chars")).where("chars > 0")
     return got.select("key", "x.doc_id", "x.ord", "followers")
 
 
