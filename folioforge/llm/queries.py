@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, centroids, decontaminate, divergence, minhash, ngram_join, packing, pii, quality, secret_scan, sharding, substring_dedup, tool_calls
+from folioforge.llm import bpe, centroids, decontaminate, divergence, minhash, ngram_join, oracles, packing, pii, quality, secret_scan, sharding, substring_dedup, tool_calls
 from folioforge.llm.common import load
 
 
@@ -104,6 +104,9 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: SQL of the queries that SQL can express; the others use samples, models, tokenizers or searches.
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": oracles.OP1,
+    "op8_quality": oracles.OP8,
+    "op11_minhash": oracles.OP11,
     "op12_divergence": divergence.ORACLE,
     "op13_centroids": centroids.oracle(),
 }

@@ -221,6 +221,22 @@ def test_op4_many_spans_of_one_text(spark):
         assert clean[n] == "".join(out) + t[at:] and not re.search("token=0", clean[n])
 
 
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op8_quality", "op11_minhash", "op12_divergence"])
+def test_queries_equal_their_sql(spark, at, name):
+    import glob
+
+    import duckdb
+
+    files = sorted(glob.glob(f"{at}/documents.parquet/*.parquet")) or [f"{at}/documents.parquet"]
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet({files})")
+    df = queries.QUERIES[name](spark, at)
+    rel = c.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in rel.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert Counter(map(tuple, df.select(*columns).collect())) == Counter(rel.fetchall())
+
+
 def test_clashing_columns_pass_through(spark):
     docs = edge_docs(spark).selectExpr("*", "1 as kept", "2 as secret_spans_", "3 as _markov", "4 as _spans")
     assert quality.quality_filter(docs).columns == docs.columns
