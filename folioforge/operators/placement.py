@@ -50,8 +50,8 @@ SIZED = {
 }
 
 
-def _both(text: str | None, target: str, size: float, room: float, height: float, most: float, pitch: float | None, align: str | None, first: float | None, turn: int, smallest: float, spacing: float, scale: float, gap: float, track: float) -> tuple:
-    """The values of SIZED for one paragraph: the translation alone, and below its source (nulls where that does not fit)."""
+def _both(text: str | None, target: str, size: float, room: float, height: float, most: float, pitch: float | None, align: str | None, first: float | None, turn: int, smallest: float, spacing: float, scale: float, gap: float, track: float, dual: bool) -> tuple:
+    """The values of SIZED for one paragraph: the translation alone, and with `dual` below its source (nulls where that does not fit)."""
     largest = max(smallest, size * scale)
     pitch = pitch or 0.0
     size, lines, fits = setting.fitted(target, room, height, largest, smallest, spacing, pitch)
@@ -61,6 +61,8 @@ def _both(text: str | None, target: str, size: float, room: float, height: float
     ems = [setting.measured(x) for x in lines]
     widths = [size * w + t * max(0, len(x) - 1) for x, w, t in zip(lines, ems, tracks, strict=True)]
     mono = (size, lines, widths, tracks, step, one + (len(lines) - 1) * step, fits)
+    if not dual:
+        return *mono, None, None, None, None, None, None
     source = [s for s in (x.strip() for x in (text or "").split("\n")) if s] or [""]
     source_ems = [setting.measured(x) for x in source]
     # source and translation share one size: the source's lines and the gap take a fixed part of each size's height
@@ -77,7 +79,7 @@ def _both(text: str | None, target: str, size: float, room: float, height: float
     return *mono, found, both, [found * setting.measured(x) for x in both], needs(found), source, source_ems
 
 
-def _sized(rows: DataFrame, smallest: float, spacing: float, scale: float, gap: float, track: float) -> DataFrame:
+def _sized(rows: DataFrame, smallest: float, spacing: float, scale: float, gap: float, track: float, dual: bool) -> DataFrame:
     """rows with the columns of SIZED. All other columns pass through the batch as they are."""
     columns = ["text", "target", "size", "line_room", "height_room", "_most", "pitch", "align", "first", "turn"]
     schema = ST.StructType([*rows.schema.fields, *(ST.StructField(n, _KINDS[k]) for n, k in SIZED.items())])
@@ -85,7 +87,7 @@ def _sized(rows: DataFrame, smallest: float, spacing: float, scale: float, gap:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_both(*r, smallest, spacing, scale, gap, track) for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
+            got = [_both(*r, smallest, spacing, scale, gap, track, dual) for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
             made = zip(*got, strict=True) if got else ([] for _ in SIZED)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, arrow[k]) for k, v in zip(SIZED.values(), made, strict=True))], names=schema.names)
 
@@ -108,7 +110,7 @@ def plan(rows: DataFrame, dual: bool = False, smallest: float = 5.0, spacing: fl
     rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in MORE.items() if c not in rows.columns})
     placed = structure.erase_box(limits(rows))
     set_ = placed.withColumn("target", clean("target")).where("target != ''").withColumn("size", F.coalesce("size", F.lit(10.0)))
-    sized = _sized(set_, smallest, spacing, scale, DUAL_GAP * dual_gap, track)
+    sized = _sized(set_, smallest, spacing, scale, DUAL_GAP * dual_gap, track, dual)
     high = F.col("y1") - F.col("y0")
     flipped = F.col("turn") == 180
 
