@@ -54,11 +54,10 @@ def _both(text: str | None, target: str, size: float, room: float, height: float
     """The values of SIZED for one paragraph: the translation alone, and with `dual` below its source (nulls where that does not fit)."""
     largest = max(smallest, size * scale)
     pitch = pitch or 0.0
-    size, lines, fits = setting.fitted(target, room, height, largest, smallest, spacing, pitch)
+    size, lines, ems, fits = setting.measured_fit(target, room, height, largest, smallest, spacing, pitch)
     one = size * spacing
     step = min(max(pitch, one), 1.8 * one) if pitch > 0 else one
-    tracks = setting.tracking(lines, size, room, align or "left", track if turn == 0 and first is not None else 0.0)
-    ems = [setting.measured(x) for x in lines]
+    tracks = setting.tracking(lines, size, room, align or "left", track if turn == 0 and first is not None else 0.0, ems=ems)
     widths = [size * w + t * max(0, len(x) - 1) for x, w, t in zip(lines, ems, tracks, strict=True)]
     mono = (size, lines, widths, tracks, step, one + (len(lines) - 1) * step, fits)
     if not dual:
@@ -75,8 +74,8 @@ def _both(text: str | None, target: str, size: float, room: float, height: float
     found = setting.largest_size(smallest, largest, lambda s: needs(s) <= most + setting.SPARE)
     if found is None:
         return *mono, None, None, None, None, source, source_ems
-    both = [whole.text[a:b].rstrip(" ") for a, b in whole.lines(room / found)] or [""]
-    return *mono, found, both, [found * setting.measured(x) for x in both], needs(found), source, source_ems
+    both, both_ems = whole.set(whole.lines(room / found))
+    return *mono, found, both, [found * w for w in both_ems], needs(found), source, source_ems
 
 
 def _sized(rows: DataFrame, smallest: float, spacing: float, scale: float, gap: float, track: float, dual: bool) -> DataFrame:
