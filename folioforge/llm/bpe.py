@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folioforge.llm.common import texts
+from folioforge.llm.common import free_name, texts
 
 #: Code points of a leaf; units on each side of a join at first.
 LEAF = 4_096
@@ -305,9 +305,9 @@ def _sha(s: str) -> str:
 
 
 def encode_digest(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """df without its text, with the number of tokens and the hashes of ids and decoded text."""
+    """df without its text, with the number of tokens and the hashes of ids and decoded text, under free names where df has them."""
     keep = [c for c in df.columns if c != text]
-    schema = T.StructType([*(df.schema[c] for c in keep), *DIGEST.fields])
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(free_name(df, f.name), f.dataType) for f in DIGEST.fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -320,7 +320,8 @@ def encode_digest(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def encode_ids(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with the token ids (array of int) and the decoded text of every row."""
+    """df with the token ids (array of int) and the decoded text of every row, under free names where df has them."""
+    ids, decoded = free_name(df, ids), free_name(df, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

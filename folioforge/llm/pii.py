@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folioforge.llm.common import texts
+from folioforge.llm.common import free_name, texts
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "short_card", "national_id")
@@ -147,7 +147,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 
 def scan_pii(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
-    """df with a column of spans (kind, start, end, score)."""
+    """df with a column of spans (kind, start, end, score), under a free name if df has one of that name."""
+    spans = free_name(df, spans)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

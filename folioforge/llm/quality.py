@@ -136,12 +136,13 @@ def judge(f: Features, ordered: list[Rule]) -> tuple[bool, int]:
 
 
 def quality_cascade(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, kept: str = "kept", stats: bool = False) -> DataFrame:
-    """df with a boolean column `kept`; with stats also the base figures and base_failed of every document."""
+    """df with a boolean column `kept`; with stats also the base figures and base_failed of every document. Each has a free
+    name (underscores behind it) if df has a column of that name."""
     by = {r.name: r for r in rules}
     ordered = [by[n] for n in (order or rule_order(df, text, rules))]
     base = [by[n] for n in BASE if n in by]
     extra = [*(STATS.fields if stats else ()), *([T.StructField("base_failed", T.BooleanType())] if stats else ()), T.StructField(kept, T.BooleanType())]
-    schema = T.StructType([*df.schema.fields, *extra])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(free_name(df, f.name), f.dataType) for f in extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,7 +156,7 @@ def quality_cascade(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
                         out[name].append(getattr(f, name))
                     out["base_failed"].append(any(r.rejects(f) for r in base))
             kinds = {n: pa.bool_() if n in (kept, "base_failed") else pa.int64() for n in out}
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, kinds[n]) for n, v in out.items())], names=[*b.schema.names, *out])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, kinds[n]) for n, v in out.items())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -242,6 +242,11 @@ def test_clashing_columns_pass_through(spark):
     assert quality.quality_filter(docs).columns == docs.columns
     assert secret_scan.redact_secrets(docs, [0.0] * (128 * 128)).columns == docs.columns
     assert bpe.encode_ids(docs, queries.vocabulary()).columns == [*docs.columns, "ids", "decoded"]
+    taken = docs.selectExpr("*", "5 as pii_spans", "6 as n_words", "7 as N_TOKENS", "8 as ids")
+    for df, new in ((pii.scan_pii(taken), ["pii_spans_"]), (quality.quality_cascade(taken), ["kept_"]), (bpe.encode_ids(taken, queries.vocabulary()), ["ids_", "decoded"])):
+        assert df.columns == [*taken.columns, *new] and df.count() == taken.count()
+    assert "n_words_" in quality.quality_cascade(taken, stats=True).columns and "n_tokens_" in bpe.encode_digest(taken, queries.vocabulary()).columns
+    assert {r["n_words"] for r in quality.quality_cascade(taken, stats=True).collect()} == {6}
 
 
 def test_op7_addresses_by_brute_force():
