@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import style
-from folioforge.operators import exports, layout, setting
+from folioforge.operators import exports, layout, setting, verification
 from folioforge.operators import structure as S
 from folioforge.sources import providers
 
