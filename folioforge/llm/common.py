@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,18 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     return (x if x is not None else "" for x in batch.column(column).to_pylist())
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans that are run inside pass this many rows to Python at once, for rows with whole sets in them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def hash_fraction(*cols: Column) -> Column:
     """A number in [0, 1) fixed by the values of the columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -51,4 +64,4 @@ def bounded_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
     seen = df.agg(F.approx_count_distinct(F.xxhash64(*cols), 0.02)).first()[0]
     few = df.where(h < F.lit(2.0 * rows / seen)) if seen > 2 * rows else df
     whole = few.groupBy(h.alias("_h"), F.xxhash64(*cols).alias("_x")).agg(F.min(F.struct(*df.columns)).alias("_r"))
-    return whole.orderBy("_h", "_x").limit(rows).select("_r.*")
+    return whole.orderBy("_h", "_x").limit(rows).select("_r.*").repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import materialise, release, small
-from folioforge.llm.ngram_join import _STEP, by_group, components, mix, name_clashes, overlaps, row_name, spanning
+from folioforge.llm.common import batches_of, materialise, release, small
+from folioforge.llm.ngram_join import _STEP, SETS, by_group, components, mix, name_clashes, overlaps, row_name, spanning
 
 THRESHOLD = 0.8
 BANDS = 32
@@ -250,7 +250,8 @@ def confirmed(docs: DataFrame, name: Column, edges: DataFrame, threshold: Fracti
         good = [k for k in np.flatnonzero(side == 1) if _linked(sets[k], sets[hub[0]], threshold)]
         return pd.DataFrame({"a": np.full(len(good), uid[hub[0]]), "b": uid[good]}) if good else None
 
-    return materialise(by_group(with_sets(docs, name, wanted), ["a", "part"], run, "a long, b long").distinct(), "confirmed")
+    with batches_of(docs.sparkSession, SETS):
+        return materialise(by_group(with_sets(docs, name, wanted), ["a", "part"], run, "a long, b long").distinct(), "confirmed")
 
 
 def joined(edges: DataFrame, comps: DataFrame) -> DataFrame:
@@ -293,7 +294,8 @@ def remaining(docs: DataFrame, name: Column, candidates: DataFrame, comps: DataF
         return pd.DataFrame({"a": uid[ours[x]], "b": uid[theirs[y]]}) if x else None
 
     found = by_group(with_sets(docs, name, wanted), ["cand", "i", "j"], run, "a long, b long")
-    return materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    with batches_of(docs.sparkSession, SETS):
+        return materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
 
 
 # The operator

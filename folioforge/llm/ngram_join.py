@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import free_name, materialise, release, small, texts
+from folioforge.llm.common import batches_of, free_name, materialise, release, small, texts
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -44,6 +44,9 @@ BUCKET = 64
 MAX_DEPTH = 4
 BLOCK = 256
 SKETCH_BLOCK = 2_048
+#: Values of sets that are compared at once, and rows with sets that a worker gets at once.
+AT_ONCE = 500_000
+SETS = 256
 #: Bins of a sketch of one byte each, and the least estimate that is compared exactly (five standard errors below).
 BINS = 128
 SLACK = 0.18
@@ -336,13 +339,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of the sets of a with those of b (of a if None)."""
+    """Sizes of the intersections of the sorted sets of a with those of b (of a if None), a range of values at a time."""
     sets = a if b is None else a + b
+    parts = -(-sum(map(len, sets)) // AT_ONCE) or 1
+    out = np.zeros((len(a), len(a) if b is None else len(b)), np.int64)
+    for k in range(parts):
+        lo, hi = (2**64 * k // parts, 2**64 * (k + 1) // parts - 1)
+        some = [x[np.searchsorted(x, np.uint64(lo)) : np.searchsorted(x, np.uint64(hi), "right")] for x in sets] if parts > 1 else sets
+        out += _overlaps(some, len(a), b is None, columns)
+    return out
+
+
+def _overlaps(sets: list[np.ndarray], n: int, one: bool, columns: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = count[at] > 1
     owner, at = owner[keep], np.unique(at[keep], return_inverse=True)[1]
-    out = np.zeros((len(a), len(a) if b is None else len(b)), np.float64)
+    out = np.zeros((n, n if one else len(sets) - n), np.float64)
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
     cuts = np.searchsorted(at, np.arange(0, (at[-1] + 1 if len(at) else 0) + columns, columns))
@@ -350,7 +363,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, columns: int = 409
         if lo < hi:
             m = np.zeros((len(sets), columns), np.float32)
             m[owner[lo:hi], at[lo:hi] % columns] = 1
-            out += m[: len(a)] @ (m if b is None else m[len(a) :]).T
+            out += m[:n] @ (m if one else m[n:]).T
     return out.astype(np.int64)
 
 
@@ -414,7 +427,9 @@ def join_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS
     reps = materialise(full.groupBy("rep").agg(F.count("*").alias("mult"), F.min(F.struct("_uid", "sketch", "nodes")).alias("x")).select("rep", "mult", "x._uid", "x.sketch", "x.nodes"), "reps")
     members, large = leaves(docs, name, reps, threshold, bucket, depth)
     edges = candidates(members, large, reps.select("_uid", "sketch"), threshold - SLACK, block if block < BLOCK else SKETCH_BLOCK)
-    found = materialise(links(docs, name, reps, components(edges), threshold, block), "links")
+    parts = components(edges)
+    with batches_of(docs.sparkSession, SETS):
+        found = materialise(links(docs, name, reps, parts, threshold, block), "links")
     counts = found.where("is_link = 0").groupBy("a").agg(F.sum("texts").alias("n_texts"), F.sum("rows").alias("n_rows"))
     classes = components(found.where("is_link = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     known = reps.select("rep", "mult", F.col("_uid").alias("first"))
