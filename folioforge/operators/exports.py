@@ -90,6 +90,14 @@ def segment_documents(rows: DataFrame, documents: DataFrame, generated: str) ->
     return whole.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
 
 
+def write_lines(documents: DataFrame, path: str) -> None:
+    """Documents (doc_id, document) as JSON lines, one a document with its doc_id first, in as many files as there are tasks.
+
+    For a corpus: a file for each document costs more in names and commits than in bytes."""
+    key = F.to_json(F.struct("doc_id"), {"ignoreNullFields": "false"})
+    documents.select(F.concat(F.left(key, F.length(key) - 1), F.lit(","), F.substring("document", 2, 2**31 - 1)).alias("value")).write.text(path)
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """A folder doc_id=... with one file for each document (doc_id, document). Existing documents are replaced, others stay."""
     spark = documents.sparkSession
