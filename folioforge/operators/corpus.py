@@ -19,13 +19,23 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def repeated_keys(paragraphs: DataFrame, zone_share: float, body_share: float) -> DataFrame:
-    """(source, key, pages): keys on enough pages of a source; fewer suffice if a key ever stands at a page's edge."""
-    keyed = paragraphs.where(T.has_key(F.col("line"))).withColumn("key", T.match_key(F.col("line")))
+    """(source, key, pages): keys on enough pages of a source; fewer suffice if a key ever stands at a page's edge.
+
+    Keys are as long as lines, so hashes of them are counted first, and keys themselves only where their hash has enough
+    pages. Keys of one hash have together at least the pages of each, so none is lost, and the second count is exact."""
     edge = (F.col("ord") == 0) | (F.col("ord") == F.col("n") - 1)
-    counts = keyed.groupBy("source", "key").agg(F.countDistinct("doc_id").alias("pages"), F.max(edge).alias("zone"), F.max(F.length("key")).alias("chars")).where("chars between 2 and 300")
+    keyed = paragraphs.where(T.has_key(F.col("line"))).select("source", "doc_id", edge.alias("edge"), T.match_key(F.col("line")).alias("key"))
+    hashed = keyed.select("source", "doc_id", "edge", F.xxhash64("key").alias("hash"), F.length("key").alias("chars"), "key")
     total = paragraphs.where("ord = 0").groupBy("source").agg(F.countDistinct("doc_id").alias("total"))  # each document has one first line
-    need = F.when(F.col("zone"), F.greatest(F.lit(2), F.floor(F.col("total") * zone_share))).otherwise(F.greatest(F.lit(3), F.floor(F.col("total") * body_share)))
-    return counts.join(total, "source").where(F.col("pages") >= need).select("source", "key", "pages")
+
+    def enough(rows: DataFrame, by: str) -> DataFrame:
+        some = rows.groupBy("source", by).agg(F.countDistinct("doc_id").alias("pages"), F.max("edge").alias("zone"), F.min("chars").alias("least"), F.max("chars").alias("most")).where("most >= 2 and least <= 300")
+        need = F.when(F.col("zone"), F.greatest(F.lit(2), F.floor(F.col("total") * zone_share))).otherwise(F.greatest(F.lit(3), F.floor(F.col("total") * body_share)))
+        return some.join(total, "source").where(F.col("pages") >= need)
+
+    wanted = materialise(enough(hashed.drop("key"), "hash").select("source", "hash"), "hashes")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return enough(hashed.join(few, ["source", "hash"], "left_semi"), "key").select("source", "key", "pages")
 
 
 #: Rows of (source, key) up to which they are broadcast, about 64 MB; more are joined by a shuffle.
