@@ -31,10 +31,14 @@ GLOSSARY_SEPARATORS = ("=>", "=", "→", ":", "：", "\t", ",")
 
 #: White space of Unicode, as a class and as characters.
 BLANKS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ASCII_BLANKS = " \t\n\x0b\x0c\r"
+WIDE_BLANKS = rf"[\x{{85}}-\x{{3000}}&&{BLANKS}]"
 BLANK_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 #: Characters that no compatibility form changes, and that do not join with one before them.
 STABLE = r"\x00-\x9f\x{c0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{180}-\x{1c3}\x{1cd}-\x{1f0}\x{1f4}-\x{24f}\x{4e00}-\x{9fff}"
+#: All others; ASCII fails the first test.
+UNSTABLE = rf"[\x{{80}}-\x{{10ffff}}&&[^{STABLE}]]"
 
 
 @F.pandas_udf(StringType())
@@ -44,7 +48,7 @@ def _nfkc(c: pd.Series) -> pd.Series:
 
 def compatible(c: Column) -> Column:
     """A text in Unicode's compatibility form NFKC. Texts without characters that it may change do not leave the JVM."""
-    asked = bound(c, lambda s: F.when((F.octet_length(s) != F.length(s)) & s.rlike(f"[^{STABLE}]"), s))
+    asked = bound(c, lambda s: F.when(~is_ascii(s) & s.rlike(UNSTABLE), s))
     return F.coalesce(_nfkc(asked), c)
 
 
@@ -53,10 +57,21 @@ def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), fn), F.lit(0))
 
 
+def without(c: Column, chars: str) -> Column:
+    """A text without these few characters. Replacing searches bytes; translate() looks each character up and is far slower."""
+    for x in chars:
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return c
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def clean_text(c: Column) -> Column:
     """No zero-width characters, line feeds only, runs of blanks as one space, ends stripped; null becomes empty."""
-    c = F.translate(F.coalesce(c, F.lit("")), ZERO_WIDTH, "")
-    c = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    c = without(F.coalesce(c, F.lit("")), ZERO_WIDTH)
+    c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     return F.btrim(F.regexp_replace(c, "[ \t\u3000]{2,}", " "), F.lit(BLANK_CHARS))
 
 
@@ -69,9 +84,14 @@ def join_lines(lines: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "[ \t　]{2,}", " "), r"(?U)^\s+|\s+$", "")
 
 
+def _squeezed(c: Column) -> Column:
+    """A text without white space: that of ASCII by search, the rest by a pattern, for texts that may have it."""
+    return bound(without(c, ASCII_BLANKS), lambda s: F.when(is_ascii(s), s).otherwise(F.regexp_replace(s, f"{WIDE_BLANKS}+", "")))
+
+
 def bare(c: Column) -> Column:
     """A text without white space and zero-width characters."""
-    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), ZERO_WIDTH, ""), f"{BLANKS}+", "")
+    return _squeezed(without(F.coalesce(c, F.lit("")), ZERO_WIDTH))
 
 
 def has_key(c: Column) -> Column:
@@ -80,8 +100,10 @@ def has_key(c: Column) -> Column:
 
 
 def match_key(c: Column) -> Column:
-    """Lower case and compatibility form without white space."""
-    return F.lower(F.regexp_replace(compatible(bare(c)), f"{BLANKS}+", ""))
+    """Lower case and compatibility form without white space. Only a form that changed may have white space again, so texts of
+    ASCII alone pass no pattern."""
+    other = _nfkc(bound(bare(c), lambda s: F.when(~is_ascii(s) & s.rlike(UNSTABLE), s)))
+    return F.lower(F.coalesce(F.regexp_replace(other, f"{BLANKS}+", ""), bare(c)))
 
 
 def is_page_number(c: Column) -> Column:
@@ -96,7 +118,8 @@ def _page_number(s: Column) -> Column:
 
 
 def symbol_count(c: Column, symbols: str) -> Column:
-    return F.length(c) - F.length(F.translate(c, symbols, ""))
+    """How many of these characters a text has."""
+    return F.length(c) - F.length(F.regexp_replace(c, "[" + "".join(f"\\x{{{ord(x):x}}}" for x in symbols) + "]", ""))
 
 
 def is_translatable(c: Column, min_chars: int = 2) -> Column:
@@ -105,7 +128,8 @@ def is_translatable(c: Column, min_chars: int = 2) -> Column:
 
 def _translatable(s: Column, min_chars: int = 2) -> Column:
     bare = ~(s.rlike(URL_ONLY) | s.rlike(EMAIL_ONLY) | s.rlike(NUMBER_ONLY))
-    return (F.length(s) >= min_chars) & s.rlike(r"\p{L}") & bare & (F.length(F.regexp_replace(s, r"[^\p{L}\p{N}_]", "")) >= 2)
+    two = s.rlike(r"[\p{L}\p{N}_][^\p{L}\p{N}_]*[\p{L}\p{N}_]")  # found at once, where counting them would read the whole text
+    return (F.length(s) >= min_chars) & s.rlike(r"\p{L}") & bare & two
 
 
 def looks_like_code(c: Column) -> Column:
@@ -127,12 +151,16 @@ def _in_language(s: Column, target: str) -> Column:
     return s.rlike("[一-鿿]") & (han >= latin)
 
 
+def why_not(clean: Column, target: str, reason: Column) -> Column:
+    """`reason` (a chain of conditions), and then the reasons that lie in a text that is clean already."""
+    return reason.when(_code(clean), "code").when(~_translatable(clean), "not_translatable").when(_in_language(clean, target), "already_target")
+
+
 def skip_reason(c: Column, target: str = "zh") -> Column:
     """Why a paragraph is left alone, or `translatable`; the first reason holds. The text is cleaned once."""
 
     def reason(s: Column) -> Column:
-        out = F.when(s == "", "empty").when(_page_number(s), "page_num").when(_code(s), "code").when(~_translatable(s), "not_translatable")
-        return out.when(_in_language(s, target), "already_target").otherwise("translatable")
+        return why_not(s, target, F.when(s == "", "empty").when(_page_number(s), "page_num")).otherwise("translatable")
 
     return bound(clean_text(c), reason)
 
@@ -173,6 +201,8 @@ def number_tokens(c: Column) -> Column:
 # Numerals, and the counters that may follow them.
 HAN_DIGITS, HAN_UNITS, HAN_BIG = "零一二三四五六七八九", "十百千", "万亿"
 HAN_NUMERAL = "[〇零一二两三四五六七八九十百千万亿]"
+#: The same class for searches in the JVM: all characters out of these ranges fail one test instead of eighteen.
+NUMERAL_SEARCH = rf"[\x{{3007}}\x{{4e00}}-\x{{9fff}}&&{HAN_NUMERAL}]"
 HAN_COUNTERS = "条类款项级种章节次组号个只头尾匹株枚份名位岁龄年月日周天期届米厘尺丈升毫升克斤吨度倍层批台套件张片块根支颗粒本册篇段页"
 
 
@@ -201,9 +231,11 @@ def _han_value(run: Column) -> Column:
 
 def han_numerals(c: Column) -> Column:
     """Values of the numerals that stand by themselves: no other Han before them but the ordinal prefix, none after them
-    but a counter."""
-    alone = rf"(?<!{HAN_NUMERAL})(?:(?<=第)|(?<![一-鿿])){HAN_NUMERAL}+(?!{HAN_NUMERAL})(?=[{HAN_COUNTERS}]|[^一-鿿]|$)"
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(alone), F.lit(0)), _han_value)
+    but a counter. The pattern begins with the numeral and then looks back, so that a search passes over all else at once."""
+    n = NUMERAL_SEARCH
+    alone = rf"{n}(?<!{n}.)(?:(?<=第.)|(?<![一-鿿].)){n}*(?!{n})(?=[{HAN_COUNTERS}]|[^一-鿿]|$)"
+    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(alone), F.lit(0)), _han_value)
+    return F.when(is_ascii(F.coalesce(c, F.lit(""))), F.array().cast("array<string>")).otherwise(found)
 
 
 def _missing(source: Column, target: Column) -> Column:
