@@ -108,12 +108,25 @@ def script_space(before: Column, after: Column) -> Column:
     return F.when(~blank & ~before.isin(*NO_SPACE_AFTER) & (before.rlike(WIDE_SCRIPT) != after.rlike(WIDE_SCRIPT)), SCRIPT_SPACE).otherwise(0.0)
 
 
+#: Han characters, and those of them that are not white space (and no punctuation that takes no space), as one test that all
+#: characters of other scripts fail at once; then a Han character before one of another script, and one after.
+_LESS = lambda less: "".join(rf"\x{{{ord(c):x}}}" for c in less)
+HAN_SEARCH = rf"[\x{{2e80}}-\x{{2fa1f}}&&{WIDE_SCRIPT}]"
+_OTHER = f"[^{WIDE_SCRIPT[1:-1]}{T.BLANKS[1:-1]}]"
+LEAVES_HAN = rf"[\x{{2e80}}-\x{{2fa1f}}&&{WIDE_SCRIPT}&&[^{_LESS(T.BLANK_CHARS + NO_SPACE_AFTER)}]](?={_OTHER})"
+ENTERS_HAN = rf"(?s)[\x{{2e80}}-\x{{2fa1f}}&&{WIDE_SCRIPT}&&[^{_LESS(T.BLANK_CHARS)}]](?<={_OTHER}.)"
+
+
 def script_gaps(text: Column) -> Column:
-    """How many places of a text get a space between scripts."""
+    """How many places of a text get a space between scripts: a search for Han characters, not a test of each two characters.
+
+    Looking back counts code units, so texts with characters of two of them are tested character by character."""
     chars = F.split(text, "")
     size = F.greatest(F.lit(0), F.size(chars) - 1)
-    gaps = F.zip_with(F.slice(chars, F.lit(1), size), F.slice(chars, F.lit(2), size), script_space)
-    return F.when(text.rlike(WIDE_SCRIPT), F.size(F.filter(gaps, lambda g: g > 0))).otherwise(0)
+    each = F.size(F.filter(F.zip_with(F.slice(chars, F.lit(1), size), F.slice(chars, F.lit(2), size), script_space), lambda g: g > 0))
+    count = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    found = F.when(text.rlike(r"[\x{10000}-\x{10ffff}]"), each).otherwise(count(LEAVES_HAN) + count(ENTERS_HAN))
+    return F.when(~T.is_ascii(text) & text.rlike(HAN_SEARCH), found).otherwise(0)
 
 
 # A face for each symbol, and lines as runs of faces
@@ -170,8 +183,9 @@ def with_symbols(texts: DataFrame, keys: list[str], chosen: DataFrame) -> DataFr
 
 def line_width(text: Column) -> Column:
     """The width of a line in ems: one for Han, half for others, and the space between scripts."""
-    han = F.length(text) - F.length(F.regexp_replace(text, HAN_ADVANCE, ""))
-    return F.length(text) * 0.5 + F.when(text.rlike(HAN_ADVANCE), han * 0.5).otherwise(0.0) + script_gaps(text) * SCRIPT_SPACE
+    search = rf"[\x{{1100}}-\x{{ffef}}&&{HAN_ADVANCE}]"  # other characters fail one test
+    han = F.length(text) - F.length(F.regexp_replace(text, search, ""))
+    return F.length(text) * 0.5 + F.when(T.is_ascii(text), 0.0).otherwise(han * 0.5) + script_gaps(text) * SCRIPT_SPACE
 
 
 def face_runs(rows: DataFrame, keys: list[str], han: str = "han", latin: str = "latin") -> DataFrame:
