@@ -196,7 +196,7 @@ def marked(rows: DataFrame, target: str = "zh", skip_edges: bool = True, skip_ot
         for k, why in EDGE.items():
             reason = reason.when(kind == k, why)
     if skip_other:
-        reason = reason.when(T.looks_like_code(F.col("_t")), "code").when(~T.is_translatable(F.col("_t")), "not_translatable").when(T.has_target_language(F.col("_t"), target), "already_target")
+        reason = T.why_not(F.col("_t"), target, reason)
     out = rows.withColumn("_t", flat).withColumn("skip_reason", F.coalesce(reason, F.lit(""))).drop("_t")
     changed = F.when(F.col("skip_reason") == "empty", "empty").when(F.col("skip_reason").isin("code", "not_translatable"), "code").when(kind == "empty", "text").otherwise(kind)
     return out.withColumns({"translatable": F.col("skip_reason") == "", "kind": changed})

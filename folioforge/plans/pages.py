@@ -69,10 +69,11 @@ def format_page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = T.skip_reason(F.col("line"))
+    judged = doc_lines(spark, sf_dir).withColumn("reason", T.skip_reason(F.col("line")))  # a column, as each use of the expression would compute it again
+    reason = F.col("reason")
     kind = F.when(reason.isin("page_num", "code"), reason).otherwise("text")
     page = F.floor(F.col("ord") / LINES_A_PAGE).cast("int")
-    return doc_lines(spark, sf_dir).select("doc_id", "ord", page.alias("page"), kind.alias("kind"), F.col("line").alias("text"), F.when(reason == "translatable", F.col("line")).alias("target"), reason.alias("reason"))
+    return judged.select("doc_id", "ord", page.alias("page"), kind.alias("kind"), F.col("line").alias("text"), F.when(reason == "translatable", F.col("line")).alias("target"), "reason")
 
 
 def _exported(shown: str, heading: str, block: str) -> str:
@@ -127,6 +128,6 @@ select doc_id, ord::int as ord, length(regexp_replace(line, '{T.HAN_NUMERAL}', '
 def han_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numerals put into the lines of the corpus, in place of those that lines have themselves."""
     pick = F.element_at(F.array(*map(F.lit, NUMERALS)), ((F.col("doc_id") + F.col("ord")) % len(NUMERALS) + 1).cast("int"))
-    rows = doc_lines(spark, sf_dir).select("doc_id", F.col("ord").cast("int").alias("ord"), F.concat(F.regexp_replace("line", T.HAN_NUMERAL, ""), F.lit(" "), pick, F.lit(" ")).alias("text"))
+    rows = doc_lines(spark, sf_dir).select("doc_id", F.col("ord").cast("int").alias("ord"), F.concat(F.regexp_replace("line", T.NUMERAL_SEARCH, ""), F.lit(" "), pick, F.lit(" ")).alias("text"))
     found = rows.withColumn("found", F.array_join(T.han_numerals(F.col("text")), ","))
     return found.select("doc_id", "ord", F.length("text").alias("chars"), "found")
