@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import types as ST
 
 from folioforge.functions import text as T
 from folioforge.operators import frames, regions, setting, structure
+from folioforge.sources.tables import materialise
 
 # Least margin of a page in points and its share of the height, the gap between source and translation in
 # ems, least room of a line and of a column, the part of an upright box's height that lines may take.
@@ -54,7 +57,8 @@ def _both(text: str | None, target: str, size: float, room: float, height: float
     """The values of SIZED for one paragraph: the translation alone, and with `dual` below its source (nulls where that does not fit)."""
     largest = max(smallest, size * scale)
     pitch = pitch or 0.0
-    size, lines, ems, fits = setting.measured_fit(target, room, height, largest, smallest, spacing, pitch)
+    whole = cache(lambda: setting.Setting(target))  # measured once for both, and only if asked for
+    size, lines, ems, fits = setting.measured_fit(target, room, height, largest, smallest, spacing, pitch, whole=whole)
     one = size * spacing
     step = min(max(pitch, one), 1.8 * one) if pitch > 0 else one
     tracks = setting.tracking(lines, size, room, align or "left", track if turn == 0 and first is not None else 0.0, ems=ems)
@@ -66,15 +70,14 @@ def _both(text: str | None, target: str, size: float, room: float, height: float
     source_ems = [setting.measured(x) for x in source]
     # source and translation share one size: the source's lines and the gap take a fixed part of each size's height
     taken = len(source) + gap / spacing
-    whole = setting.Setting(target)
+    def needs(s: float, stop: float = math.inf) -> float:
+        return (taken + max(1, whole().count(room / s, stop))) * s * spacing
 
-    def needs(s: float) -> float:
-        return (taken + max(1, len(whole.lines(room / s)))) * s * spacing
-
-    found = setting.largest_size(smallest, largest, lambda s: needs(s) <= most + setting.SPARE)
+    enough = lambda s: (most + setting.SPARE) / (s * spacing) - taken + 2  # noqa: E731  as many lines are too high
+    found = setting.largest_size(smallest, largest, lambda s: needs(s, enough(s)) <= most + setting.SPARE)
     if found is None:
         return *mono, None, None, None, None, source, source_ems
-    both, both_ems = whole.set(whole.lines(room / found))
+    both, both_ems = whole().set(whole().lines(room / found))
     return *mono, found, both, [found * w for w in both_ems], needs(found), source, source_ems
 
 
@@ -119,6 +122,7 @@ def plan(rows: DataFrame, dual: bool = False, smallest: float = 5.0, spacing: fl
 
     mode = F.lit("mono")
     if dual:
+        sized = materialise(sized, "sized")  # read twice below, set once
         top, bottom = spread(F.col("dual_needs"))
         wide = sized.where("dual_needs is not null").select("doc_id", "ord", "x0", "x1", top.alias("y0"), bottom.alias("y1"))
         others = rows.where(T.clean_text(F.col("text")) != "").select("doc_id", *(F.col(c).alias(f"o_{c}") for c in ("ord", "x0", "y0", "x1", "y1")))
