@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.operators.structure import skeleton
+from folioforge.sources.tables import materialise
 
 # Least letters of a translation and of a kept original, samples and their characters.
 LEAST_TARGET, LEAST_KEPT, SAMPLES, SAMPLE_CHARS = 2, 4, 3, 24
@@ -74,7 +75,9 @@ def verified(paragraphs: DataFrame, pages: DataFrame, least: int = LEAST_TARGET)
 
     Targets with fewer letters and digits than `least` are counted as checked and never missing."""
     rows = paragraphs.where("target != ''").select(F.col("doc_id").cast("string").alias("file_id"), "doc_id", F.lit(0).alias("page"), F.col("ord").cast("long").alias("id"), skeleton(F.col("target")).alias("needle"))
-    got = found(rows.where(F.length("needle") >= least).drop("doc_id"), pages.select(F.col("doc_id").cast("string").alias("file_id"), F.lit(0).alias("page"), skeleton(F.col("text")).alias("hay")))
+    rows = materialise(rows, "needles")  # skeletons are read several times, and made once
+    texts = materialise(pages.select(F.col("doc_id").cast("string").alias("file_id"), F.lit(0).alias("page"), skeleton(F.col("text")).alias("hay")), "texts")
+    got = found(rows.where(F.length("needle") >= least).drop("doc_id"), texts)
     lost = got.where("NOT found").groupBy(F.col("file_id").alias("_f")).agg(F.count("*").cast("int").alias("missing"))
     counts = rows.groupBy("doc_id", "file_id").agg(F.count("*").cast("int").alias("checked"))
     return counts.join(lost, F.col("file_id") == F.col("_f"), "left").select("doc_id", "checked", F.coalesce("missing", F.lit(0)).alias("missing"))
@@ -89,7 +92,8 @@ def verified_files(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
     rows = paragraphs.where("translatable").withColumn("_set", F.coalesce(F.col("target"), F.lit("")) != "").where(F.col("_set") | ~F.coalesce("from_ocr", F.lit(False)))
     rows = rows.select(F.col("file_id").cast("string").alias("file_id"), F.col("page").cast("int").alias("page"), F.col("id").cast("long").alias("id"), F.col("_set").alias("is_target"), F.left(flat("text"), F.lit(SAMPLE_CHARS)).alias("sample"), skeleton(F.when(F.col("_set"), flat("target")).otherwise(flat("text"))).alias("needle"))
     asked = F.length("needle") >= F.when(F.col("is_target"), LEAST_TARGET).otherwise(LEAST_KEPT)
-    texts = pages.select(F.col("file_id").cast("string").alias("file_id"), F.col("page").cast("int").alias("page"), skeleton(F.col("text")).alias("hay"))
+    rows = materialise(rows, "needles")  # skeletons are read several times, and made once
+    texts = materialise(pages.select(F.col("file_id").cast("string").alias("file_id"), F.col("page").cast("int").alias("page"), skeleton(F.col("text")).alias("hay")), "texts")
     got = found(rows.where(asked).select("file_id", "page", "id", "needle"), texts)
     judged = rows.join(got, ["file_id", "page", "id"], "left").withColumn("_lost", F.coalesce(~F.col("found"), F.lit(False)))
 
