@@ -7,8 +7,10 @@ shingle). Pairs of sets with Jaccard similarity of THRESHOLD or more are linked.
 follows each of its shingles that a hash samples with probability 1 / (THRESHOLD * size), so that similar sets meet at
 the same node. Nodes of at most BUCKET sets are leaves; larger nodes are split again by shingles sampled anew for that
 node, MAX_DEPTH times at most. RUNS repeats the runs until the chance to miss a pair at the threshold is below
-1 - RECALL. (3) Leaves with the same members are kept once and searched by brute force on small one-permutation
-sketches; only a spanning forest of the matches is passed on. A leaf that stays large is searched block against block.
+1 - RECALL. Before a node is split all its sets are compared with one of them, its leader, by sketch: sets that
+are very like the leader do not go on, and a node goes on only if more than UNLIKE * BUCKET sets are unlike its leader
+(see `compared`); else these are compared with all others, so a group of near copies costs its size. (3) Leaves with the same members are kept once and searched by brute force on small
+one-permutation sketches; only a spanning forest of the matches is passed on. A leaf that stays large is searched block against block.
 (4) The connected parts of that candidate graph are small sets of documents that hold every link; there whole shingle
 sets are compared exactly, again in blocks where a part is large. So links of one part found in no leaf are found here.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,6 +53,10 @@ SETS = 256
 #: Bins of a sketch of one byte each, and the least estimate that is compared exactly (five standard errors below).
 BINS = 128
 SLACK = 0.18
+#: How much lower the estimate may be at which sets of a large node are joined to its leader.
+LEEWAY = 0.12
+#: Sets of a large node that may be unlike its leader, in leaves, for it not to be split.
+UNLIKE = 8
 #: Names that two rows may share.
 CLASHES = 10_000
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -177,15 +184,47 @@ def with_sets(docs: DataFrame, name: Column, wanted: DataFrame, rows: int, fn, s
 # Step 2
 
 
-def leaves(docs: DataFrame, name: Column, reps: DataFrame, threshold: float, bucket: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(members) of small leaves, each set of members once, and (node, rep) of nodes that stay large."""
+def compared(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """rows (_uid, node, lo) with `rank`: 0 for sets that are unlike lo, the leader, 1 for those joined to it, 2 for those so
+    like it that no set that is unlike it matches them.
+
+    A set is joined to the leader from an estimate of least - LEEWAY on. Sketches of a share d of differing bins from the leader's,
+    d / (1 - d) <= LEEWAY / (2 - least), differ from those of a set that is unlike the leader in more than a share of
+    1 - least, by the triangle inequality of differing bins, so a leaf would not match them: only those of rank 1 have to meet it."""
+    far = LEEWAY / (2 - least)
+    near = 1 - far / (1 + far)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
+            same, any_ = ((a == b) & (a > 0)).sum(1), ((a > 0) | (b > 0)).sum(1)
+            rank = (same >= (least - LEEWAY) * any_).astype(np.int32) + (same >= near * any_)
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("_uid", "node", "lo")), pa.array(rank.astype(np.int32))], names=["_uid", "node", "lo", "rank"])
+
+    heads = materialise(rows.select("lo").distinct().join(sketches.select(F.col("_uid").alias("lo"), F.col("sketch").alias("sb")), "lo"), "heads")
+    both = rows.join(sketches.select("_uid", F.col("sketch").alias("sa")), "_uid").join(small(heads, 8 * heads.count()), "lo")
+    return both.select("_uid", "node", "lo", "sa", "sb").mapInArrow(run, "_uid long, node long, lo long, rank int")
+
+
+def leaves(docs: DataFrame, name: Column, reps: DataFrame, threshold: float, bucket: int, depth: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members) of small leaves, each set of members once; (node, _uid) of nodes that stay large; (a, b) of sets joined to leaders;
+    (node, m, side, _uid) of nodes with few sets that are unlike the leader: those, side 1, have to be compared with side 0, m sets."""
     entries = reps.select(F.col("_uid"), F.explode("nodes").alias("node"))
     done: list[DataFrame] = []
+    joined: list[DataFrame] = []
+    apart: list[DataFrame] = []
     for level in range(1, depth + 1):
-        sizes = entries.groupBy("node").agg(F.count("*").alias("m"), F.min("_uid").alias("lo"))
-        shared = materialise(entries.join(sizes.where("m > 1").select("node", "m"), "node"), f"node{level}")
+        sizes = entries.groupBy("node").agg(F.count("*").alias("m"), F.min_by("_uid", F.xxhash64("_uid", "node")).alias("lo"))
+        shared = materialise(entries.join(sizes.where("m > 1"), "node"), f"node{level}")
         done.append(shared.where(F.col("m") <= bucket).groupBy("node").agg(F.sort_array(F.collect_list("_uid")).alias("members")).select("members"))
-        big = shared.where(F.col("m") > bucket).select("_uid", "node")
+        near = materialise(compared(shared.where(F.col("m") > bucket).select("_uid", "node", "lo"), reps.select("_uid", "sketch"), least), f"led{level}")
+        joined.append(near.where("rank > 0 and _uid != lo").select(F.col("lo").alias("a"), F.col("_uid").alias("b")).distinct())
+        kinds = near.groupBy("node").agg(F.sum((F.col("rank") == 0).cast("long")).alias("unlike"), F.sum((F.col("rank") == 1).cast("long")).alias("m"))
+        left = near.where("rank < 2").join(kinds.where("unlike > 0"), "node")
+        few = left.where(F.col("unlike") <= UNLIKE * bucket)
+        done.append(few.where("rank = 0 and unlike > 1").groupBy("node").agg(F.sort_array(F.collect_list("_uid")).alias("members")).select("members"))
+        apart.append(few.where("m > 0").select("node", "m", (1 - F.col("rank")).alias("side"), "_uid"))
+        big = left.where(F.col("unlike") > UNLIKE * bucket).select("_uid", "node")
         if level == depth:
             break
         wanted = materialise(big.groupBy("_uid").agg(F.collect_set("node").alias("at")), f"large{level}")
@@ -202,10 +241,8 @@ def leaves(docs: DataFrame, name: Column, reps: DataFrame, threshold: float, buc
             yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(node, pa.int64())], names=["_uid", "node"])
 
         entries = with_sets(docs, name, wanted, n, split, "_uid long, node long").distinct()
-    members = done[0]
-    for d in done[1:]:
-        members = members.unionByName(d)
-    return members.distinct(), big
+    members, edges, sides_ = (reduce(DataFrame.unionByName, x) for x in (done, joined, apart))
+    return members.distinct(), big, edges, sides_
 
 
 # Step 3
@@ -295,14 +332,21 @@ def blocks(rows: DataFrame, key: str, m: str, block: int) -> DataFrame:
     return out.withColumns({"key": F.col(key), "i": F.least("_k", "_o").cast("long"), "j": F.greatest("_k", "_o").cast("long"), "side": (F.col("_k") > F.col("_o")).cast("int"), "two": F.col("_k") != F.col("_o")}).drop("_n", "_k", "_o")
 
 
-def candidates(members: DataFrame, large: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
-    """(a, b): a spanning forest of the matches of each leaf."""
+def apart_blocks(apart: DataFrame, block: int) -> DataFrame:
+    """Rows (key, i, j, side, two, _uid): side 0 of each node in blocks, the few sets of side 1 with each of them; j tells them from blocks()."""
+    n = F.ceil(F.col("m") / block).cast("int")
+    at = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("_uid"), n).cast("int"))).otherwise(F.sequence(F.lit(0), n - 1))
+    return apart.select(F.col("node").alias("key"), F.explode(at.cast("array<long>")).alias("i"), F.lit(-1).cast("long").alias("j"), "side", F.lit(True).alias("two"), "_uid")
+
+
+def candidates(members: DataFrame, large: DataFrame, joined: DataFrame, apart: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b): a spanning forest of the matches of each leaf, and sets joined to leaders."""
     both = members.where("size(members) = 2").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
     both = both.join(sketches.select(F.col("_uid").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("_uid").alias("b"), F.col("sketch").alias("sb")), "b")
     more = members.where("size(members) > 2").select(F.xxhash64("members").alias("key"), F.size("members").alias("m"), F.explode("members").alias("_uid"))
     sizes = large.groupBy("node").agg(F.count("*").alias("m"))
     wide = large.join(sizes, "node").select(F.col("node").alias("key"), "m", "_uid")
-    dealt = blocks(more.unionByName(wide), "key", "m", block).join(sketches, "_uid")
+    dealt = blocks(more.unionByName(wide), "key", "m", block).select("key", "i", "j", "side", "two", "_uid").unionByName(apart_blocks(apart, block)).join(sketches, "_uid")
     found = by_group(dealt.select("key", "i", "j", "side", "two", "_uid", "sketch"), ["key", "i", "j"], _edges(least), "a long, b long")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +356,7 @@ def candidates(members: DataFrame, large: DataFrame, sketches: DataFrame, least:
             yield x.select(["a", "b"]).filter(pa.array(ok))
 
     pairs = both.mapInArrow(match, "a long, b long")
-    return pairs.unionByName(found).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.unionByName(found).unionByName(joined).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -425,8 +469,9 @@ def join_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS
     name = row_name(clashes)
     full = rows.where("rep is not null")
     reps = materialise(full.groupBy("rep").agg(F.count("*").alias("mult"), F.min(F.struct("_uid", "sketch", "nodes")).alias("x")).select("rep", "mult", "x._uid", "x.sketch", "x.nodes"), "reps")
-    members, large = leaves(docs, name, reps, threshold, bucket, depth)
-    edges = candidates(members, large, reps.select("_uid", "sketch"), threshold - SLACK, block if block < BLOCK else SKETCH_BLOCK)
+    least = threshold - SLACK
+    members, large, joined, apart = leaves(docs, name, reps, threshold, bucket, depth, least)
+    edges = candidates(members, large, joined, apart, reps.select("_uid", "sketch"), least, block if block < BLOCK else SKETCH_BLOCK)
     parts = components(edges)
     with batches_of(docs.sparkSession, SETS):
         found = materialise(links(docs, name, reps, parts, threshold, block), "links")

@@ -132,3 +132,43 @@ def test_runs_keep_the_recall_at_every_depth(depth):
                 break
         found, total = found + bool(len(nodes)), total + 1
     assert found >= 0.99 * total
+
+
+def split_rows(spark, n, monkeypatch):
+    """Rows that the splits of nodes make of a group of n near copies, and whether the links are right."""
+    made = []
+    keep = ngram_join.materialise
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name.startswith("large"):
+            made.append(out.selectExpr("sum(size(at))").first()[0] or 0)
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(ngram_join, "materialise", counted)
+        check(spark, [(i, t) for i, t in enumerate(near_copies(n, 11, words=90, edits=1))], bucket=16, block=64)
+    return sum(made)
+
+
+def test_a_group_of_near_copies_is_joined_to_a_leader_and_not_split(spark, monkeypatch):
+    """Without leaders each member went on in all runs, at every depth."""
+    assert split_rows(spark, 100, monkeypatch) <= 100 and split_rows(spark, 200, monkeypatch) <= 200
+
+
+@pytest.mark.parametrize("least", [0.02, 0.32, 0.62, 0.82])
+def test_sets_left_behind_with_the_leader_match_no_set_unlike_it(spark, least):
+    """Sketches of any fill: where one is very like the leader (2) and one unlike it (0), a leaf would not match them."""
+    rnd = np.random.default_rng(3)
+    lead = rnd.integers(0, 256, ngram_join.BINS).astype(np.uint8) * (rnd.random(ngram_join.BINS) < 0.6).astype(np.uint8)
+    sk = [lead]
+    for _ in range(300):
+        x = lead.copy()
+        at = rnd.permutation(ngram_join.BINS)[: rnd.integers(0, ngram_join.BINS)]
+        x[at] = rnd.integers(0, 3, len(at)) * rnd.integers(0, 100, len(at))
+        sk.append(x)
+    sketches = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sk)], "_uid long, sketch binary")
+    big = spark.createDataFrame([(i, 1, 0) for i in range(len(sk))], "_uid long, node long, lo long")
+    like = {r["_uid"]: r["rank"] for r in ngram_join.compared(big, sketches, least).collect()}
+    hit = ngram_join.similar(np.array(sk), np.array(sk), least)
+    assert like[0] == 2 and not any(hit[i, j] for i in like for j in like if like[i] == 2 and like[j] == 0)
