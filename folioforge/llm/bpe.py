@@ -37,8 +37,10 @@ from folioforge.llm.common import free_name, texts
 LEAF = 4_096
 WINDOW = 4
 #: Pieces remembered by a worker, and their code points at most.
-MEMO = 500_000
+MEMO = 300_000
 REMEMBERED = 64
+#: Rows of a batch whose texts are strings at once.
+ROWS = 500
 #: Code points of chunks that one call of the library gets at most.
 BATCH = 1 << 20
 
@@ -94,8 +96,9 @@ class Encoder:
         if self.tok.decoder is not None:
             raise ValueError("only tokenizers without a decoder are supported")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.pieces: dict[str, tuple[int, str, str]] = {}
+        self.chunks: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
+        self.names = {str(i): self.tok.id_to_token(i) for i in self.tok.get_vocab(with_added_tokens=True).values()}
         self.fast = self._is_word_bpe()
         self.bytes = byte_alphabet()
 
@@ -213,27 +216,30 @@ class Encoder:
     def _entry(ids: list[int], tokens: list[str]) -> tuple[int, str, str]:
         return len(ids), " ".join(map(str, ids)), " ".join(tokens)
 
-    def _piece(self, piece: str) -> tuple[int, str, str]:
-        """The entry of a pre-token of the fast way."""
+    def _told(self, ids: str) -> tuple[int, str, str]:
+        """The entry of ids that are joined by spaces."""
+        each = ids.split(" ") if ids else []
+        return len(each), ids, " ".join([self.names[i] for i in each])
+
+    def _piece(self, piece: str) -> str:
+        """The ids of a pre-token of the fast way."""
         found = self.tok.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes))
-        return self._entry([t.id for t in found], [t.value for t in found])
+        return " ".join([str(t.id) for t in found])
 
-    def _known(self, batch: list[str], memo: dict, most: int, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list]) -> list[tuple[int, str, str]]:
-        """The entries of texts from those of their units; new units of a level are encoded in one call."""
+    def _known(self, batch: list[str], memo: dict[str, str], most: int, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list[str]]) -> list[tuple[int, str, str]]:
+        """The entries of texts from the ids of their units, which are all that is remembered; new units of a level are encoded
+        in one call."""
         if len(memo) > most:
             memo.clear()
-        here: dict[str, tuple[int, str, str]] = {}
+        here: dict[str, str] = {}
 
         def learn(units: Iterable[str]) -> None:
             new = list({u for u in units if u not in memo and u not in here})
             for u, x in zip(new, encode(new), strict=True):
                 (memo if len(u) <= REMEMBERED else here)[u] = x
 
-        out = []
-        for units in self._halved(batch, cut, learn):
-            got = [x for u in units if (x := memo.get(u) or here[u])[0]]
-            out.append((sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
-        return out
+        get = memo.get
+        return [self._told(" ".join([x for u in units if (x := here[u] if (y := get(u)) is None else y)])) for units in self._halved(batch, cut, learn)]
 
     def _way(self, text: str) -> str:
         if len(text) > self.leaf and max(map(len, text.replace("\n", " ").split(" "))) > self.leaf and not any(s in text for s in self.special):
@@ -250,10 +256,10 @@ class Encoder:
             return [self._entry(*self.tree(t)) for t in batch]
         if way == "fast":
             return self._known([t.lower() for t in batch], self.pieces, MEMO, _PIECES.findall, lambda units: [self._piece(u) for u in units])
-        slow = lambda units: [self._entry(e.ids, e.tokens) for e in self.tok.encode_batch(units, add_special_tokens=False)]
+        slow = lambda units: [" ".join(map(str, e.ids)) for e in self.tok.encode_batch(units, add_special_tokens=False)]
         return self._known(batch, self.chunks, MEMO // 4, _CHUNKS.findall, slow)
 
-    def encode(self, batch: list[str]) -> Iterator[tuple[int, str, str]]:
+    def encode(self, batch: Iterable[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: the number of tokens, the ids joined by spaces, the decoded text."""
         wait: list[str] = []
         chars = 0
@@ -297,6 +303,12 @@ def encoder(path: str) -> Encoder:
         return _encoders[path]
 
 
+def _read(batch: pa.RecordBatch, column: str) -> Iterator[str]:
+    """The texts of a batch, a few rows at a time."""
+    for k in range(0, batch.num_rows, ROWS):
+        yield from texts(batch.slice(k, ROWS), column)
+
+
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
@@ -312,7 +324,7 @@ def encode_digest(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            rows = [(n, _sha(ids), _sha(back)) for n, ids, back in e.encode(list(texts(b, text)))]
+            rows = [(n, _sha(ids), _sha(back)) for n, ids, back in e.encode(_read(b, text))]
             n, ids, back = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=schema.names)
 
@@ -327,7 +339,7 @@ def encode_ids(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            rows = list(e.encode(list(texts(b, text))))
+            rows = list(e.encode(_read(b, text)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[int(x) for x in r[1].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -167,6 +167,21 @@ def test_op10_texts_of_megabytes(text):
     assert e.tree(text) == want and list(e.encode([text])) == [e._entry(*want)]
 
 
+def test_bpe_memo_is_small():
+    """A worker remembers ids alone, about 150 bytes a piece, and stays within the bound of its memo."""
+    import hashlib
+    import tracemalloc
+
+    e = bpe.Encoder(queries.vocabulary())
+    words = [hashlib.sha256(str(k).encode()).hexdigest()[:12].translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(60_000)]
+    list(e.encode([" ".join(words[:100])]))
+    tracemalloc.start()
+    got = sum(n for n, _, _ in e.encode(" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)))
+    grown = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert got > 2 * len(words) and 59_000 < len(e.pieces) <= bpe.MEMO and grown < 200 * len(e.pieces)
+
+
 def test_op10_long_texts_of_the_table_take_the_tree(spark, sf):
     """Every text above one leaf is halved and joined; without the joins the words at the cuts would be broken."""
     e, want = bpe.Encoder(queries.vocabulary(), leaf=256), library(queries.vocabulary())
