@@ -116,9 +116,9 @@ def boxes(paragraphs: DataFrame, *keep: str | Column) -> DataFrame:
     return paragraphs.select("doc_id", "ord", x0.cast("double").alias("x0"), ((F.floor(F.col("ord") / 2) % 50) * 14 + 20).cast("double").alias("y0"), (x0 + 20 + F.length("line") % 200).cast("double").alias("x1"), ((F.floor(F.col("ord") / 2) % 50) * 14 + 30 + F.length("line") % 7).cast("double").alias("y1"), *keep)
 
 
-def clusters(rows: DataFrame, gap: float | Column = 15.0) -> DataFrame:
+def clusters(rows: DataFrame, gap: float | Column = 15.0, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows with `cluster` (from 0 in each document): a new one where x0 lies more than gap right of all boxes before."""
-    order = Window.partitionBy("doc_id").orderBy("x0", "y0", "ord")
+    order = Window.partitionBy(*by).orderBy("x0", "y0", "ord")
     reach = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     flagged = rows.withColumn("_new", F.coalesce((F.col("x0") - reach > gap).cast("int"), F.lit(0)))
     return flagged.withColumn("cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Limits of the layout rules, in points or as shares of a page, line or column.
 DEPTH, GUTTER, GUTTER_SHARE, PREFERRED_SHARE, BAND, BAND_SHARE = 6, 6.0, 0.03, 0.035, 3.0, 0.65
@@ -155,23 +156,28 @@ def columns_of(box: np.ndarray, page_width: float) -> tuple[np.ndarray, int]:
     return np.maximum(0, at - ~inside).astype(np.int32), len(starts)
 
 
-def by_page(fn: Callable[[Page], tuple[np.ndarray, Page]], rows: DataFrame, order: list[str], keep: list[str], schema: str) -> DataFrame:
+def by_page(fn: Callable[[Page], tuple[np.ndarray, Page]], rows: DataFrame, order: list[str], keep: list[str], schema: str, carried: tuple[str, ...] = (), lies: bool = False) -> DataFrame:
     """fn on the columns of each page (doc_id), its rows in this order: one shuffle, pages in sorted Arrow batches.
 
     fn returns the positions of the rows its results belong to, of which doc_id and the columns to keep are taken, and
-    new columns. A task holds a batch and a page. The number of partitions is set, so that small pages are not
-    gathered in one Python worker."""
+    new columns. Columns that are carried along are not given to fn and stay as they are, null too. A task holds a batch and
+    a page. The number of partitions is set, so that small pages are not
+    gathered in one Python worker. lies: the last step of rows was a window by page, so that a page lies in one partition
+    already."""
     spark = rows.sparkSession
     numbers = [f.name for f in rows.schema if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte")]
-    filled = rows.select(*(F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)).alias(c) if c in numbers and c != "doc_id" else F.col(c) for c in rows.columns))
-    placed = filled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", *order)
-    names = [*keep, *(c.split()[0] for c in schema.split(", ") if c.split()[0] not in {"doc_id", *keep})]
+    filled = rows.select(*(F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)).alias(c) if c in numbers and c != "doc_id" and c not in carried else F.col(c) for c in rows.columns))
+    dealt = filled if lies else filled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    placed = dealt.sortWithinPartitions("doc_id", *order)
+    keep = [*keep, *carried]
+    names = [c for c in (*(x.split()[0] for x in schema.split(", ")), *carried) if c != "doc_id"]
+    kind = T.StructType([*T.StructType.fromDDL(schema).fields, *(rows.schema[c] for c in carried)])
 
     def pages(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
         code = table["doc_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
         edges = np.flatnonzero(np.diff(code, prepend=-1))
         stop = len(code) if last else int(edges[-1])
-        arrays = {c: table[c].to_numpy() for c in table.column_names if c != "doc_id"}
+        arrays = {c: table[c].to_numpy() for c in table.column_names if c != "doc_id" and c not in carried}
         at, out = [np.empty(0, np.int64)], []
         for a, b in zip(edges, [*edges[1:], len(code)], strict=True):
             if b <= stop:
@@ -198,16 +204,16 @@ def by_page(fn: Callable[[Page], tuple[np.ndarray, Page]], rows: DataFrame, orde
             if done is not None:
                 yield done
 
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(run, kind)
 
 
 def _box(page: Page) -> np.ndarray:
     return np.stack([page[c].astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1)
 
 
-def _with_width(rows: DataFrame, page_width: float | None) -> DataFrame:
+def _with_width(rows: DataFrame, page_width: float | None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Boxes with the width of their page: one for all, or rows' own column page_width."""
-    return rows.select("doc_id", "ord", "x0", "y0", "x1", "y1", F.col("page_width") if page_width is None else F.lit(float(page_width)).alias("page_width"))
+    return rows.select("doc_id", "ord", "x0", "y0", "x1", "y1", F.col("page_width") if page_width is None else F.lit(float(page_width)).alias("page_width"), *carried)
 
 
 def reading_order(rows: DataFrame, page_width: float | None) -> DataFrame:
@@ -233,7 +239,9 @@ def columns(rows: DataFrame, page_width: float | None) -> DataFrame:
 
 
 def ordered(rows: DataFrame) -> DataFrame:
-    """(doc_id, ord, reading_ord, columns, column) of boxes with page_width, in one pass over the pages."""
+    """rows (boxes with page_width and any other columns, doc_id a text) with reading_ord, columns and column, in one pass over
+    the pages; all other columns go with their boxes, so nothing is joined. The last step of rows is a window by page."""
+    carried = tuple(c for c in rows.columns if c not in ("doc_id", "ord", "x0", "y0", "x1", "y1", "page_width"))
 
     def run(page: Page) -> tuple[np.ndarray, Page]:
         box, width = _box(page), float(page["page_width"][0])
@@ -242,7 +250,8 @@ def ordered(rows: DataFrame) -> DataFrame:
         place[order] = np.arange(len(order))
         return np.arange(len(order)), {"reading_ord": place, "columns": np.full(len(order), columns, np.int32), "column": columns_of(box, width)[0]}
 
-    return by_page(run, _with_width(rows, None), ["ord"], ["ord"], "doc_id long, ord int, reading_ord int, columns int, column int")
+    box = "x0 double, y0 double, x1 double, y1 double, page_width double"
+    return by_page(run, _with_width(rows, None, carried), ["ord"], ["ord", "x0", "y0", "x1", "y1", "page_width"], f"doc_id string, ord int, {box}, reading_ord int, columns int, column int", carried, True)
 
 
 def aligned(lines: Column) -> Column:
@@ -259,12 +268,13 @@ def aligned(lines: Column) -> Column:
     return kind.when((n > 2) & ~ragged & (full >= (n - 1) * 0.8), "justify").otherwise("left")
 
 
-def merged_paragraphs(rows: DataFrame) -> DataFrame:
+def merged_paragraphs(rows: DataFrame, key: str = "long", carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ord, lead): the first paragraph of the one that each paragraph is a part of.
 
     rows: doc_id, ord, column, kind, size, color, bold, x0, y0, x1, y1 of paragraphs, first_x0 of their first lines and
     last_x1 of their last. A text goes on where style and column agree, the gap is that of lines, the line before
-    reaches the column's right edge and the next starts at its left edge; a merged paragraph has the largest size."""
+    reaches the column's right edge and the next starts at its left edge; a merged paragraph has the largest size. key: the
+    type of doc_id; carried: further columns that the result has."""
 
     def run(page: Page) -> tuple[np.ndarray, Page]:
         _, of = np.unique(page["column"], return_inverse=True)
@@ -290,7 +300,7 @@ def merged_paragraphs(rows: DataFrame) -> DataFrame:
                 big, low, open_ = s, y1, full[i]
         return np.arange(len(lead)), {"lead": np.array(lead, np.int32)}
 
-    return by_page(run, rows, ["ord"], ["ord"], "doc_id long, ord int, lead int")
+    return by_page(run, rows, ["ord"], ["ord"], f"doc_id {key}, ord int, lead int", carried)
 
 
 def line_spacing(rows: DataFrame) -> DataFrame:

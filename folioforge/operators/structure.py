@@ -41,28 +41,27 @@ def needs_recognition(chars: Column, image_share: Column) -> Column:
     return F.struct((why == "scan").alias("needed"), why.alias("why"))
 
 
-def style_runs(rows: DataFrame) -> DataFrame:
+def style_runs(rows: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """rows (doc_id, ord, x0, y0, x1, bold, font, size: the lines of blocks) with `run`, from 0 in each block.
 
     A block is parted where the style changes if that gives two to four runs, neighbours differ in weight or size, and one
-    of each two looks like a heading: few lines, none of them wide. Else all its lines are run 0."""
-    order = Window.partitionBy("doc_id").orderBy("y0", "ord")
+    of each two looks like a heading: few lines, none of them wide. Else all its lines are run 0. by: columns that name the
+    block; all steps are windows over it, so rows that lie together by some of them are not shuffled."""
+    block = Window.partitionBy(*by)
+    order = block.orderBy("y0", "ord")
     style = F.struct("bold", "font", "size")
     fresh = F.coalesce((~style.eqNullSafe(F.lag(style).over(order)) & F.lag(F.lit(1)).over(order).isNotNull()).cast("int"), F.lit(0))
     marked = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    of_run = Window.partitionBy(*by, "_run")
     wide = F.col("x1") - F.col("x0")
-    runs = marked.groupBy("doc_id", "_run").agg(F.count("*").alias("n"), F.max(wide).alias("wide"), F.first("bold").alias("bold"), F.first("size").alias("size"))
-    block = Window.partitionBy("doc_id")
-    widest = F.max("wide").over(block)
-    heading = (F.col("n") <= HEADING_LINES) & (F.col("wide") <= F.when(widest == 0, 1.0).otherwise(widest) * HEADING_WIDTH)
-    runs = runs.withColumn("heading", heading)
-    by_run = block.orderBy("_run")
-    before = {c: F.lag(c).over(by_run) for c in ("bold", "size", "heading")}
+    runs = marked.withColumns({"_n": F.count("*").over(of_run), "_wide": F.max(wide).over(of_run), "_widest": F.max(wide).over(block)})
+    heading = (F.col("_n") <= HEADING_LINES) & (F.col("_wide") <= F.when(F.col("_widest") == 0, 1.0).otherwise(F.col("_widest")) * HEADING_WIDTH)
+    judged = runs.withColumn("_heading", heading)
+    before = {c: F.lag(c).over(order) for c in ("bold", "size", "_heading")}  # a run's first line against the last of the run before
     changed = ~F.col("bold").eqNullSafe(before["bold"]) | ~F.col("size").eqNullSafe(before["size"])
-    judged = runs.withColumn("_good", (F.col("_run") == 0) | (changed & (F.col("heading") | before["heading"])))
-    parted = judged.groupBy("doc_id").agg((F.count("*").between(*RUNS) & F.bool_and("_good")).alias("_parted"))
-    kept = marked.join(parted, marked["doc_id"].eqNullSafe(parted["doc_id"]), "left").drop(parted["doc_id"])
-    return kept.withColumn("run", F.when(F.col("_parted"), F.col("_run")).otherwise(0)).drop("_fresh", "_run", "_parted")
+    judged = judged.withColumn("_good", (F.col("_fresh") == 0) | (changed & (F.col("_heading") | before["_heading"])))
+    parted = (F.max("_run").over(block) + 1).between(*RUNS) & F.bool_and("_good").over(block)
+    return judged.withColumn("run", F.when(parted, F.col("_run")).otherwise(0)).drop("_fresh", "_run", "_n", "_wide", "_widest", "_heading", "_good")
 
 
 def _ranked(values: Column, share: float, back: int = 0) -> Column:

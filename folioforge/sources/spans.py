@@ -74,17 +74,21 @@ def lines(spans: DataFrame, pages: DataFrame) -> DataFrame:
     equals the one that comes first; it is bold if half of its characters are."""
     weight = F.greatest(F.lit(1), F.length(T.clean_text(F.col("text"))))
     bold = (F.col("flags").bitwiseAND(16) != 0) | F.contains(F.lower("font"), F.lit("bold"))
+    chars = F.greatest(F.lit(1), F.length("text"))
     key = ["file_id", "page", "block", "line"]
-    real = spans.where("text != ''").withColumns({"_w": weight, "_b": bold})
-    style = real.groupBy(*key, "font", "size", "color").agg(F.sum("_w").alias("_w"), F.min("span").alias("_first")).groupBy(*key)
-    lead = style.agg(F.max_by(F.struct("font", "size", "color"), F.struct("_w", -F.col("_first"))).alias("style"))
-    whole = real.groupBy(*key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "").alias("text"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        (F.sum(F.col("size") * F.greatest(F.lit(1), F.length("text"))) / F.sum(F.greatest(F.lit(1), F.length("text")))).alias("mean_size"),
-        (F.sum(F.when(F.col("_b"), F.col("_w")).otherwise(0)) >= F.sum("_w") * 0.5).alias("bold"),
-        *(F.min_by(c, "span").alias(c) for c in ("dir_x", "dir_y", "wmode", "origin_y")),
+    # one shuffle by page, which all that follows on pages, blocks and lines can use; as many tasks as the session has partitions
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    real = spans.where("text != ''").repartition(tasks, "file_id", "page").withColumns({"_w": weight, "_b": bold, "_n": chars})
+    edges = lambda: (F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    styled = real.groupBy(*key, "font", "size", "color").agg(
+        *edges(), F.sum("_w").alias("_w"), F.sum(F.when(F.col("_b"), F.col("_w")).otherwise(0)).alias("_bw"), F.sum(F.col("size") * F.col("_n")).alias("_sn"), F.sum("_n").alias("_n"),
+        F.min("span").alias("_first"), F.min_by(F.struct("dir_x", "dir_y", "wmode", "origin_y"), "span").alias("_d"), F.collect_list(F.struct("span", "text")).alias("_t"),
     )
-    placed = whole.where(T.clean_text(F.col("text")) != "").join(lead, key).join(pages.select("file_id", "page", "width", "height"), ["file_id", "page"], "left")
+    whole = styled.groupBy(*key).agg(
+        F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("_t"))), lambda s: s["text"]), "").alias("text"), *edges(),
+        F.max_by(F.struct("font", "size", "color"), F.struct("_w", -F.col("_first"))).alias("style"), (F.sum("_sn") / F.sum("_n")).alias("mean_size"),
+        (F.sum("_bw") >= F.sum("_w") * 0.5).alias("bold"), F.min_by("_d", "_first").alias("_d"),
+    )
+    placed = whole.where(T.clean_text(F.col("text")) != "").join(pages.select("file_id", "page", "width", "height"), ["file_id", "page"], "left")
     clamped = placed.withColumns({"y0": F.greatest(F.lit(0.0), "y0"), "y1": F.least(F.coalesce("height", F.lit(842.0)), "y1")})
-    return clamped.select(*key, "text", "x0", "y0", "x1", "y1", "mean_size", "bold", "style.*", "dir_x", "dir_y", "wmode", "origin_y", F.coalesce("width", F.lit(595.0)).alias("width"), F.coalesce("height", F.lit(842.0)).alias("height"))
+    return clamped.select(*key, "text", "x0", "y0", "x1", "y1", "mean_size", "bold", "style.*", "_d.*", F.coalesce("width", F.lit(595.0)).alias("width"), F.coalesce("height", F.lit(842.0)).alias("height"))

@@ -109,6 +109,19 @@ def test_no_text_is_lost_between_spans_and_paragraphs(spark):
     assert sorted(w for r in pageplan.paragraphs(spans, pages).collect() for w in r["text"].split()) == words
 
 
+def test_pages_are_shuffled_once(spark):
+    """From spans to groups of lines texts are shuffled by page, and not again by line, block or run."""
+    spans = source.conform(spark.createDataFrame([("a", 0, 0, k, 0, f"word {k}", 10.0, 20.0 * k) for k in range(4)], "file_id string, page int, block int, line int, span int, text string, x0 double, y0 double"), source.SPANS)
+    pages = source.conform(spark.createDataFrame([("a", 0)], "file_id string, page int"), source.PAGES)
+    groups = pageplan.line_groups(source.lines(spans, pages))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        exchanges = [x for x in groups.select("*", "para.run")._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(exchanges) <= 2 and groups.count() == 4
+
+
 def test_empty_and_missing_spans(spark):
     spans, pages = sample(spark)
     assert pageplan.paragraphs(spans.limit(0), pages).count() == 0
