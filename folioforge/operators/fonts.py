@@ -188,6 +188,14 @@ def line_width(text: Column) -> Column:
     return F.length(text) * 0.5 + F.when(T.is_ascii(text), 0.0).otherwise(han * 0.5) + script_gaps(text) * SCRIPT_SPACE
 
 
+def units(text: Column, symbols: Column) -> Column:
+    """A text in stretches of one script, each of the characters that are keys of the map (null for none) by itself."""
+    wide = WIDE_SCRIPT[1:-1]
+    own = F.array_join(F.transform(F.array_sort(F.map_keys(symbols)), lambda c: F.concat(F.lit("\\x{"), F.hex(F.ascii(c)), F.lit("}"))), "")
+    some = F.concat(F.lit("["), own, F.lit(f"]|[{wide}&&[^"), own, F.lit(f"]]+|[^{wide}"), own, F.lit("]+"))
+    return F.regexp_extract_all(text, F.when(F.size(symbols) > 0, some).otherwise(f"[{wide}]+|[^{wide}]+"), F.lit(0))
+
+
 def face_runs(rows: DataFrame, keys: list[str], han: str = "han", latin: str = "latin") -> DataFrame:
     """(keys, run, face, text, x, width) of rows (keys, text, symbols): each line as runs of one face, x in ems from its start.
 
@@ -196,9 +204,9 @@ def face_runs(rows: DataFrame, keys: list[str], han: str = "han", latin: str = "
     made = lambda f, t, g: F.struct(f.alias("face"), t.alias("text"), g.alias("gap"))
 
     def cut(c: Column, f: Column, s: Column) -> Column:
-        """Runs of the characters c with the faces f, that begin at the places s."""
+        """Runs of the stretches c with the faces f, that begin at the places s."""
         ends = F.concat(F.slice(s, F.lit(2), F.size(s) - 1), F.array(F.size(c)))
-        return F.zip_with(s, ends, lambda a, b: made(F.get(f, a), F.array_join(F.slice(c, a + 1, b - a), ""), F.when(a > 0, script_space(F.get(c, a - 1), F.get(c, a))).otherwise(0.0)))
+        return F.zip_with(s, ends, lambda a, b: made(F.get(f, a), F.array_join(F.slice(c, a + 1, b - a), ""), F.when(a > 0, script_space(F.right(F.get(c, a - 1), F.lit(1)), F.left(F.get(c, a), F.lit(1)))).otherwise(0.0)))
 
     def all_runs(c: Column) -> Column:
         face = F.transform(c, lambda x: F.coalesce(F.element_at("symbols", x), F.when(x.rlike(WIDE_SCRIPT), han).otherwise(latin)))
@@ -206,8 +214,7 @@ def face_runs(rows: DataFrame, keys: list[str], han: str = "han", latin: str = "
         return T.bound(face, lambda f: T.bound(starts(f), lambda s: cut(c, f, s)))  # each is computed once a line
 
     plain = F.col("symbols").isNull() & ~F.col("text").rlike(WIDE_SCRIPT)
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    run = F.when(plain, F.array(made(F.lit(latin), F.col("text"), F.lit(0.0)))).otherwise(T.bound(chars, all_runs))
+    run = F.when(plain, F.array(made(F.lit(latin), F.col("text"), F.lit(0.0)))).otherwise(T.bound(units(F.col("text"), F.col("symbols")), all_runs))
     out = rows.where("text != ''").select(*keys, F.posexplode(run).alias("run", "_r"))
     out = out.select(*keys, "run", "_r.*").withColumn("width", line_width(F.col("text")))
     before = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, 0)

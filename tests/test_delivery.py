@@ -114,6 +114,13 @@ def test_runs_of_faces(spark):
         assert setting.measured(text) == end  # as lines are measured when they are broken
 
 
+def test_lines_are_cut_by_script_and_symbol(spark):
+    """Faces are looked up for stretches of a line and for single symbols, not for each character."""
+    rows = spark.createDataFrame([("some words→→漢字]^x😀", {"→": "Sym", "]": "Sym", "^": "Sym", "字": "Sym"}), ("ab漢字。c", None), ("one", {}), ("", None)], "text string, symbols map<string, string>")
+    got = [r[0] for r in rows.select(fonts.units(F.col("text"), F.col("symbols"))).collect()]
+    assert got == [["some words", "→", "→", "漢", "字", "]", "^", "x😀"], ["ab", "漢字。", "c"], ["one"], []]
+
+
 def test_files_are_verified(spark):
     rows = [("f", 0, 0, "one", "first text", True, False), ("f", 0, 1, "two", "not there", True, False), ("f", 1, 2, "three", "on blank page", True, False), ("f", 1, 3, "kept original", None, True, False), ("f", 1, 4, "lost original\nline", "", True, False), ("f", 1, 5, "recognised", None, True, True), ("f", 0, 6, "code", None, False, False), ("f", 0, 7, "dash", "—", True, False), ("g", 0, 0, "no page", "at all", True, False), (None, 0, 0, "x", "y", None, None)]
     kinds = "file_id string, page int, id long, text string, target string, translatable boolean, from_ocr boolean"
