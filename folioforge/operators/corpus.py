@@ -13,9 +13,12 @@ from folioforge.sources.tables import materialise
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """One row a line: doc_id, source, lang, ord (from 0), n (lines of the document), line."""
-    parts = F.split("text", "\n")
-    return docs.select("doc_id", "source", "lang", F.size(parts).alias("n"), F.posexplode(parts).alias("ord", "line"))
+    """One row a line: doc_id, source, lang, ord (from 0), n (lines of the document), line.
+
+    The generator makes all three: a count beside it is moved behind it by the optimizer, and takes the whole text along with
+    each line, into the queues of Python workers too."""
+    of = lambda parts: F.transform(parts, lambda line, ord: F.struct(F.size(parts).alias("n"), ord.alias("ord"), line.alias("line")))
+    return docs.select("doc_id", "source", "lang", F.inline(T.bound(F.split("text", "\n"), of)))
 
 
 def repeated_keys(paragraphs: DataFrame, zone_share: float, body_share: float) -> DataFrame:
