@@ -72,7 +72,8 @@ def clean_text(c: Column) -> Column:
     """No zero-width characters, line feeds only, runs of blanks as one space, ends stripped; null becomes empty."""
     c = without(F.coalesce(c, F.lit("")), ZERO_WIDTH)
     c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.btrim(F.regexp_replace(c, "[ \t\u3000]{2,}", " "), F.lit(BLANK_CHARS))
+    runs = lambda s: s.contains("  ") | s.contains("\t") | s.contains("\u3000")  # noqa: E731  searches, which most texts fail
+    return F.btrim(bound(c, lambda s: F.when(runs(s), F.regexp_replace(s, "[ \t\u3000]{2,}", " ")).otherwise(s)), F.lit(BLANK_CHARS))
 
 
 def join_lines(lines: Column) -> Column:
@@ -102,8 +103,13 @@ def has_key(c: Column) -> Column:
 def match_key(c: Column) -> Column:
     """Lower case and compatibility form without white space. Only a form that changed may have white space again, so texts of
     ASCII alone pass no pattern."""
-    other = _nfkc(bound(bare(c), lambda s: F.when(~is_ascii(s) & s.rlike(UNSTABLE), s)))
-    return F.lower(F.coalesce(F.regexp_replace(other, f"{BLANKS}+", ""), bare(c)))
+    return key_of_bare(bare(c))
+
+
+def key_of_bare(c: Column) -> Column:
+    """The match key of what bare() made. It uses c twice: a column of its own is computed once."""
+    other = _nfkc(bound(c, lambda s: F.when(~is_ascii(s) & s.rlike(UNSTABLE), s)))
+    return F.lower(F.coalesce(F.regexp_replace(other, f"{BLANKS}+", ""), c))
 
 
 def is_page_number(c: Column) -> Column:
@@ -239,9 +245,15 @@ def han_numerals(c: Column) -> Column:
 
 
 def _missing(source: Column, target: Column) -> Column:
-    known = F.concat(F.flatten(F.transform(number_tokens(target), number_candidates)), han_numerals(target), F.array(F.lit("")))
-    digits = F.filter(number_tokens(source), lambda t: ~F.arrays_overlap(number_candidates(t), known))
-    return F.array_distinct(F.concat(digits, F.filter(han_numerals(source), lambda v: ~F.array_contains(known, v))))
+    """Tokens and values that stand in both alike are set aside first; readings are made once, and only for what is left."""
+
+    def unread(left: Column) -> Column:
+        known = F.concat(F.flatten(F.transform(number_tokens(target), number_candidates)), han_numerals(target), F.array(F.lit("")))
+        digits = lambda k: F.filter(left["tokens"], lambda t: ~F.arrays_overlap(number_candidates(t), k))
+        return bound(known, lambda k: F.array_distinct(F.concat(digits(k), F.filter(left["values"], lambda v: ~F.array_contains(k, v)))))
+
+    left = F.struct(*(F.array_except(of(source), of(target)).alias(n) for n, of in (("tokens", number_tokens), ("values", han_numerals))))
+    return bound(left, lambda x: F.when(F.size(x["tokens"]) + F.size(x["values"]) > 0, unread(x)).otherwise(F.array().cast("array<string>")))
 
 
 def missing_numbers(source: Column, target: Column) -> Column:
@@ -250,7 +262,7 @@ def missing_numbers(source: Column, target: Column) -> Column:
     none = F.array().cast("array<string>")
     joined = F.regexp_replace(source, r"([0-9][.,])\s+(?=[0-9])", "$1")
     again = lambda strict: F.when((F.size(strict) > 0) & (joined != source) & (F.size(_missing(joined, target)) == 0), none).otherwise(strict)
-    return F.when(source.rlike("[0-9]") | source.rlike(HAN_NUMERAL), bound(_missing(source, target), again)).otherwise(none)
+    return F.when(source.rlike("[0-9]") | (~is_ascii(source) & source.rlike(NUMERAL_SEARCH)), bound(_missing(source, target), again)).otherwise(none)
 
 
 # Page ranges and glossaries

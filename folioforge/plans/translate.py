@@ -9,7 +9,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
@@ -91,18 +91,17 @@ def _columns(got: list[tuple], index) -> dict[str, pd.Series]:
 
 
 def _asking_again(make: Callable[[], providers.Provider], rows: DataFrame) -> DataFrame:
-    """rows with the targets that lack numbers asked for once more, together, with a hint."""
+    """rows, whose targets lack numbers, asked for once more, with a hint that names those of a request."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chat = providers.patient(make())
         for f in frames:
-            bad = f.index[f["missing"].map(len) > 0]
-            if len(bad):
-                hint = "Keep these numbers: " + ", ".join(sorted({n for ns in f.loc[bad, "missing"] for n in ns}))
-                new = _columns(asked(chat, f.loc[bad, "piece"].tolist(), hint), bad)
-                f.loc[bad, "target"], f.loc[bad, "why"] = new["target"], new["why"]
-                f.loc[bad, "repeats"] += new["repeats"] + 1
-            yield f.drop(columns="missing")
+            pieces, missing, got = f["piece"].tolist(), f["missing"].tolist(), []
+            for at in batched(pieces):
+                hint = "Keep these numbers: " + ", ".join(sorted({n for k in at for n in missing[k]}))
+                got += asked(chat, [pieces[k] for k in at], hint)
+            new = _columns(got, f.index)
+            yield f.assign(target=new["target"], why=new["why"], repeats=f["repeats"] + new["repeats"] + 1).drop(columns="missing")
 
     return rows.mapInPandas(run, ANSWERED)
 
@@ -122,7 +121,8 @@ def translate_texts(texts: DataFrame, make: Callable[[], providers.Provider]) ->
     error; the requests made again for it, and whether numbers were missing in a first answer."""
     missing = F.when(F.col("target").isNull(), F.array().cast("array<string>")).otherwise(T.missing_numbers(F.col("piece"), F.col("target")))
     first = materialise(_asking(make, _pieces(texts)).withColumn("missing", missing), "asked")  # a lost task does not ask twice
-    checked = materialise(_asking_again(make, first).withColumn("missing", missing), "answered")
+    again = materialise(_asking_again(make, first.where("size(missing) > 0")).withColumn("missing", missing), "answered")
+    checked = first.where("size(missing) = 0").unionByName(again)  # what lacks nothing is neither sent, read nor written again
     error = F.when(F.col("target").isNull(), F.coalesce("why", F.lit(NO_ANSWER))).when(F.size("missing") > 0, F.concat(F.lit(NUMBERS), F.array_join("missing", ", ")))
     judged = checked.withColumn("error", error)
     framed = F.concat(F.regexp_extract("piece", r"(?U)^\s*", 0), "target", F.regexp_extract("piece", r"(?U)\s*$", 0))
@@ -149,10 +149,18 @@ def _answers(texts: DataFrame, make: Callable[[], providers.Provider], cache: Da
     return hits.unionByName(new)
 
 
-def _texts(paragraphs: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
-    """paragraphs with skip_reason and key, and (key, text) of the texts to translate: of one key the first."""
+def _name(key: Column) -> Column:
+    """A match key in 44 characters (SHA-256), however long the text is."""
+    return F.base64(F.unhex(F.sha2(key, 256)))
+
+
+def _texts(paragraphs: DataFrame, language: str, short: bool = False) -> tuple[DataFrame, DataFrame]:
+    """paragraphs with skip_reason and key (short: its name), and (key, text) of the texts to translate: of one key the first.
+    Both read one table, so that reasons and keys are computed once."""
     reason = T.skip_reason(F.col("line"), language)
-    rows = paragraphs.select("*", F.when(reason != "translatable", reason).alias("skip_reason"), T.match_key(F.col("line")).alias("key"))
+    key = T.key_of_bare(F.col("_bare"))
+    rows = paragraphs.select("*", T.bare(F.col("line")).alias("_bare")).select("*", reason.alias("skip_reason"), (_name(key) if short else key).alias("key")).drop("_bare")
+    rows = materialise(rows.withColumn("skip_reason", F.when(F.col("skip_reason") != "translatable", F.col("skip_reason"))), "judged")
     leading = rows.where("skip_reason is null").groupBy("key").agg(F.min(F.struct("doc_id", "ord", "line"))["line"].alias("line"))
     return rows, leading.select("key", T.clean_text(F.col("line")).alias("text"))
 
@@ -166,8 +174,9 @@ def translate(paragraphs: DataFrame, provider: str = "mock", cache: DataFrame |
     """paragraphs (doc_id, ord, line) with skip_reason, target and error; cache: (key, value) by match key.
 
     Paragraphs of one key have the target of the first. A cached value is left aside if numbers are missing in it."""
-    rows, texts = _texts(paragraphs, language)
-    return _joined(rows, _answers(texts, providers.PROVIDERS[provider], cache))
+    rows, texts = _texts(paragraphs, language, short=True)
+    named = None if cache is None else cache.select(_name(F.col("key")).alias("key"), "value")
+    return _joined(rows, _answers(texts, providers.PROVIDERS[provider], named))
 
 
 def translate_with(paragraphs: DataFrame, cache: Cache, provider: str = "mock", language: str = "zh") -> tuple[DataFrame, dict[str, int]]:
@@ -191,6 +200,6 @@ def translate_with(paragraphs: DataFrame, cache: Cache, provider: str = "mock",
 swapped as (select key, translate(s, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz') as target from first)
 select doc_id, count(*) as translated, sha256(string_agg(target, chr(10) order by ord)) as target_sha256 from keyed join swapped using (key) group by doc_id""")
 def translate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = translate(doc_lines(spark, sf_dir)).where("target is not null")
+    done = translate(doc_lines(spark, sf_dir).select("doc_id", "ord", "line")).where("target is not null")
     ordered = F.array_sort(F.collect_list(F.struct("ord", "target")))
     return done.groupBy("doc_id").agg(F.count("*").alias("translated"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["target"]), "\n"), 256).alias("target_sha256"))
