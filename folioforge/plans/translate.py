@@ -21,6 +21,8 @@ from folioforge.sources.tables import materialise
 
 # Items and characters of a request, and further tries with what a reply lacks.
 ITEMS, CHARS, TRIES = 12, 6000, 2
+#: Pieces that are asked for before any is handed on; whole requests.
+FRAME = 1_200
 NO_ANSWER, NUMBERS = "no translation", "numbers missing: "
 
 
@@ -76,14 +78,17 @@ ANSWERED = "key string, chunk int, piece string, target string, why string, repe
 
 
 def _asking(make: Callable[[], providers.Provider], rows: DataFrame) -> DataFrame:
-    """rows (key, chunk, piece) with target, why there is none, and repeats."""
+    """The pieces of rows (key, text), with target, why there is none, and repeats; texts go to Python once, as what they are."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chat = providers.patient(make())
         for f in frames:
-            yield f.assign(**_columns(asked(chat, f["piece"].tolist()), f.index))
+            parts = [(key, chunk, piece) for key, text in zip(f["key"], f["text"], strict=True) for chunk, piece in enumerate(replies.long_pieces(text))]
+            for at in range(0, len(parts), FRAME):  # long texts have many pieces
+                some = pd.DataFrame(parts[at : at + FRAME], columns=["key", "chunk", "piece"])
+                yield some.assign(**_columns(asked(chat, some["piece"].tolist()), some.index))
 
-    return rows.mapInPandas(run, ANSWERED)
+    return rows.select("key", "text").mapInPandas(run, ANSWERED)
 
 
 def _columns(got: list[tuple], index) -> dict[str, pd.Series]:
@@ -106,21 +111,11 @@ def _asking_again(make: Callable[[], providers.Provider], rows: DataFrame) -> Da
     return rows.mapInPandas(run, ANSWERED)
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """(key, chunk, piece) of (key, text)."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            parts = f.assign(piece=f["text"].map(replies.long_pieces)).explode("piece")
-            yield parts.assign(chunk=parts.groupby("key").cumcount().astype("int32"))[["key", "chunk", "piece"]]
-
-    return rows.select("key", "text").mapInPandas(run, "key string, chunk int, piece string")
-
-
 def translate_texts(texts: DataFrame, make: Callable[[], providers.Provider]) -> DataFrame:
     """(key, target, error, repeats, mismatched) of (key, text) with distinct keys: pieces that answer joined, or the first
     error; the requests made again for it, and whether numbers were missing in a first answer."""
     missing = F.when(F.col("target").isNull(), F.array().cast("array<string>")).otherwise(T.missing_numbers(F.col("piece"), F.col("target")))
-    first = materialise(_asking(make, _pieces(texts)).withColumn("missing", missing), "asked")  # a lost task does not ask twice
+    first = materialise(_asking(make, texts).withColumn("missing", missing), "asked")  # a lost task does not ask twice
     again = materialise(_asking_again(make, first.where("size(missing) > 0")).withColumn("missing", missing), "answered")
     checked = first.where("size(missing) = 0").unionByName(again)  # what lacks nothing is neither sent, read nor written again
     error = F.when(F.col("target").isNull(), F.coalesce("why", F.lit(NO_ANSWER))).when(F.size("missing") > 0, F.concat(F.lit(NUMBERS), F.array_join("missing", ", ")))
